@@ -50,12 +50,12 @@ AX_RECORDS = """ax_records AS (
              WHERE relation = 'following' GROUP BY source_id) fo ON fo.id = u.id)"""
 
 
-def with_views(body: str, extra_ctes: str = "") -> str:
+def with_views(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
     """``WITH <views>[, extra] <body>``; ``body`` starts with SELECT."""
     ctes = ",\n".join([AX_USERS, AX_TWEETS, AX_EDGES, AX_RECORDS])
     if extra_ctes:
         ctes += ",\n" + extra_ctes.strip().rstrip(",")
-    return f"WITH {ctes}\n{body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
 
 
 def uniform_sql(key_sql: str, seed) -> str:

@@ -166,3 +166,19 @@ def social_tables(spark: SparkSession, sf_dir: str) -> SocialTables:
     u = users(spark, sf_dir)
     return SocialTables(users=u, tweets=tweets(spark, sf_dir), edges=edges(spark, sf_dir),
                         labels=u.select("id", "label"))
+
+
+def tweet_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id ('t' || o_orderkey), vec: the text vector of each tweet.
+
+    The driver's ``embeddings`` table stands in for the text model's output: tweet
+    ``o_orderkey`` takes vector ``o_orderkey mod n`` where n is the size of that table (one
+    scalar count). The join key is computed; adaptive execution broadcasts the vector table
+    when its measured size allows.
+    """
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = emb.count()
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return (orders.join(emb, F.pmod(F.col("o_orderkey"), F.lit(n)) == F.col("vec_id"))
+            .select(_prefixed("t", "o_orderkey").alias("id"),
+                    F.col("embedding").cast("array<double>").alias("vec")))
