@@ -180,14 +180,14 @@ def reindex_groups(users: DataFrame, grouped: DataFrame, array_col: str) -> Data
 
 
 def mask_from_ids(nodes: DataFrame, test_ids: DataFrame) -> DataFrame:
-    """C20: node -> in_test flag; an id of the list that is no node raises."""
+    """C20: node -> in_test flag. An id of the list that is no node is an error, checked
+    eagerly with one anti join (a validation job, like the reference's lookup failure)."""
     t = test_ids.select("id").distinct()
-    unknown = t.join(nodes.select("id"), "id", "left_anti")
+    unknown = t.join(nodes.select("id"), "id", "left_anti").limit(1).collect()
+    if unknown:
+        raise ValueError(f"unknown test id {unknown[0]['id']}")
     flagged = nodes.select("id").join(t.withColumn("in_test", F.lit(True)), "id", "left")
-    check = unknown.select(F.raise_error(F.concat(F.lit("unknown test id "), F.col("id")))
-                           .cast("boolean").alias("in_test"), F.col("id"))
-    return (flagged.select("id", F.coalesce(F.col("in_test"), F.lit(False)).alias("in_test"))
-            .unionByName(check))
+    return flagged.select("id", F.coalesce(F.col("in_test"), F.lit(False)).alias("in_test"))
 
 
 # --- F: set operations ----------------------------------------------------------------

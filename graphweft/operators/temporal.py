@@ -224,3 +224,15 @@ def local_user_index(snap: Snapshots) -> DataFrame:
     same local index in every snapshot: id, first_snapshot, local_idx.
     """
     return dense_index(snap.users, [F.col("first_snapshot"), F.col("id")], "local_idx")
+
+
+def memberships(snap: Snapshots, snapshot_ids: DataFrame) -> DataFrame:
+    """Explode users into the requested snapshots they belong to: snapshot_idx, id.
+
+    ``snapshot_ids`` (snapshot_idx) is a small table; each user expands only to the
+    requested indices at or after its first snapshot.
+    """
+    wanted = [r[0] for r in snapshot_ids.select("snapshot_idx").distinct().collect()]
+    arr = F.array(*[F.lit(int(i)) for i in sorted(wanted)]) if wanted else F.array().cast("array<bigint>")
+    return (snap.users.select(F.explode(F.filter(arr, lambda i: i >= F.col("first_snapshot"))).alias("s"), "id")
+            .select(F.col("s").cast("bigint").alias("snapshot_idx"), "id"))
