@@ -224,3 +224,45 @@ def h8(spark, sf):
     g = social_graph(spark, sf)
     s = gr.normalised_relational_sum(g.edges, user_vectors(spark, sf))
     return long_rounded(s, ["id", "relation"])
+
+
+# --- H3 communities, modularity, summaries ------------------------------------------------------
+
+@register("h3_modularity_of_components", with_views(
+    """SELECT round((SELECT sum(w) FILTER (WHERE cs = cd) FROM j) / (SELECT sum(w) FROM j)
+                    - (SELECT sum(kk) FROM k) / pow((SELECT sum(w) FROM j), 2), 8) AS modularity""",
+    CC_CTES + """,
+    ew AS (SELECT source_id AS src, target_id AS dst, count(*)::DOUBLE AS w FROM soc GROUP BY 1, 2),
+    j AS (SELECT ew.*, a.component AS cs, b.component AS cd FROM ew JOIN cc a ON a.id = ew.src
+          JOIN cc b ON b.id = ew.dst),
+    k AS (SELECT o.kout * i.kin AS kk FROM (SELECT cs AS c, sum(w) AS kout FROM j GROUP BY cs) o
+          JOIN (SELECT cd AS c, sum(w) AS kin FROM j GROUP BY cd) i USING (c))""", recursive=True))
+def h3m(spark, sf):
+    g = social_graph(spark, sf)
+    comps = gr.connected_components(g).withColumnRenamed("component", "community")
+    q = gr.modularity(gr.weighted_edges(g.edges), comps)
+    return spark.createDataFrame([(round(q, 8),)], "modularity double")
+
+
+# Louvain round budget of the registered queries (parameters of ``graph.louvain``).
+LOUVAIN_LEVELS = 2
+LOUVAIN_ROUNDS = 4
+
+
+@register("h3_louvain_communities")
+def h3(spark, sf):
+    return gr.louvain(social_graph(spark, sf), max_levels=LOUVAIN_LEVELS, max_rounds=LOUVAIN_ROUNDS)
+
+
+@register("d24_e9_h3_community_summary")
+def d24(spark, sf):
+    """Top-10 communities with label shares, plus the partition's modularity next to the
+    singleton partition's (the contract: Louvain does not do worse)."""
+    g = social_graph(spark, sf)
+    comm = gr.louvain(g, max_levels=LOUVAIN_LEVELS, max_rounds=LOUVAIN_ROUNDS)
+    ew = gr.weighted_edges(g.edges)
+    q = gr.modularity(ew, comm)
+    q0 = gr.modularity(ew, g.all_vertices.select("id", F.col("id").alias("community")))
+    return (gr.community_summary(comm, dt.labels(spark, sf), top=10)
+            .withColumn("modularity", F.lit(round(q, 8)))
+            .withColumn("singleton_modularity", F.lit(round(q0, 8))))
