@@ -35,7 +35,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor, size it for the work
-        builder = builder.config("spark.driver.memory", os.environ.get("GRAPHWEFT_DRIVER_MEMORY", "12g"))
+        builder = builder.config("spark.driver.memory", os.environ.get("GRAPHWEFT_DRIVER_MEMORY", "4g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
