@@ -196,3 +196,26 @@ def e12(spark, sf):
     snap = tp.build_snapshots(dt.users(spark, sf), dt.tweets(spark, sf), dt.edges(spark, sf))
     top = ft.topk_per_snapshot(snap, user_vectors(spark, sf), k=5)
     return top.select("snapshot_idx", "rank", "id", "score", F.round("weight", 6).alias("weight"))
+
+
+@register("c16_snapshot_100_user_vectors", with_views(
+    """SELECT uv.id, CASE WHEN u.label = 'bot' THEN 1 ELSE 0 END AS y, uv.pos, round(uv.value, 6) AS value
+       FROM uv JOIN ax_users u ON u.id = uv.id
+       WHERE u.created_at <= (SELECT ts FROM grid WHERE snapshot_idx = 100)""",
+    GRID_CTES + ",\n" + UV_CTES))
+def c16(spark, sf):
+    """Vectors and label codes of the users active in snapshot 100 (joined by id)."""
+    from graphweft.operators import relational as rel
+    users = dt.users(spark, sf)
+    snap = tp.snapshot_at(tp.build_snapshots(users, dt.tweets(spark, sf), dt.edges(spark, sf)), 100)
+    codes = rel.align_labels(users, dt.labels(spark, sf))
+    active = snap.users.select("id").join(codes, "id").join(user_vectors(spark, sf), "id")
+    return long_rounded(active, ["id", "y"])
+
+
+@register("g13_record_json")
+def g13(spark, sf):
+    """Records to JSON text (the extractor's output lines); JSON formatting is engine-specific,
+    so this one is checked by rows only."""
+    recs = dt.user_records(spark, sf)
+    return recs.select("id", F.to_json(F.struct(*[c for c in recs.columns])).alias("json"))

@@ -266,3 +266,14 @@ def d24(spark, sf):
     return (gr.community_summary(comm, dt.labels(spark, sf), top=10)
             .withColumn("modularity", F.lit(round(q, 8)))
             .withColumn("singleton_modularity", F.lit(round(q0, 8))))
+
+
+@register("c17_e8_pagerank_with_label", with_views(
+    f"""SELECT r.id, row_number() OVER (ORDER BY round(r.pr, 8) DESC, r.id) AS rank,
+               round(r.pr, 8) AS pagerank, u.label
+        FROM r{PR_ROUNDS} r LEFT JOIN ax_users u ON u.id = r.id""", pagerank_sql(PR_ROUNDS)))
+def c17(spark, sf):
+    """E8 ranks with each node's label attached by a left join (C17)."""
+    pr = gr.pagerank(social_graph(spark, sf), max_iter=PR_ROUNDS, tol=None)
+    pr = rank_desc(pr.select("id", F.round("pagerank", 8).alias("pagerank")), "pagerank")
+    return pr.join(dt.labels(spark, sf), "id", "left").select("id", "rank", "pagerank", "label")

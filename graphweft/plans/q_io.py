@@ -149,13 +149,20 @@ def a16(spark, sf):
     return sinks.lookup(spark, p, bots).select("id", F.col("public_metrics.followers_count").alias("followers_count"))
 
 
-@register("a17_a18_run_log")
+@register("a17_a18_run_summary", with_views(
+    """SELECT (SELECT count(*) FROM ax_users) AS total_users, (SELECT count(*) FROM ax_tweets) AS total_tweets,
+              (SELECT count(*) FROM grid) AS total_snapshots""", GRID_CTES))
 def a17(spark, sf):
-    p = _scratch(spark, "run-log")
-    sinks.append_run_log(spark, p, "v1", {"target_users": 1000, "sf_dir": sf})
-    sinks.append_run_log(spark, p, "v2", {"target_users": 2000})
-    sinks.append_summary(dt.users(spark, sf).agg(F.count(F.lit(1)).alias("users")), p + "-summary")
-    return spark.read.parquet(p)
+    """A17 run summary (snapshots, users, tweets of the built graph) appended to a table and
+    read back; the run log entry (A18) is appended next to it."""
+    p = _scratch(spark, "run")
+    users, tweets = dt.users(spark, sf), dt.tweets(spark, sf)
+    snap = tp.build_snapshots(users, tweets, dt.edges(spark, sf))
+    summary = spark.createDataFrame([(users.count(), tweets.count(), snap.grid.count)],
+                                    "total_users bigint, total_tweets bigint, total_snapshots bigint")
+    sinks.append_summary(summary, f"{p}/summary")
+    sinks.append_run_log(spark, f"{p}/log", "v1", {"sf_dir": sf, "snapshots": snap.grid.count})
+    return spark.read.parquet(f"{p}/summary").drop("written_at")
 
 
 @register("a19_a20_stage_cache_numeric", with_views(
