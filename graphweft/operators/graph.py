@@ -105,7 +105,10 @@ def pagerank(g: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float | No
     else:
         if tol is not None and fail_on_no_convergence:
             raise RuntimeError(f"pagerank did not converge in {max_iter} rounds")
-    return state.select("id", "pagerank")
+    result = cut_lineage(state.select("id", "pagerank"))
+    if previous is not None:
+        previous.unpersist()
+    return result
 
 
 # --- H2 degree centrality -----------------------------------------------------------------
@@ -165,7 +168,8 @@ def connected_components(g: Graph, max_iter: int = 200, checkpoint_interval: int
         last = cur
     comp = e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
     roots = e.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
-    labelled = comp.unionByName(roots).groupBy("id").agg(F.min("component").alias("component"))
+    labelled = cut_lineage(comp.unionByName(roots).groupBy("id").agg(F.min("component").alias("component")))
+    e.unpersist()
     return (g.all_vertices.join(labelled, "id", "left")
             .select("id", F.coalesce(F.col("component"), F.col("id")).alias("component")))
 
@@ -379,7 +383,10 @@ def _local_moving(nodes: DataFrame, ew: DataFrame, m: float, resolution: float,
             previous.unpersist()
         previous = new_state
         state, q = new_state.drop("_moved"), q_new
-    return state.select("id", "community"), changed, q
+    result = cut_lineage(state.select("id", "community"))
+    if previous is not None:
+        previous.unpersist()
+    return result, changed, q
 
 
 def louvain(g: Graph, resolution: float = 1.0, seed: int = 42, max_levels: int = 4,

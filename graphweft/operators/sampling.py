@@ -189,7 +189,8 @@ def entity_closure(edges: DataFrame, user_ids: DataFrame, strict: bool = False)
          .join(us.withColumnRenamed("id", "target_id").withColumnRenamed("_su", "_t_in"), "target_id", "left")
          .withColumn("_s_in", F.coalesce("_s_in", F.lit(False)))
          .withColumn("_t_in", F.coalesce("_t_in", F.lit(False))))
-    e = e.persist(StorageLevel.MEMORY_AND_DISK)
+    # read four times below (rules, contain graph, discuss, keep filter): written once
+    e = cut_lineage(e)
     if strict:
         e = e.where(F.col("_s_in") | F.col("_t_in"))
     r = F.col("relation")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
 GROUPS = ("q_relational", "q_temporal", "q_features", "q_graph", "q_sampling", "q_ml", "q_io")
@@ -18,10 +19,19 @@ def _modules():
     return mods
 
 
+def _utc(fn):
+    """All times in the data model are UTC: pin the session time zone for the query."""
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    return run
+
+
 def all_queries() -> dict:
     out = {}
     for m in _modules():
-        out.update(m.QUERIES)
+        out.update({k: _utc(v) for k, v in m.QUERIES.items()})
     return out
 
 
