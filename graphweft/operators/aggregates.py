@@ -170,16 +170,46 @@ def density_histogram(df: DataFrame, col: str, bins: int, group: str | None = No
             .drop("_N"))
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], group: str | None = None) -> dict:
+    """Exact quantiles with linear interpolation, per group: {group_value: [q, ...]}.
+
+    Spark's ``percentile``/``median`` keep every distinct value of a group in one
+    aggregation buffer, which a big group cannot afford. Here the values get a global
+    position in (group, value) order by a range-partitioned sort (``dense_index``); one
+    small aggregate gives each group's first position and size, and only the rows at the
+    2 * len(probs) needed positions per group are fetched.
+    """
+    from graphweft.operators.ordering import dense_index
+    g = [group] if group else []
+    base = df.where(F.col(col).isNotNull()).select(*g, F.col(col).cast("double").alias("_v"))
+    idx = dense_index(base, [*g, "_v"], "_i")
+    spans = idx.groupBy(*g).agg(F.min("_i").alias("start"), F.count(F.lit(1)).alias("n")).collect()
+    wanted, plan = set(), {}
+    for r in spans:
+        key = r[group] if group else None
+        pts = []
+        for p in probs:
+            pos = p * (r["n"] - 1)
+            lo = int(pos // 1)
+            hi = min(lo + 1, r["n"] - 1)
+            pts.append((r["start"] + lo, r["start"] + hi, pos - lo))
+            wanted.update([r["start"] + lo, r["start"] + hi])
+        plan[key] = pts
+    if not wanted:
+        return {}
+    vals = {r["_i"]: r["_v"] for r in idx.where(F.col("_i").isin(sorted(wanted))).select("_i", "_v").collect()}
+    return {k: [vals[lo] + (vals[hi] - vals[lo]) * f for lo, hi, f in pts] for k, pts in plan.items()}
+
+
 def quantiles(df: DataFrame, col: str, probs: Sequence[float] = (0.05, 0.95, 0.99),
               group: str | None = None, digits: int = 6) -> DataFrame:
-    """Exact quantiles with linear interpolation (``percentile``)."""
-    arr = "array(" + ", ".join(repr(float(p)) for p in probs) + ")"
-    q = F.expr(f"percentile(`{col}`, {arr})")
+    """Exact quantiles with linear interpolation (see ``exact_quantiles``)."""
     names = [f"q{int(round(p * 100)):02d}" for p in probs]
-    g = df.groupBy(group) if group else df.groupBy()
-    out = g.agg(q.alias("_q"))
-    return out.select(*([group] if group else []),
-                      *[F.round(F.col("_q")[i], digits).alias(n) for i, n in enumerate(names)])
+    res = exact_quantiles(df, col, probs, group)
+    rows = [((k,) if group else ()) + tuple(round(v, digits) for v in qs) for k, qs in res.items()]
+    gtype = df.schema[group].dataType.simpleString() if group else None
+    schema = (f"{group} {gtype}, " if group else "") + ", ".join(f"{n} double" for n in names)
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def time_range(users: DataFrame, tweets: DataFrame) -> DataFrame:

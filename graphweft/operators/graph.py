@@ -194,10 +194,14 @@ def largest_component_share(components: DataFrame, labels: DataFrame) -> DataFra
 # --- D21 adjacency sets ---------------------------------------------------------------------
 
 def adjacency_sets(edges: DataFrame) -> DataFrame:
-    """Id, neighbours — undirected, deduplicated, sorted (for output only)."""
-    both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("n")).unionByName(
-        edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("n")))
-    return both.distinct().groupBy("id").agg(F.sort_array(F.collect_list("n")).alias("neighbours"))
+    """The undirected, deduplicated adjacency as rows (id, neighbour).
+
+    Each node's set is the rows with its id; it is never gathered into one array, because a
+    hub's neighbour list is as long as its degree.
+    """
+    both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("neighbour")).unionByName(
+        edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("neighbour")))
+    return both.distinct()
 
 
 # --- H7 / H8 relational aggregation -----------------------------------------------------

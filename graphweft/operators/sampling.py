@@ -39,11 +39,9 @@ def time_bins(users: DataFrame, q: int = N_TIME_BINS, ts_col: str = "created_at"
     Adds column ``time_bin``; rows without a time get none.
     """
     micros = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    probs = ", ".join(repr(i / q) for i in range(q + 1))
-    row = (users.where(F.col(ts_col).isNotNull())
-           .agg(F.expr(f"percentile(unix_micros(CAST(`{ts_col}` AS TIMESTAMP)), array({probs}))")
-                .alias("e")).first())
-    edges = sorted(set(row["e"])) if row and row["e"] else []
+    probs = [i / q for i in range(q + 1)]
+    res = agg.exact_quantiles(users.where(F.col(ts_col).isNotNull()).select(micros.alias("_us")), "_us", probs)
+    edges = sorted(set(res[None])) if res else []
     if not edges:
         return users.withColumn("time_bin", F.lit(None).cast("int"))
     arr = F.array(*[F.lit(float(e)) for e in edges])

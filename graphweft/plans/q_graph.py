@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphweft.operators import aggregates as agg
 from graphweft.operators import graph as gr
 from graphweft.operators import relational as rel
 from graphweft.operators.features import recent_tweet_vector
 from graphweft.operators.ordering import rank_desc
 from graphweft.plans.oracle_views import with_views
+from graphweft.session import cut_lineage
 from graphweft.sources import driver_tables as dt
 
 QUERIES = {}
@@ -121,12 +123,10 @@ def h4s(spark, sf):
 
 
 @register("d21_adjacency_sets", with_views(
-    """SELECT id, string_agg(n, ',' ORDER BY n) AS neighbours FROM (
-         SELECT DISTINCT source_id AS id, target_id AS n FROM soc
-         UNION SELECT target_id, source_id FROM soc) GROUP BY id""", SOC_CTES))
+    """SELECT DISTINCT source_id AS id, target_id AS neighbour FROM soc
+       UNION SELECT target_id, source_id FROM soc""", SOC_CTES))
 def d21(spark, sf):
-    a = gr.adjacency_sets(social_graph(spark, sf).edges)
-    return a.select("id", F.array_join("neighbours", ",").alias("neighbours"))
+    return gr.adjacency_sets(social_graph(spark, sf).edges)
 
 
 @register("h9_undirected_view", with_views(
@@ -161,16 +161,19 @@ def d9(spark, sf):
     top = sizes.orderBy(F.desc("size"), F.asc("component")).limit(1).select(
         "component", F.lit(True).alias("in_largest"))
     recs = rel.flatten_metrics(dt.user_records(spark, sf).select("id", "label", "public_metrics"))
-    j = (recs.join(pr, "id").join(dc, "id").join(comps, "id")
-         .join(top, "component", "left"))
-    return j.groupBy("label").agg(
+    j = cut_lineage(recs.join(pr, "id").join(dc, "id").join(comps, "id")
+                    .join(top, "component", "left")
+                    .withColumn("log10_pagerank", F.log10("pagerank")))
+    base = {r["label"]: r for r in j.groupBy("label").agg(
         F.count(F.lit(1)).alias("num_accounts"),
-        F.round(F.median("followers_count"), 4).alias("median_followers"),
-        F.round(F.median("following_count"), 4).alias("median_following"),
-        F.round(F.median(F.log10("pagerank")), 4).alias("median_log10_pagerank"),
-        F.round(F.median("degree_centrality"), 4).alias("median_degree_centrality"),
-        F.round(F.avg(F.coalesce(F.col("in_largest"), F.lit(False)).cast("double")) * 100, 4)
-        .alias("pct_in_largest"))
+        F.avg(F.coalesce(F.col("in_largest"), F.lit(False)).cast("double")).alias("share")).collect()}
+    metrics = ["followers_count", "following_count", "log10_pagerank", "degree_centrality"]
+    med = {m: agg.exact_quantiles(j, m, [0.5], group="label") for m in metrics}
+    rows = [(lab, base[lab]["num_accounts"], *[round(med[m][lab][0], 4) for m in metrics],
+             round(base[lab]["share"] * 100, 4)) for lab in base]
+    return spark.createDataFrame(rows, "label string, num_accounts bigint, median_followers double, "
+                                 "median_following double, median_log10_pagerank double, "
+                                 "median_degree_centrality double, pct_in_largest double")
 
 
 # --- H7 / H8 on the users' pooled tweet vectors (D15) --------------------------------------
