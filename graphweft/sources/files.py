@@ -77,7 +77,7 @@ def read_sharded_json_array(spark: SparkSession, base: str, pattern: str = "twee
     paths = [f"{base.rstrip('/')}/{pattern.format(i=i)}" for i in range(shards)]
     present = [p for p in paths if path_exists(spark, p)]
     if not present:
-        return spark.createDataFrame([], schema.add("shard", T.StringType()))
+        return spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("shard", T.StringType())]))
     return (read_json_array(spark, present, schema)
             .withColumn("shard", F.element_at(F.split(F.input_file_name(), "/"), -1)))
 
