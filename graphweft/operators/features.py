@@ -55,12 +55,17 @@ def recent_tweet_lists(users: DataFrame, tweets: DataFrame, k: int = MAX_TWEETS_
 def recent_tweet_vector(users: DataFrame, tweets: DataFrame, tweet_vecs: DataFrame, dim: int,
                         k: int = MAX_TWEETS_PER_USER) -> DataFrame:
     """Id, vec = mean vector of the user's k most recent tweets that have a vector
-    (C15: tweets without one are skipped); zeros when there is none."""
+    (C15: tweets without one are skipped); zeros when there is none.
+
+    A user's group holds at most k vectors (the top-k is limited before the shuffle), so the
+    vectors are summed element-wise inside the group instead of exploding to long form.
+    """
     r = recent_tweets(users, tweets, k)
-    tv = tweet_vecs.select(F.col("id").alias("tweet_id"), F.posexplode("vec").alias("pos", "value"))
-    m = (r.select("id", "tweet_id").join(tv, "tweet_id")
-         .groupBy("id", "pos").agg(F.avg("value").alias("value")))
-    pooled = vec.from_long(m, ["id"], "value", "vec")
+    tv = tweet_vecs.select(F.col("id").alias("tweet_id"), F.col("vec").cast("array<double>").alias("vec"))
+    summed = (r.select("id", "tweet_id").join(tv, "tweet_id")
+              .groupBy("id").agg(F.collect_list("vec").alias("_vs")))
+    total = F.aggregate(F.col("_vs"), vec.zeros(dim), lambda acc, x: vec.add(acc, x))
+    pooled = summed.select("id", vec.scale(total, 1.0 / F.size("_vs")).alias("vec"))
     return (users.select("id").join(pooled, "id", "left")
             .select("id", F.coalesce(F.col("vec"), vec.zeros(dim)).alias("vec")))
 
