@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from graphweft.llm import langid
+from graphweft.llm import chat, langid, licenses, mixing, toxicity
 
 QUERIES = {
     "op1_language_id": langid.query,
+    "op2_toxicity": toxicity.query,
+    "op8_license_scan": licenses.query,
+    "op9_chat_format": chat.query,
+    "op10_source_mix": mixing.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_chat_format": chat.ORACLE,
+}
