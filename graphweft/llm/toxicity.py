@@ -211,7 +211,7 @@ def _logits(text: pa.Array, m: ToxicityModel) -> np.ndarray:
             keys.append(rows[hit] * len(m.terms) + at[hit])
         key = np.unique(np.concatenate(keys))
         rows, at = key // len(m.terms), key % len(m.terms)
-        z = np.bincount(rows, weights=m.w[at], minlength=piece.n_rows)
+        z = np.bincount(rows, weights=m.w[at], minlength=piece.n_rows).astype(np.float64)
         for f in range(m.v.shape[1]):
             vf = m.v[at, f]
             s = np.bincount(rows, weights=vf, minlength=piece.n_rows)
