@@ -6,9 +6,11 @@ through that was put in; what else passes is found out by the join that follows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +42,25 @@ def bitmap(keys: DataFrame, key: Column, bits: int) -> Bitmap:
         part = np.frombuffer(bytes(r["map"]), np.uint8)
         data[at:at + len(part)] = part
     return Bitmap(bits, data)
+
+
+def columns(rows: DataFrame) -> list[Column]:
+    """All columns of a table, whatever characters their names hold."""
+    return [F.col(f"`{c}`") for c in rows.columns]
+
+
+def split(rows: DataFrame, keys: DataFrame, on: list[str], bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Rows whose columns ``on`` are certainly not among ``keys``' columns of those names, and
+    all others, which a join with ``keys`` has to tell apart. So the first need not be moved."""
+    code = F.xxhash64(*[F.struct(c) for c in on])
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(keys, code, bits))
+
+    def part(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = shared.value.has(batch.column("__key").to_numpy(zero_copy_only=False))
+                yield batch.filter(pa.array(hit == want))
+        return run
+
+    marked = rows.select(code.alias("__key"), F.struct(*columns(rows)).alias("__row"))
+    return tuple(marked.mapInArrow(part(want), marked.schema).select("__row.*") for want in (False, True))

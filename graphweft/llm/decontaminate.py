@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphweft.llm import words as W
-from graphweft.llm.bitmaps import bitmap
+from graphweft.llm.bitmaps import bitmap, columns, split
 from graphweft.session import cut_lineage
 
 
@@ -192,10 +192,12 @@ def _tiler(columns: list[str], p: DecontaminationParams):
     return run
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, params: DecontaminationParams | None = None) -> DataFrame:
-    """Pairs of documents (doc_id, text) and benchmark items (item_id, text) with a leak:
-    doc_id, item_id, item_words, covered_words, tiles and coverage."""
+def leaks(documents: DataFrame, benchmark: DataFrame, params: DecontaminationParams | None = None,
+          keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Pairs of documents (text) and benchmark items (item_id, text) with a leak: columns
+    ``keep`` of the document, item_id, item_words, covered_words, tiles and coverage."""
     p = params or DecontaminationParams()
+    own_id = F.struct(*[F.col(c) for c in keep]).alias("row")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
         _item_rows(p), "item_id bigint, item_words array<bigint>, seeds array<bigint>, times array<bigint>")
     items = cut_lineage(items.withColumn("item", F.monotonically_increasing_id()))
@@ -203,8 +205,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, params: DecontaminationPar
                   .select("item", "n", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")))
     filled = bitmap(item_seeds, F.col("seed"), p.filter_bits)
     shared = documents.sparkSession.sparkContext.broadcast(filled)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text"))
-    reduced = rows.mapInArrow(_reduced(shared, ["doc_id"], p), "doc_id bigint, doc_words array<bigint>, seeds array<bigint>")
+    rows = documents.select(own_id, F.col("text").alias("__text"))
+    words, seeds = (T.StructField(n, T.ArrayType(T.LongType())) for n in ("doc_words", "seeds"))
+    reduced = rows.mapInArrow(_reduced(shared, ["row"], p), T.StructType([rows.schema["row"], words, seeds]))
     reduced = cut_lineage(reduced.withColumn("doc", F.monotonically_increasing_id()))
     doc_seeds = reduced.select("doc", F.explode("seeds").alias("own"))
     met = doc_seeds.join(item_seeds, F.col("own") == F.col("seed"))
@@ -214,18 +217,29 @@ def leaks(documents: DataFrame, benchmark: DataFrame, params: DecontaminationPar
     pairs = met.groupBy("doc", "item").agg(F.sum("times").alias("places"), F.first("n").alias("n"))
     pairs = cut_lineage(pairs.filter(F.col("places") >= least).select("doc", "item"))
     own = items.select(F.col("item").alias("i"), "item_id", "item_words")
-    text = reduced.select(F.col("doc").alias("d"), "doc_id", "doc_words")
+    text = reduced.select(F.col("doc").alias("d"), "row", "doc_words")
     both = (pairs.join(own, F.col("item") == F.col("i")).join(text, F.col("doc") == F.col("d"))
-            .select("doc_id", "item_id", "item_words", "doc_words"))
-    schema = T.StructType([both.schema["doc_id"], both.schema["item_id"]]
+            .select("row", "item_id", "item_words", "doc_words"))
+    schema = T.StructType([both.schema["row"], both.schema["item_id"]]
                           + [T.StructField(n, T.LongType()) for n in ("item_words_n", "covered", "tiles")])
-    tiled = both.mapInArrow(_tiler(["doc_id", "item_id"], p), schema)
+    tiled = both.mapInArrow(_tiler(["row", "item_id"], p), schema)
     coverage = F.col("covered") / F.col("item_words_n")
     return tiled.filter(F.col("covered") >= F.col("item_words_n") * p.min_cover - 1e-9).select(
-        "doc_id", "item_id", F.col("item_words_n").alias("item_words"), F.col("covered").alias("covered_words"),
+        "row.*", "item_id", F.col("item_words_n").alias("item_words"), F.col("covered").alias("covered_words"),
         "tiles", coverage.alias("coverage"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every document and benchmark item of which it holds a leak."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents that hold a benchmark item go, all others stay unchanged."""
+    keyed = docs.select(F.xxhash64("text").alias("__hash"), *columns(docs))
+    found = leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("doc_id", "__hash"))
+    found = cut_lineage(found.select("doc_id", "__hash").distinct())
+    rest, some = split(keyed, found, ["doc_id", "__hash"])
+    found = found.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h"))
+    some = some.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_anti")
+    return rest.unionByName(some).select(*columns(docs))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphweft.llm import words as W
+from graphweft.llm.bitmaps import columns
 
 
 @dataclass(frozen=True)
@@ -241,5 +242,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is rejected go, all others stay unchanged."""
     model = fit(docs)
-    mark = predict(docs.select(*docs.columns), model, keep=docs.columns)
-    return mark.filter(~F.col("rejected")).select(*docs.columns)
+    rows = docs.select(F.struct(*columns(docs)).alias("__row"), "text")
+    return predict(rows, model, keep=["__row"]).filter(~F.col("rejected")).select("__row.*")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphweft.llm import words as W
-from graphweft.llm.bitmaps import bitmap
+from graphweft.llm.bitmaps import bitmap, columns, split
 from graphweft.llm.components import components
 from graphweft.session import cut_lineage
 
@@ -138,17 +138,18 @@ def _sketcher(p: MinHashParams):
                 return pa.ListArray.from_arrays(off, pa.array(m.ravel()))
 
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(k1), pa.array(k2), lists(bands), lists(sketch)],
-                ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(size), pa.array(k1), pa.array(k2), lists(bands), lists(sketch)],
+                ["doc_id", "text_hash", "n_shingles", "k1", "k2", "bands", "sketch"])
     return run
 
 
 def sketches(documents: DataFrame, params: MinHashParams | None = None) -> DataFrame:
-    """doc_id, n_shingles, k1 and k2 (128-bit key of the set), bands and odd sketch of each
-    document's whole text."""
+    """doc_id, text_hash, n_shingles, k1 and k2 (128-bit key of the set), bands and odd sketch of
+    each document's whole text."""
     p = params or MinHashParams()
-    schema = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(p), schema)
+    schema = "doc_id bigint, text_hash bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>"
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(_sketcher(p), schema)
 
 
 def _distance(a: str, b: str, p: MinHashParams) -> Column:
@@ -239,7 +240,8 @@ def _across(banded: DataFrame, classes: DataFrame, label: DataFrame, p: MinHashP
 
 
 def near_duplicates(documents: DataFrame, params: MinHashParams | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``documents`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept and text_hash of every row of ``documents``
+    (doc_id, text)."""
     p = params or MinHashParams()
     every = cut_lineage(sketches(documents, p))
     full = every.filter("n_shingles > 0")
@@ -263,13 +265,37 @@ def near_duplicates(documents: DataFrame, params: MinHashParams | None = None) -
     named = cut_lineage(classes.join(label, F.col("class_id") == F.col("id"), "left")
                         .select(F.col("k1").alias("c1"), F.col("k2").alias("c2"),
                                 F.coalesce("component", "class_id").alias("component")))
-    joined = every.select("doc_id", "n_shingles", "k1", "k2").join(
+    joined = every.select("doc_id", "text_hash", "n_shingles", "k1", "k2").join(
         named, (F.col("n_shingles") > 0) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"),
-                         F.col("doc_id").eqNullSafe(component).alias("kept"))
+                         F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op5: near-duplicate components of all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each component stays, the one with the smallest doc_id.
+
+    Of several rows with its id one with the smallest text hash stays. Rows without an id stay
+    if no row with an id has their set; those of one text then count as one.
+    """
+    marks = cut_lineage(near_duplicates(docs).select("doc_id", "text_hash", "kept"))
+    one = marks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("least"))
+    one = one.select(F.col("doc_id").alias("id"), "n", "least")
+    joined = marks.join(cut_lineage(one), F.col("doc_id").eqNullSafe(F.col("id")))
+    chosen = F.col("kept") & (F.col("doc_id").isNull() | (F.col("text_hash") == F.col("least")))
+    touched = joined.filter(~F.col("kept") | (F.col("n") > 1)).groupBy("doc_id", "text_hash").agg(F.max(chosen).alias("chosen"))
+    touched = cut_lineage(touched.withColumnRenamed("text_hash", "__hash"))
+    keyed = docs.select(F.xxhash64("text").alias("__hash"), *columns(docs))
+    rest, some = split(keyed, touched, ["doc_id", "__hash"])
+    mark = touched.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h"), "chosen")
+    met = some.join(mark, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
+    row = F.struct(*columns(docs))
+    alike = (met.filter("chosen").groupBy("doc_id", "__hash")
+             .agg(F.min_by(row, F.xxhash64(*columns(docs))).alias("row")).select("row.*"))
+    free = met.filter("chosen IS NULL").select(*columns(docs))
+    return rest.select(*columns(docs)).unionByName(free).unionByName(alike)

@@ -212,3 +212,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = with_size(docs.select(F.col("doc_id").cast("string").alias("key"), "source", "text"))
     return mix(sized).select(F.col("key").cast("long").alias("doc_id"), "size", "source_size", "target",
                              (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the mix itself, each document as often as it is taken: the columns of
+    ``docs`` and size, source_size, target and copy (from 1); such columns of ``docs`` are
+    replaced. Rows alike in doc_id, text and source are copies of one of them."""
+    new = ["size", "source_size", "target", "copy"]
+    old = [c for c in docs.columns if c not in new]
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string"))
+    sized = with_size(docs.select(key.alias("key"), "source", "text"))
+    wanted = (mix(sized).groupBy(F.col("key").alias("k"), F.col("source").alias("s"))
+              .agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"), F.first("size").alias("size"),
+                   F.first("source_size").alias("source_size"), F.first("target").alias("target")).filter("copies > 0"))
+    row = F.struct(*[F.col(f"`{c}`") for c in old])
+    rows = docs.select(key.alias("key"), F.col("source").alias("own"), row.alias("row"))
+    met = rows.join(cut_lineage(wanted), (F.col("key") == F.col("k")) & F.col("own").eqNullSafe(F.col("s")))
+    once = met.filter("n = 1").select("row", "copies", "size", "source_size", "target")
+    alike = (met.filter("n > 1").groupBy("k", "s")
+             .agg(F.min_by("row", F.xxhash64("row")).alias("row"), *[F.first(c).alias(c) for c in ("copies", "size", "source_size", "target")])
+             .select("row", "copies", "size", "source_size", "target"))
+    each = once.unionByName(alike)
+    return each.select("row.*", "size", "source_size", "target",
+                       F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))

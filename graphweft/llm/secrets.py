@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphweft.llm import words as W
-from graphweft.llm.bitmaps import bitmap
+from graphweft.llm.bitmaps import columns, split
 from graphweft.session import cut_lineage
 
 # Kinds in the order of results, the patterns of the base kinds, the least
@@ -239,29 +239,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Only texts that a fixed-size filter of the concerned ids lets through are moved to meet
     their spans; all others go on as they are.
     """
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
+    keyed = docs.select(F.xxhash64("text").alias("__hash"), *columns(docs))
     found = scan(keyed, owner="source", repo="lang", keep=["doc_id", "__hash"])
-    live = cut_lineage(found.filter(F.size("live") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h"))
-                       .agg(F.first("live").alias("__live")))
-    key = F.xxhash64(F.col("__id"), F.col("__h"))
-    concerned = bitmap(live, key, 22)
-    here = F.xxhash64(F.col("doc_id"), F.col("__hash"))
-    shared = spark.sparkContext.broadcast(concerned)
-
-    def split(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = shared.value.has(batch.column("__key").to_numpy(zero_copy_only=False))
-                yield batch.filter(pa.array(hit == want))
-        return run
-
-    marked = keyed.withColumn("__key", here)
-    rest = marked.mapInArrow(split(False), marked.schema).select(*docs.columns)
-    some = marked.mapInArrow(split(True), marked.schema)
+    live = cut_lineage(found.filter(F.size("live") > 0).groupBy("doc_id", "__hash").agg(F.first("live").alias("__live")))
+    rest, some = split(keyed, live, ["doc_id", "__hash"])
+    live = live.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h"), "__live")
     some = some.join(live, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
-    some = some.select(*docs.columns, "__live")
-    fixed = some.mapInArrow(_redactor(docs.columns, docs.columns.index("text")), docs.schema)
+    fixed = some.select(*columns(docs), "__live").mapInArrow(_redactor(docs.columns, docs.columns.index("text")), docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         fixed = fixed.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rest.unionByName(fixed.select(*docs.columns))
+    return rest.select(*columns(docs)).unionByName(fixed)
