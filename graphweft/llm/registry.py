@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from graphweft.llm import chat, langid, licenses, mixing, toxicity
+from graphweft.llm import chat, decontaminate, langid, licenses, lm, minhash, mixing, secrets, toxicity, vectors
 
 QUERIES = {
     "op1_language_id": langid.query,
     "op2_toxicity": toxicity.query,
+    "op3_decontamination": decontaminate.query,
+    "op4_embedding_near_dedup": vectors.query,
+    "op5_minhash_near_dedup": minhash.query,
+    "op6_secret_scan": secrets.query,
+    "op7_lm_score": lm.query,
     "op8_license_scan": licenses.query,
     "op9_chat_format": chat.query,
     "op10_source_mix": mixing.query,
