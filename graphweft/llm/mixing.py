@@ -7,12 +7,13 @@ among the others by weight until none is above. A document of a source is wanted
 rounded by pairs (Deville and Tille's pivotal method, with words as sizes): mass moves at
 random from one document of a pair to the other, words for words, until one of them is
 integral, and the other meets the next document. Expected copies stay as wanted, and each
-pair keeps its words, so that a source's total misses its target by less than one document.
+pair keeps its words, so that a source's total misses its target by half of its last open
+document at most.
 
 The pairs form a reduction tree on Spark: documents of a source are dealt into groups by a
 hash, each group is reduced by itself and leaves at most one fractional document, and these
 are the documents of the next level, until one is left for each source. That one is rounded
-by chance. All random numbers are hashes of row keys, so reruns agree.
+to the nearer side, so that the total is as near as whole documents allow. All random numbers are hashes of row keys, so reruns agree.
 
 Defined results: a null text has 0 words; documents without words are taken 0 times; a null
 source is a source of its own, the last one. Repeated rows are documents of their own, told
@@ -142,13 +143,14 @@ _ROW = T.StructType([T.StructField("source", T.StringType()), T.StructField("key
 
 def _reduce(seed: str, level: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "key", "nth"], kind="stable").reset_index(drop=True)
+        # large documents first: what one leaves open meets ever smaller ones, which settle it
+        rows = rows.sort_values(["size", "key", "nth"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         keys = list(zip(rows["key"], rows["nth"], strict=True))
         source = rows["source"].iloc[0]
         shares, last = pivotal_pass(keys, rows["size"].tolist(), rows["share"].tolist(),
                                     lambda i: _chance(seed, level, source, keys[i][0], int(keys[i][1])))
         if last is not None and rows["buckets"].iloc[0] <= 1:  # the root of this source's tree
-            shares[last] = float(_chance(seed, -1, source, keys[last][0], int(keys[last][1])) < shares[last])
+            shares[last] = float(shares[last] >= 0.5)
         rows["share"] = shares
         return rows
     return run
