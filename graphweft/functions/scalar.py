@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: reference date for account age (UTC).
 ACCOUNT_AGE_REFERENCE = dt.datetime(2020, 9, 5, 0, 0, 0)
+EPOCH = dt.datetime(1970, 1, 1)
 MICROS_PER_DAY = 86_400_000_000
 
 
@@ -31,9 +32,14 @@ def strict_timestamp(c: Column) -> Column:
 
 
 def days_between_floor(later: Column | dt.datetime, earlier: Column) -> Column:
-    """Whole days from ``earlier`` to ``later``, floored (-1 h gives -1), null -> 0."""
-    later_c = F.lit(later).cast("timestamp") if isinstance(later, dt.datetime) else later
-    diff = F.unix_micros(later_c.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
+    """Whole days from ``earlier`` to ``later``, floored (-1 h gives -1), null -> 0.
+
+    A Python ``later`` without a zone is in UTC, whatever zone the driver process has."""
+    if isinstance(later, dt.datetime):
+        end = F.lit((later - EPOCH) // dt.timedelta(microseconds=1))
+    else:
+        end = F.unix_micros(later.cast("timestamp"))
+    diff = end - F.unix_micros(earlier.cast("timestamp"))
     return F.coalesce(F.floor(diff / F.lit(MICROS_PER_DAY)), F.lit(0)).cast("bigint")
 
 
@@ -53,7 +59,7 @@ def bool_flag(c: Column) -> Column:
 
 def default_image_flag(url: Column, default_url: str) -> Column:
     """1.0 when the image is missing, blank, or the default image."""
-    return (F.when(url.isNull() | (F.trim(url) == "") | (url == F.lit(default_url)), F.lit(1.0))
+    return (F.when(url.isNull() | url.rlike(r"^\s*$") | (url == F.lit(default_url)), F.lit(1.0))
             .otherwise(F.lit(0.0)).cast("float"))
 
 

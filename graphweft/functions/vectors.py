@@ -1,8 +1,8 @@
 """Dense-vector helpers on ``ARRAY<DOUBLE|FLOAT>`` columns.
 
 Element-wise work uses higher-order functions (``transform``, ``zip_with``,
-``aggregate``), which run inside the JVM. Vector *aggregation* across rows is done in long
-form (posexplode -> groupBy(..., pos) -> collect ordered), since Spark has no vector sum.
+``aggregate``), which run inside the JVM. Vectors are aggregated across rows whole, by Spark
+ML's summarizer (``mean_by``, ``sum_by``).
 """
 
 from __future__ import annotations
@@ -63,19 +63,26 @@ def from_long(df: DataFrame, keys: Sequence[str], value: str = "value", out: str
             .select(*keys, F.col(f"_s.{value}").alias(out)))
 
 
-def mean_by(df: DataFrame, keys: Sequence[str], vec: str, out: str = "vec") -> DataFrame:
-    """Element-wise mean of ``vec`` per group of ``keys``.
+def _summed(df: DataFrame, keys: Sequence[str], vec: str, metric: str, out: str, count: str | None) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-    Long form keeps the group key plus the position in the shuffle key, so a group with
-    many rows (a hub) is spread over ``dim`` reducers and partial aggregation collapses
-    it before the shuffle.
+    rows = df.select(*keys, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    how = Summarizer.mean if metric == "mean" else Summarizer.sum
+    counts = [F.count(F.lit(1)).alias(count)] if count else []
+    done = rows.groupBy(*keys).agg(how(F.col("_v")).alias("_a"), *counts)
+    return done.select(*keys, vector_to_array("_a").alias(out), *([count] if count else []))
+
+
+def mean_by(df: DataFrame, keys: Sequence[str], vec: str, out: str = "vec", count: str | None = None) -> DataFrame:
+    """Element-wise mean of ``vec`` per group of ``keys`` (and the number of rows as ``count``).
+
+    Whole vectors are aggregated, by Spark ML's summarizer: each task merges its rows of a group
+    into one vector before the shuffle, so that a group with many rows (a hub) is a few vectors.
     """
-    long_df = to_long(df, keys, vec)
-    agg = long_df.groupBy(*keys, "pos").agg(F.avg("value").alias("value"))
-    return from_long(agg, keys, "value", out)
+    return _summed(df, keys, vec, "mean", out, count)
 
 
-def sum_by(df: DataFrame, keys: Sequence[str], vec: str, out: str = "vec") -> DataFrame:
-    long_df = to_long(df, keys, vec)
-    agg = long_df.groupBy(*keys, "pos").agg(F.sum("value").alias("value"))
-    return from_long(agg, keys, "value", out)
+def sum_by(df: DataFrame, keys: Sequence[str], vec: str, out: str = "vec", count: str | None = None) -> DataFrame:
+    """Element-wise sum of ``vec`` per group of ``keys``; see ``mean_by``."""
+    return _summed(df, keys, vec, "sum", out, count)

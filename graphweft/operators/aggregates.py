@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweft.session import cut_lineage
 from graphweft.sources.driver_tables import SOCIAL_RELATIONS
 
 LABELS = ("human", "bot")
@@ -87,29 +88,29 @@ def class_shares(users: DataFrame, label_col: str = "label") -> DataFrame:
     """Label, n, share of all rows."""
     counts = users.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
     total = users.count()
-    return counts.withColumn("share", F.round(F.col("n") / F.lit(float(total)), 6))
+    return counts.withColumn("share", F.col("n") / F.lit(float(total)))
 
 
 def distinct_summary(users: DataFrame, tweet_ids: DataFrame, id_col: str = "id") -> DataFrame:
     """One row of distinct counts and class shares."""
-    u = users.agg(F.countDistinct(id_col).alias("num_users"),
-                  F.countDistinct(F.when(F.col("label") == "human", F.col(id_col))).alias("num_humans"),
-                  F.countDistinct(F.when(F.col("label") == "bot", F.col(id_col))).alias("num_bots"))
-    t = tweet_ids.agg(F.countDistinct(id_col).alias("num_tweets"))
-    row_u, row_t = u.first(), t.first()
-    spark = users.sparkSession
-    n = row_u["num_users"]
-    return spark.createDataFrame(
-        [(row_u["num_users"], row_u["num_humans"], row_u["num_bots"],
-          round(row_u["num_humans"] / n, 6) if n else None,
-          round(row_u["num_bots"] / n, 6) if n else None, row_t["num_tweets"])],
-        "num_users bigint, num_humans bigint, num_bots bigint, perc_humans double, "
-        "perc_bots double, num_tweets bigint")
-
-
-def means_by_label(users: DataFrame, metrics: dict[str, str], digits: int = 6) -> DataFrame:
+    both = users.select(F.col(id_col).alias("u"), "label", F.lit(None).cast("string").alias("t")).unionByName(
+        tweet_ids.select(F.lit(None).cast("string").alias("u"), F.lit(None).cast("string").alias("label"),
+                         F.col(id_col).cast("string").alias("t")))
+    one = both.agg(F.count_distinct("u").alias("num_users"),
+                   F.count_distinct(F.when(F.col("label") == "human", F.col("u"))).alias("num_humans"),
+                   F.count_distinct(F.when(F.col("label") == "bot", F.col("u"))).alias("num_bots"),
+                   F.count_distinct("t").alias("num_tweets"))
+
+    def share(c: str) -> Column:
+        return F.when(F.col("num_users") > 0, F.col(c) / F.col("num_users"))
+
+    return one.select("num_users", "num_humans", "num_bots", share("num_humans").alias("perc_humans"),
+                      share("num_bots").alias("perc_bots"), "num_tweets")
+
+
+def means_by_label(users: DataFrame, metrics: dict[str, str]) -> DataFrame:
     """Metric rows x label columns (human, bot) of means — transposed summary."""
-    aggs = [F.round(F.avg(F.when(F.col("label") == lab, F.col(c))), digits).alias(f"{name}__{lab}")
+    aggs = [F.avg(F.when(F.col("label") == lab, F.col(c))).alias(f"{name}__{lab}")
             for name, c in metrics.items() for lab in LABELS]
     wide = users.agg(*aggs)
     stack = ", ".join(f"'{name}', `{name}__human`, `{name}__bot`" for name in metrics)
@@ -142,8 +143,7 @@ def scalar_stats(df: DataFrame, exprs: dict[str, Column]) -> dict:
     return row.asDict()
 
 
-def density_histogram(df: DataFrame, col: str, bins: int, group: str | None = None,
-                      digits: int = 6) -> DataFrame:
+def density_histogram(df: DataFrame, col: str, bins: int, group: str | None = None) -> DataFrame:
     """Equal-width histogram over [min, max] of ``col``: bin, n, density.
 
     ``density = n / (N * width)``; the maximum falls in the last bin. With ``group`` the
@@ -166,60 +166,68 @@ def density_histogram(df: DataFrame, col: str, bins: int, group: str | None = No
         counted = counted.join(totals, group)
     else:
         counted = counted.withColumn("_N", F.lit(df.where(F.col(col).isNotNull()).count()))
-    return (counted.withColumn("density", F.round(F.col("n") / (F.col("_N") * F.lit(width)), digits))
+    return (counted.withColumn("density", F.col("n") / (F.col("_N") * F.lit(width)))
             .drop("_N"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], group: str | None = None) -> dict:
-    """Exact quantiles with linear interpolation, per group: {group_value: [q, ...]}.
+def quantile_table(df: DataFrame, col: str, probs: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation as rows: group columns, p, value.
 
-    Spark's ``percentile``/``median`` keep every distinct value of a group in one
-    aggregation buffer, which a big group cannot afford. Here the values get a global
-    position in (group, value) order by a range-partitioned sort (``dense_index``); one
-    small aggregate gives each group's first position and size, and only the rows at the
-    2 * len(probs) needed positions per group are fetched.
+    Spark's ``percentile``/``median`` keep every distinct value of a group in one aggregation
+    buffer, which a big group cannot afford. Here equal values are counted first, so that ties
+    are one row however many they are; the distinct values are range-partitioned in (group,
+    value) order, positions run within each partition, and the partitions' totals, one small
+    row each, give what comes before. Rows at the wanted positions are then filtered out.
     """
-    from graphweft.operators.ordering import dense_index
-    g = [group] if group else []
-    base = df.where(F.col(col).isNotNull()).select(*g, F.col(col).cast("double").alias("_v"))
-    idx = dense_index(base, [*g, "_v"], "_i")
-    spans = idx.groupBy(*g).agg(F.min("_i").alias("start"), F.count(F.lit(1)).alias("n")).collect()
-    wanted, plan = set(), {}
-    for r in spans:
-        key = r[group] if group else None
-        pts = []
-        for p in probs:
-            pos = p * (r["n"] - 1)
-            lo = int(pos // 1)
-            hi = min(lo + 1, r["n"] - 1)
-            pts.append((r["start"] + lo, r["start"] + hi, pos - lo))
-            wanted.update([r["start"] + lo, r["start"] + hi])
-        plan[key] = pts
-    if not wanted:
-        return {}
-    vals = {r["_i"]: r["_v"] for r in idx.where(F.col("_i").isin(sorted(wanted))).select("_i", "_v").collect()}
-    return {k: [vals[lo] + (vals[hi] - vals[lo]) * f for lo, hi, f in pts] for k, pts in plan.items()}
+    g = list(group)
+    spark = df.sparkSession
+    counts = (df.where(F.col(col).isNotNull()).groupBy(*g, F.col(col).cast("double").alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_c")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = cut_lineage(counts.repartitionByRange(n, *g, "_v").withColumn("_pid", F.spark_partition_id()))
+    totals = pieces.groupBy(*g, "_pid").agg(F.sum("_c").alias("_t"))
+    before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*g)
+    offsets = totals.select(*[F.col(c).alias(f"_g_{c}") for c in g], F.col("_pid").alias("_p"),
+                            F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_t").over(whole).alias("_n"))
+    same = F.col("_pid") == F.col("_p")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    run = Window.partitionBy(*g, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (pieces.withColumn("_run", F.sum("_c").over(run)).join(offsets, same)
+              .withColumn("_hi", F.col("_off") + F.col("_run")).withColumn("_lo", F.col("_hi") - F.col("_c")))
+    wanted = F.transform(F.array(*[F.lit(float(p)) for p in probs]),
+                         lambda p: F.struct(p.alias("p"), (p * (F.col("_n") - 1)).alias("pos")))
+    at = placed.select(*g, "_v", "_lo", "_hi", "_n", F.explode(wanted).alias("_w"))
+    low = F.floor(F.col("_w.pos"))
+    high = F.least(low + 1, F.col("_n") - 1)
+    share = F.col("_w.pos") - low
+
+    def here(position: Column) -> Column:
+        return (F.col("_lo") <= position) & (position < F.col("_hi"))
+
+    part = (F.when(here(low), F.col("_v") * (F.lit(1.0) - share)).otherwise(F.lit(0.0))
+            + F.when(here(high), F.col("_v") * share).otherwise(F.lit(0.0)))
+    return (at.where(here(low) | here(high)).groupBy(*g, F.col("_w.p").alias("p"))
+            .agg(F.sum(part).alias("value")))
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float] = (0.05, 0.95, 0.99),
-              group: str | None = None, digits: int = 6) -> DataFrame:
-    """Exact quantiles with linear interpolation (see ``exact_quantiles``)."""
-    names = [f"q{int(round(p * 100)):02d}" for p in probs]
-    res = exact_quantiles(df, col, probs, group)
-    rows = [((k,) if group else ()) + tuple(round(v, digits) for v in qs) for k, qs in res.items()]
-    gtype = df.schema[group].dataType.simpleString() if group else None
-    schema = (f"{group} {gtype}, " if group else "") + ", ".join(f"{n} double" for n in names)
-    return df.sparkSession.createDataFrame(rows, schema)
+              group: str | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, a column for each (``quantile_table``)."""
+    g = [group] if group else []
+    rows = quantile_table(df, col, probs, g)
+    cells = [F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(f"q{int(round(p * 100)):02d}") for p in probs]
+    return rows.groupBy(*g).agg(*cells)
 
 
 def time_range(users: DataFrame, tweets: DataFrame) -> DataFrame:
     """Min over user creation; max over users and tweets."""
-    u = users.agg(F.min("created_at").alias("min_time"), F.max("created_at").alias("u_max"))
-    t = tweets.agg(F.max("created_at").alias("t_max"))
-    ru, rt = u.first(), t.first()
-    spark = users.sparkSession
-    mx = max([x for x in (ru["u_max"], rt["t_max"]) if x is not None], default=None)
-    return spark.createDataFrame([(ru["min_time"], mx)], "min_time timestamp, max_time timestamp")
+    at = F.col("created_at").cast("timestamp")
+    both = users.select(at.alias("t"), at.alias("u")).unionByName(
+        tweets.select(at.alias("t"), F.lit(None).cast("timestamp").alias("u")))
+    return both.agg(F.min("u").alias("min_time"), F.max("t").alias("max_time"))
 
 
 def class_weights(labels: DataFrame, label_col: str = "y") -> DataFrame:

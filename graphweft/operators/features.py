@@ -184,15 +184,16 @@ def posted_vector_changes(snap: Snapshots, tweet_vecs: DataFrame) -> DataFrame:
     snapshot where it changes: id, snapshot_idx, vec.
 
     The value for snapshot i is the row with the largest snapshot_idx <= i (as-of read, see
-    ``vectors_at``); users with no post yet have zeros. Pre-aggregation per
-    (user, snapshot, pos) bounds each running-sum window by the number of snapshots.
+    ``vectors_at``); users with no post yet have zeros. Whole vectors are summed per (user,
+    snapshot), partially before the shuffle; only these sums, one for each change, are taken
+    apart by position for the running sum.
     """
     posts = snap.edges.where(F.col("relation") == "post").select(
         F.col("source_id").alias("id"), F.col("target_id").alias("tweet_id"),
         F.col("first_snapshot").cast("bigint").alias("snapshot_idx"))
-    tv = tweet_vecs.select(F.col("id").alias("tweet_id"), F.posexplode("vec").alias("pos", "value"))
-    per = (posts.join(tv, "tweet_id").groupBy("id", "snapshot_idx", "pos")
-           .agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n")))
+    tv = tweet_vecs.select(F.col("id").alias("tweet_id"), "vec")
+    sums = vec.sum_by(posts.join(tv, "tweet_id"), ["id", "snapshot_idx"], "vec", count="n")
+    per = sums.select("id", "snapshot_idx", "n", F.posexplode("vec").alias("pos", "s"))
     w = Window.partitionBy("id", "pos").orderBy("snapshot_idx").rowsBetween(Window.unboundedPreceding, 0)
     run = per.select("id", "snapshot_idx", "pos", (F.sum("s").over(w) / F.sum("n").over(w)).alias("value"))
     return vec.from_long(run, ["id", "snapshot_idx"], "value", "vec")
@@ -236,8 +237,7 @@ def scorer_vector(dim: int, seed: int = 42) -> np.ndarray:
     return np.array([(2.0 * _u(f"topk:{i}:{seed}") - 1.0) * bound for i in range(dim)])
 
 
-def topk_per_snapshot(snap: Snapshots, node_vecs: DataFrame, k: int, seed: int = 42,
-                      digits: int = 8) -> DataFrame:
+def topk_per_snapshot(snap: Snapshots, node_vecs: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """Per snapshot the k active users with the highest ``x . p / (|p| + 1e-8)``.
 
     Returns snapshot_idx, rank (1..k), id, score, weight = tanh(score), vec = x * weight.
@@ -247,14 +247,14 @@ def topk_per_snapshot(snap: Snapshots, node_vecs: DataFrame, k: int, seed: int =
     never is later: only the top k of each arrival week are candidates (at most k per
     week), and each candidate is expanded to the weeks from its arrival on. The final window
     runs over at most k * (weeks so far) rows per snapshot, independent of the user count.
+    Ids and scores alone are expanded; vectors meet the chosen rows at the end.
     """
     dim = node_vecs.select(F.size("vec").alias("d")).first()["d"]
     p = scorer_vector(dim, seed)
     pn = float(np.linalg.norm(p))
-    score = F.round(vec.dot(F.col("vec"), F.array(*[F.lit(float(v)) for v in p])) / F.lit(pn + 1e-8),
-                    digits)
+    score = vec.dot(F.col("vec"), F.array(*[F.lit(float(v)) for v in p])) / F.lit(pn + 1e-8)
     scored = (snap.users.join(node_vecs, "id")
-              .select("id", "vec", F.col("first_snapshot").cast("bigint").alias("fs"), score.alias("score")))
+              .select("id", F.col("first_snapshot").cast("bigint").alias("fs"), score.alias("score")))
     wa = Window.partitionBy("fs").orderBy(F.col("score").desc(), F.col("id").asc())
     cand = scored.withColumn("_r", F.row_number().over(wa)).where(F.col("_r") <= k).drop("_r")
     n = snap.grid.count
@@ -266,8 +266,8 @@ def topk_per_snapshot(snap: Snapshots, node_vecs: DataFrame, k: int, seed: int =
              .withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k)))))
     filled = (slots.join(cnt, "snapshot_idx", "left")
               .withColumn("_src", F.least(F.col("rank"), F.coalesce(F.col("_n"), F.lit(0)))))
-    picked = filled.join(top.select("snapshot_idx", F.col("rank").alias("_src"), "id", "score", "vec"),
-                         ["snapshot_idx", "_src"], "left")
+    picked = filled.join(top.select("snapshot_idx", F.col("rank").alias("_src"), "id", "score"),
+                         ["snapshot_idx", "_src"], "left").join(node_vecs.select("id", "vec"), "id", "left")
     weight = F.tanh(F.col("score"))
     return picked.select(
         "snapshot_idx", F.col("rank").cast("int").alias("rank"), "id", "score",

@@ -54,12 +54,12 @@ def _persist(df: DataFrame) -> DataFrame:
 # --- H1 PageRank ------------------------------------------------------------------------
 
 def pagerank(g: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6,
-             checkpoint_interval: int = 5, fail_on_no_convergence: bool = False) -> DataFrame:
+             checkpoint_interval: int = 5, fail_on_no_convergence: bool = True) -> DataFrame:
     """H1: PageRank of the directed multigraph (parallel edges add weight).
 
-    Start 1/N, dangling mass spread uniformly, stop when the L1 change is below N*tol or
-    after ``max_iter`` rounds (``tol=None`` runs exactly ``max_iter`` rounds). Returns id,
-    pagerank.
+    Start 1/N, dangling mass spread uniformly, stop when the L1 change is below N*tol;
+    raises if ``max_iter`` rounds do not get there (``tol=None`` runs exactly ``max_iter``
+    rounds). Returns id, pagerank.
 
     Plan: multi-edges are collapsed once into transition probabilities, partitioned by
     source and persisted; per round one join with the ranks on the source and one
@@ -166,6 +166,8 @@ def connected_components(g: Graph, max_iter: int = 200, checkpoint_interval: int
         if cur == last:
             break
         last = cur
+    else:
+        raise RuntimeError(f"connected components did not settle in {max_iter} rounds")
     comp = e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
     roots = e.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
     labelled = cut_lineage(comp.unionByName(roots).groupBy("id").agg(F.min("component").alias("component")))
@@ -211,38 +213,47 @@ def relational_mean(edges: DataFrame, features: DataFrame, vec_col: str = "vec")
     (u -> v in r sends x_u to v): id, relation, vec. Nodes without in-edges of a relation
     get no row (the model adds nothing for them).
 
-    Long form (target, relation, pos) is the aggregation key, so a hub target's messages
-    spread over ``dim`` reducers and are pre-aggregated map-side.
+    Whole vectors meet the edges; a hub target's messages are merged into one vector by each
+    task before the shuffle (``vectors.mean_by``).
     """
-    x = features.select(F.col("id").alias("source_id"), F.posexplode(vec_col).alias("pos", "value"))
-    msg = edges.select("source_id", "relation", "target_id").join(x, "source_id")
-    mean = (msg.groupBy(F.col("target_id").alias("id"), "relation", "pos")
-            .agg(F.avg("value").alias("value")))
-    return vec.from_long(mean, ["id", "relation"], "value", "vec")
+    x = features.select(F.col("id").alias("source_id"), F.col(vec_col).alias("vec"))
+    msg = (edges.select("source_id", "relation", F.col("target_id").alias("id")).join(x, "source_id"))
+    return vec.mean_by(msg, ["id", "relation"], "vec")
 
 
-def normalised_relational_sum(edges: DataFrame, features: DataFrame, vec_col: str = "vec") -> DataFrame:
+def normalised_relational_sum(edges: DataFrame, features: DataFrame, vec_col: str = "vec",
+                              keys: Sequence[str] = ()) -> DataFrame:
     """H8: per row node and relation, sum over its edges row -> col of
     ``d(row)^-1/2 * d(col)^-1/2 * x_col`` where d counts a node's occurrences as *row* within
-    the relation (a col that is never a row weighs 0): id, relation, vec.
+    the relation (a col that is never a row weighs 0): id, relation, vec. With ``keys`` (say, a
+    snapshot's number) each of their values is a graph of its own.
 
-    Pre-aggregation: the weights depend only on (row, col, relation), so parallel edges
-    are collapsed into a multiplicity before the vectors are joined in.
+    The weights depend only on (row, col, relation), so parallel edges are collapsed into a
+    multiplicity before the vectors are joined in; a pair carries one whole, scaled vector.
     """
-    e = edges.select(F.col("source_id").alias("row"), "relation", F.col("target_id").alias("col"))
-    d = e.groupBy(F.col("row").alias("node"), "relation").agg(F.count(F.lit(1)).alias("d"))
-    pairs = e.groupBy("row", "relation", "col").agg(F.count(F.lit(1)).alias("mult"))
-    dr = d.select(F.col("node").alias("row"), "relation", F.col("d").alias("d_row"))
-    dc = d.select(F.col("node").alias("col"), "relation", F.col("d").alias("d_col"))
-    wts = (pairs.join(dr, ["row", "relation"]).join(dc, ["col", "relation"], "left")
-           .select("row", "relation", "col",
+    k = list(keys)
+    e = edges.select(*k, F.col("source_id").alias("row"), "relation", F.col("target_id").alias("col"))
+    d = e.groupBy(*k, F.col("row").alias("node"), "relation").agg(F.count(F.lit(1)).alias("d"))
+    pairs = e.groupBy(*k, "row", "relation", "col").agg(F.count(F.lit(1)).alias("mult"))
+    dr = d.select(*k, F.col("node").alias("row"), "relation", F.col("d").alias("d_row"))
+    dc = d.select(*k, F.col("node").alias("col"), "relation", F.col("d").alias("d_col"))
+    wts = (pairs.join(dr, [*k, "row", "relation"]).join(dc, [*k, "col", "relation"], "left")
+           .select(*k, "row", "relation", "col",
                    (F.col("mult") * F.pow(F.col("d_row"), -0.5)
                     * F.coalesce(F.pow(F.col("d_col"), -0.5), F.lit(0.0))).alias("w")))
-    x = features.select(F.col("id").alias("col"), F.posexplode(vec_col).alias("pos", "value"))
-    s = (wts.join(x, "col")
-         .groupBy(F.col("row").alias("id"), "relation", "pos")
-         .agg(F.sum(F.col("w") * F.col("value")).alias("value")))
-    return vec.from_long(s, ["id", "relation"], "value", "vec")
+    x = features.select(F.col("id").alias("col"), F.col(vec_col).alias("x"))
+    s = wts.join(x, "col").select(*k, F.col("row").alias("id"), "relation", vec.scale(F.col("x"), F.col("w")).alias("vec"))
+    return vec.sum_by(s, [*k, "id", "relation"], "vec")
+
+
+def with_own_term(sums: DataFrame, features: DataFrame, keys: Sequence[str] = (), vec_col: str = "vec") -> DataFrame:
+    """H8 with identity weights: a node's own vector plus its relations' sums: (keys,) id, vec.
+
+    ``features`` (keys, id, vec) has the nodes of each graph; nodes without edges keep their
+    own vector."""
+    k = [*keys, "id"]
+    own = features.select(*k, F.col(vec_col).cast("array<double>").alias("vec"))
+    return vec.sum_by(own.unionByName(sums.select(*k, "vec")), k, "vec")
 
 
 def _relation_blocks(edges: DataFrame, cur: DataFrame, relations: Sequence[str], dim: int) -> DataFrame:

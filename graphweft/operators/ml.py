@@ -27,6 +27,9 @@ SELECTION_BOT_WEIGHT = 0.7
 SELECTION_MACRO_WEIGHT = 0.3
 SELECTION_MIN_DELTA = 1e-4
 
+#: rows that one task of an exact rank sorts together, on average
+ROWS_PER_BUCKET = 50_000
+
 
 def rank_within(df: DataFrame, group: Sequence[str], key: Column, tie: str = "id",
                 buckets: int = 1024, out: str = "rank") -> DataFrame:
@@ -56,7 +59,7 @@ def static_split(nodes: DataFrame, in_test: str = "in_test", val_ratio: float =
     rest = nodes.where(~F.col(in_test))
     n_rest = rest.count()
     n_val = int(val_ratio * n_rest)
-    buckets = max(1, min(1024, n_rest // 50_000))
+    buckets = max(1, n_rest // ROWS_PER_BUCKET)
     ranked = rank_within(rest.select("id"), [], uniform(F.col("id"), seed), buckets=buckets)
     return (ranked.select("id", F.when(F.col("rank") < n_val, "val").otherwise("train").alias("split"))
             .unionByName(nodes.where(F.col(in_test)).select("id", F.lit("test").alias("split"))))
@@ -69,7 +72,7 @@ def snapshot_split(members: DataFrame, val_ratio: float = SNAPSHOT_VAL_RATIO,
     ``members``: snapshot_idx, id. Returns snapshot_idx, id, split."""
     n = members.groupBy("snapshot_idx").agg(F.count(F.lit(1)).alias("_n"))
     n_max = n.agg(F.max("_n")).first()[0] or 0
-    buckets = max(1, min(1024, n_max // 50_000))
+    buckets = max(1, n_max // ROWS_PER_BUCKET)
     key = uniform(F.concat_ws(":", F.col("snapshot_idx").cast("string"), F.col("id")), seed)
     ranked = rank_within(members, ["snapshot_idx"], key, buckets=buckets).join(n, "snapshot_idx")
     n_val = F.bround(F.col("_n") * F.lit(val_ratio), 0)
@@ -80,7 +83,8 @@ def snapshot_split(members: DataFrame, val_ratio: float = SNAPSHOT_VAL_RATIO,
 
 
 def binary_metrics(df: DataFrame, group: Sequence[str] = (), y: str = "y", pred: str = "pred") -> DataFrame:
-    """Accuracy, F1 of class 1 (bot), macro F1 over both classes; a zero division is 0.
+    """Accuracy, F1 of class 1 (bot), macro F1 over the classes that occur in truth or
+    prediction; a zero division is 0.
 
     Confusion counts per group in one aggregation, then closed forms."""
     g = list(group)
@@ -95,10 +99,11 @@ def binary_metrics(df: DataFrame, group: Sequence[str] = (), y: str = "y", pred:
         return F.when(d > 0, F.lit(2.0) * tp / d).otherwise(F.lit(0.0))
     tp, fp, fn, tn = F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")
     total = tp + fp + fn + tn
+    classes = (tp + fp + fn > 0).cast("int") + (tn + fp + fn > 0).cast("int")
     return c.select(*g, "tp", "fp", "fn", "tn",
                     F.when(total > 0, (tp + tn) / total).otherwise(F.lit(0.0)).alias("accuracy"),
                     f1(tp, fp, fn).alias("f1_bot"),
-                    ((f1(tp, fp, fn) + f1(tn, fn, fp)) / 2).alias("f1_macro"))
+                    ((f1(tp, fp, fn) + f1(tn, fn, fp)) / F.greatest(classes, F.lit(1))).alias("f1_macro"))
 
 
 def selection_score(metrics: DataFrame) -> DataFrame:
@@ -124,15 +129,23 @@ def best_candidate(scores: DataFrame, order_col: str, score_col: str = "score",
 
 def weighted_cross_entropy(df: DataFrame, y: str = "y", p_bot: str = "p_bot",
                            weights: tuple[float, float] | None = None,
-                           group: Sequence[str] = ()) -> DataFrame:
-    """sum(w_y * -ln p_y) / sum(w_y); without weights the plain mean."""
-    py = F.when(F.col(y) == 1, F.col(p_bot)).otherwise(F.lit(1.0) - F.col(p_bot))
+                           group: Sequence[str] = (), logit: str | None = None) -> DataFrame:
+    """sum(w_y * -ln p_y) / sum(w_y); without weights the plain mean.
+
+    From ``logit`` (log-odds of class 1), if given, which stays finite however sure the model
+    is; otherwise from ``p_bot``, where a wrong certainty costs infinity."""
+    if logit is not None:
+        z = F.col(logit)
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.when(F.col(y) == 1, z).otherwise(F.lit(0.0))
+    else:
+        py = F.when(F.col(y) == 1, F.col(p_bot)).otherwise(F.lit(1.0) - F.col(p_bot))
+        loss = F.when(py > 0, -F.log(py)).when(py <= 0, F.lit(float("inf")))
     w = F.lit(1.0)
     if weights is not None:
         w = F.when(F.col(y) == 1, F.lit(weights[1])).otherwise(F.lit(weights[0]))
     g = list(group)
     return (df.groupBy(*g) if g else df.groupBy()).agg(
-        (F.sum(w * -F.log(py)) / F.sum(w)).alias("loss"))
+        (F.sum(w * loss) / F.sum(w)).alias("loss"))
 
 
 def sequence_means(per_snapshot: DataFrame, sequences: DataFrame,

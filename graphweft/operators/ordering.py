@@ -31,13 +31,12 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], out: str = "idx",
     # Materialise once (reliable checkpoint): the offsets and the rows must come from the
     # same partitioning, also after a recomputation.
     ranged = cut_lineage(ranged)
-    counts = sorted((r["_pid"], r["c"]) for r in
-                    ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
+    counts = {r["_pid"]: r["c"] for r in ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect()}
     offsets, acc = [], 0
-    for pid, c in counts:
-        offsets += [F.lit(pid), F.lit(acc)]
-        acc += c
-    off = F.element_at(F.create_map(*offsets), F.col("_pid")) if offsets else F.lit(0)
+    for pid in range(max(counts, default=-1) + 1):
+        offsets.append(F.lit(acc).cast("bigint"))
+        acc += counts.get(pid, 0)
+    off = F.array(*offsets)[F.col("_pid")] if offsets else F.lit(0)  # one constant array
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     return (ranged.withColumn(out, (off + local + F.lit(base)).cast("bigint"))
             .drop("_pid", "_mid"))

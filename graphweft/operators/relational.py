@@ -88,16 +88,19 @@ def kind_consistent(edges: DataFrame) -> DataFrame:
 # --- C: joins -------------------------------------------------------------------------
 
 
-def dedupe_last(df: DataFrame, key: str, order_col: str) -> DataFrame:
-    """Keep the last row per key by ``order_col`` (label files: last line wins)."""
+def dedupe_last(df: DataFrame, key: str, order_col: str | None = None) -> DataFrame:
+    """Keep the last row per key by ``order_col`` (label files: last line wins); without one,
+    by the order in which the rows are read."""
     others = [c for c in df.columns if c not in (key, order_col)]
-    agg = [F.max_by(F.col(c), F.col(order_col)).alias(c) for c in others]
-    return df.groupBy(key).agg(*agg)
+    order = F.col(order_col) if order_col else F.col("_read")
+    rows = df if order_col else df.withColumn("_read", F.monotonically_increasing_id())
+    last = F.max_by(F.struct(*others), order).alias("_last")  # of one row, nulls included
+    return rows.groupBy(key).agg(last).select(key, "_last.*")
 
 
 def users_with_labels(users: DataFrame, labels: DataFrame, order_col: str | None = None) -> DataFrame:
-    """Users inner join labels; unlabelled users are dropped."""
-    lab = dedupe_last(labels, "id", order_col) if order_col else labels.dropDuplicates(["id"])
+    """Users inner join labels, the last one of an id; unlabelled users are dropped."""
+    lab = dedupe_last(labels, "id", order_col)
     return users.join(lab.select("id", "label"), "id", "inner")
 
 
@@ -159,10 +162,11 @@ def encode_endpoints(edges: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def align_labels(users: DataFrame, labels: DataFrame,
-                 codes: dict | None = None) -> DataFrame:
-    """Id, label code; a missing or unknown label raises at execution."""
+                 codes: dict | None = None, order_col: str | None = None) -> DataFrame:
+    """Id, label code by the last label of an id; a missing or unknown label raises at
+    execution."""
     codes = codes or {"human": 0, "bot": 1}
-    lab = labels.select("id", "label").dropDuplicates(["id"])
+    lab = dedupe_last(labels.select("id", "label", *([order_col] if order_col else [])), "id", order_col)
     code = None
     for name, value in codes.items():
         code = (F.when(F.col("label") == name, F.lit(value)) if code is None

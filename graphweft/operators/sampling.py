@@ -40,8 +40,8 @@ def time_bins(users: DataFrame, q: int = N_TIME_BINS, ts_col: str = "created_at"
     """
     micros = F.unix_micros(F.col(ts_col).cast("timestamp"))
     probs = [i / q for i in range(q + 1)]
-    res = agg.exact_quantiles(users.where(F.col(ts_col).isNotNull()).select(micros.alias("_us")), "_us", probs)
-    edges = sorted(set(res[None])) if res else []
+    rows = agg.quantile_table(users.where(F.col(ts_col).isNotNull()).select(micros.alias("_us")), "_us", probs)
+    edges = sorted({r["value"] for r in rows.collect()})
     if not edges:
         return users.withColumn("time_bin", F.lit(None).cast("int"))
     arr = F.array(*[F.lit(float(e)) for e in edges])

@@ -21,11 +21,12 @@ from graphweft.operators import relational as rel
 from graphweft.operators.ordering import dense_index
 from graphweft.sources.driver_tables import SNAPSHOT_RELATIONS, SOCIAL_RELATIONS
 
-WEEK_MICROS = 7 * 86_400_000_000
+DAY_MICROS = 86_400_000_000
+WEEK_MICROS = 7 * DAY_MICROS
 # Fixed values of the sequence trainer: snapshots with fewer users are skipped, later ones
 # are never read, and a sequence closes when it holds more than ``sequence_length``.
 MIN_USERS_PER_SNAPSHOT = 10
-MAX_SNAPSHOTS = 800
+MAX_SNAPSHOTS = 800  # of that trainer's configuration; no default of the library
 SEQUENCE_LENGTH = 10
 
 
@@ -55,40 +56,43 @@ def edge_activation(edges: DataFrame, times: DataFrame,
 
 @dataclass(frozen=True)
 class WeeklyGrid:
-    """Snapshot i is at ``start + i weeks``; ``count`` snapshots in total."""
-    start: dt.datetime | None
+    """Snapshot i is at ``start_us`` (epoch microseconds) + i weeks; ``count`` in total.
+
+    Times stay numbers on the driver: a Python datetime without a zone would be read in the
+    driver process's zone."""
+    start_us: int | None
     count: int
 
+    @property
+    def start(self) -> dt.datetime | None:
+        """Time of snapshot 0 in UTC."""
+        return None if self.start_us is None else dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=self.start_us)
+
     def first_snapshot(self, t: Column) -> Column:
         """Index of the first snapshot whose time is >= t; null if after the last one."""
-        if self.start is None or self.count == 0:
+        if self.start_us is None or self.count == 0:
             return F.lit(None).cast("int")
-        start_us = F.unix_micros(F.lit(self.start).cast("timestamp"))
-        k = F.greatest(F.lit(0), F.ceil((F.unix_micros(t.cast("timestamp")) - start_us)
+        k = F.greatest(F.lit(0), F.ceil((F.unix_micros(t.cast("timestamp")) - F.lit(self.start_us))
                                         / F.lit(WEEK_MICROS)).cast("int"))
         return F.when(k < self.count, k).cast("int")
 
     def timestamp(self, idx: Column) -> Column:
-        start_us = int((self.start - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000 \
-            + self.start.microsecond
-        return F.timestamp_micros(F.lit(start_us) + idx.cast("bigint") * F.lit(WEEK_MICROS))
+        return F.timestamp_micros(F.lit(self.start_us) + idx.cast("bigint") * F.lit(WEEK_MICROS))
 
 
 def weekly_grid(users: DataFrame, tweets: DataFrame) -> WeeklyGrid:
     """Sundays from the first on or after the earliest user (keeping its time of day),
     7 days apart, up to the latest user or tweet. Two scalars reach the driver."""
-    ru = users.agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi")).first()
-    rt = tweets.agg(F.max("created_at").alias("hi")).first()
-    lo = ru["lo"]
-    his = [x for x in (ru["hi"], rt["hi"]) if x is not None]
-    if lo is None or not his:
+    at = F.unix_micros(F.col("created_at").cast("timestamp"))
+    both = users.select(at.alias("t"), at.alias("u")).unionByName(
+        tweets.select(at.alias("t"), F.lit(None).cast("bigint").alias("u")))
+    row = both.agg(F.min("u").alias("lo"), F.max("t").alias("hi")).first()
+    lo, hi = row["lo"], row["hi"]
+    if lo is None:
         return WeeklyGrid(None, 0)
-    hi = max(his)
-    start = lo + dt.timedelta(days=(6 - lo.weekday()) % 7)
-    if hi < start:
-        return WeeklyGrid(start, 0)
-    n = int((hi - start) // dt.timedelta(days=7)) + 1
-    return WeeklyGrid(start, n)
+    weekday = (lo // DAY_MICROS + 3) % 7  # day 0 of the epoch was a Thursday; Monday is 0
+    start = lo + (6 - weekday) % 7 * DAY_MICROS
+    return WeeklyGrid(start, max(0, (hi - start) // WEEK_MICROS + 1))
 
 
 @dataclass
@@ -153,9 +157,11 @@ def snapshot_counts(snap: Snapshots) -> DataFrame:
 
 
 def kept_snapshots(counts: DataFrame, min_users: int = MIN_USERS_PER_SNAPSHOT,
-                   max_snapshots: int = MAX_SNAPSHOTS) -> DataFrame:
-    """Snapshots the sequence trainer reads."""
-    return counts.where((F.col("num_users") >= min_users) & (F.col("snapshot_idx") < max_snapshots))
+                   max_snapshots: int | None = None) -> DataFrame:
+    """Snapshots the sequence trainer reads: those with enough users, and, if asked for,
+    only the first ``max_snapshots``."""
+    kept = counts.where(F.col("num_users") >= min_users)
+    return kept if max_snapshots is None else kept.where(F.col("snapshot_idx") < max_snapshots)
 
 
 def sequences(kept: DataFrame, sequence_length: int = SEQUENCE_LENGTH) -> DataFrame:

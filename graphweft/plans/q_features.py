@@ -176,9 +176,9 @@ def i2(spark, sf):
 _P_CTES = """pv AS (SELECT CAST(range AS INTEGER) AS pos,
    (2.0 * (('0x' || substr(md5('topk:' || range || ':42'), 1, 13))::BIGINT / 4503599627370496.0) - 1.0)
    * (1.0 / sqrt(64)) AS p FROM range(64)),
-sc AS (SELECT uv.id, round(sum(uv.value * pv.p) / ((SELECT sqrt(sum(p * p)) FROM pv) + 1e-8), 8) AS score
+sc AS (SELECT uv.id, sum(uv.value * pv.p) / ((SELECT sqrt(sum(p * p)) FROM pv) + 1e-8) AS score, sum(uv.value) AS total
        FROM uv JOIN pv ON pv.pos = uv.pos GROUP BY uv.id),
-act AS (SELECT g.snapshot_idx, u.id, sc.score FROM grid g JOIN ax_users u ON u.created_at <= g.ts
+act AS (SELECT g.snapshot_idx, u.id, sc.score, sc.total FROM grid g JOIN ax_users u ON u.created_at <= g.ts
         JOIN sc ON sc.id = u.id),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_idx ORDER BY score DESC, id) AS rank
         FROM act) WHERE rank <= 5),
@@ -188,14 +188,16 @@ slots AS (SELECT g.snapshot_idx, r.rank, least(r.rank, coalesce(c.n, 0)) AS src
 
 
 @register("e12_topk_nodes_per_snapshot", with_views(
-    """SELECT s.snapshot_idx, CAST(s.rank AS INTEGER) AS rank, t.id, t.score,
-              round(coalesce(tanh(t.score), 0.0), 6) AS weight
+    """SELECT s.snapshot_idx, CAST(s.rank AS INTEGER) AS rank, t.id, round(t.score, 8) AS score,
+              round(coalesce(tanh(t.score), 0.0), 6) AS weight, round(coalesce(t.total * tanh(t.score), 0.0), 6) AS vec_total
        FROM slots s LEFT JOIN top t ON t.snapshot_idx = s.snapshot_idx AND t.rank = s.src""",
     GRID_CTES + ",\n" + UV_CTES + ",\n" + _P_CTES))
 def e12(spark, sf):
     snap = tp.build_snapshots(dt.users(spark, sf), dt.tweets(spark, sf), dt.edges(spark, sf))
     top = ft.topk_per_snapshot(snap, user_vectors(spark, sf), k=5)
-    return top.select("snapshot_idx", "rank", "id", "score", F.round("weight", 6).alias("weight"))
+    total = F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x)
+    return top.select("snapshot_idx", "rank", "id", F.round("score", 8).alias("score"), F.round("weight", 6).alias("weight"),
+                      F.round(total, 6).alias("vec_total"))
 
 
 @register("c16_snapshot_100_user_vectors", with_views(

@@ -9,6 +9,7 @@ from graphweft.operators import graph as gr
 from graphweft.operators import relational as rel
 from graphweft.operators.features import recent_tweet_vector
 from graphweft.operators.ordering import rank_desc
+from graphweft.plans.common import rounded, shared
 from graphweft.plans.oracle_views import with_views
 from graphweft.session import cut_lineage
 from graphweft.sources import driver_tables as dt
@@ -17,6 +18,9 @@ QUERIES = {}
 ORACLES = {}
 
 PR_ROUNDS = 10
+# Converged PageRank: Spark stops at this tolerance, the SQL unrolls rounds enough for it.
+PR_TOLERANCE = 1e-14
+PR_SQL_ROUNDS = 120
 
 
 def register(name, sql=None):
@@ -66,19 +70,23 @@ def h1(spark, sf):
     return pr.select("id", F.round("pagerank", 8).alias("pagerank"))
 
 
-@register("h1_pagerank_converged")
+def converged_pagerank(spark, sf):
+    """PageRank run to convergence (id, pagerank rounded to 8 digits)."""
+    pr = shared(spark, sf, "pagerank", lambda: gr.pagerank(social_graph(spark, sf), tol=PR_TOLERANCE, max_iter=400))
+    return rounded(pr, "pagerank", digits=8)
+
+
+@register("h1_pagerank_converged", with_views(
+    f"SELECT id, round(pr, 8) AS pagerank FROM r{PR_SQL_ROUNDS}", pagerank_sql(PR_SQL_ROUNDS)))
 def h1c(spark, sf):
-    """Run to convergence (networkx defaults); no fixed-round SQL oracle."""
-    pr = gr.pagerank(social_graph(spark, sf))
-    return pr.select("id", F.round("pagerank", 8).alias("pagerank"))
+    return converged_pagerank(spark, sf)
 
 
 @register("e8_pagerank_rank", with_views(
     f"""SELECT id, row_number() OVER (ORDER BY round(pr, 8) DESC, id) AS rank, round(pr, 8) AS pagerank
-        FROM r{PR_ROUNDS}""", pagerank_sql(PR_ROUNDS)))
+        FROM r{PR_SQL_ROUNDS}""", pagerank_sql(PR_SQL_ROUNDS)))
 def e8(spark, sf):
-    pr = gr.pagerank(social_graph(spark, sf), max_iter=PR_ROUNDS, tol=None)
-    pr = pr.select("id", F.round("pagerank", 8).alias("pagerank"))
+    pr = converged_pagerank(spark, sf)
     return rank_desc(pr, "pagerank").select("id", "rank", "pagerank")
 
 
@@ -136,44 +144,42 @@ def h9(spark, sf):
     return social_graph(spark, sf).undirected()
 
 
-# Median summary per label (D9) on the 10-round PageRank.
+# Median summary per label (D9) on the converged PageRank.
 _D9_SQL = f"""SELECT u.label, count(*) AS num_accounts,
        round(median(u.followers_count), 4) AS median_followers,
        round(median(r.following_count), 4) AS median_following,
-       round(median(log10(p.pr)), 4) AS median_log10_pagerank,
+       round(median(log10(round(p.pr, 8))), 4) AS median_log10_pagerank,
        round(median(d.degree_centrality), 4) AS median_degree_centrality,
        round(avg(CASE WHEN cc.component = (SELECT component FROM cc GROUP BY component
                                            ORDER BY count(*) DESC, component LIMIT 1)
                  THEN 1.0 ELSE 0.0 END) * 100, 4) AS pct_in_largest
-  FROM ax_users u JOIN ax_records r ON r.id = u.id JOIN r{PR_ROUNDS} p ON p.id = u.id
+  FROM ax_users u JOIN ax_records r ON r.id = u.id JOIN r{PR_SQL_ROUNDS} p ON p.id = u.id
   JOIN ({_DEG_SQL}) d ON d.id = u.id JOIN cc ON cc.id = u.id
   GROUP BY u.label"""
 
 
-@register("d9_median_summary", with_views(_D9_SQL, pagerank_sql(PR_ROUNDS) + CC_CTES[len(SOC_CTES):],
+@register("d9_median_summary", with_views(_D9_SQL, pagerank_sql(PR_SQL_ROUNDS) + CC_CTES[len(SOC_CTES):],
                                           recursive=True))
 def d9(spark, sf):
     g = social_graph(spark, sf)
-    pr = gr.pagerank(g, max_iter=PR_ROUNDS, tol=None)
+    pr = converged_pagerank(spark, sf)
     dc = gr.degree_centrality(g)
-    comps = gr.connected_components(g)
-    sizes = gr.component_sizes(comps)
-    top = sizes.orderBy(F.desc("size"), F.asc("component")).limit(1).select(
+    comps = cut_lineage(gr.connected_components(g))
+    top = gr.component_sizes(comps).orderBy(F.desc("size"), F.asc("component")).limit(1).select(
         "component", F.lit(True).alias("in_largest"))
     recs = rel.flatten_metrics(dt.user_records(spark, sf).select("id", "label", "public_metrics"))
-    j = cut_lineage(recs.join(pr, "id").join(dc, "id").join(comps, "id")
-                    .join(top, "component", "left")
+    j = cut_lineage(recs.join(pr, "id").join(dc, "id").join(comps, "id").join(top, "component", "left")
                     .withColumn("log10_pagerank", F.log10("pagerank")))
-    base = {r["label"]: r for r in j.groupBy("label").agg(
+    names = {"median_followers": "followers_count", "median_following": "following_count",
+             "median_log10_pagerank": "log10_pagerank", "median_degree_centrality": "degree_centrality"}
+    long = j.select("label", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("metric"), F.col(c).cast("double").alias("value")) for k, c in names.items()])).alias("m"))
+    medians = agg.quantile_table(long.select("label", "m.*"), "value", [0.5], ["label", "metric"])
+    wide = medians.groupBy("label").agg(*[F.round(F.max(F.when(F.col("metric") == k, F.col("value"))), 4).alias(k) for k in names])
+    base = j.groupBy("label").agg(
         F.count(F.lit(1)).alias("num_accounts"),
-        F.avg(F.coalesce(F.col("in_largest"), F.lit(False)).cast("double")).alias("share")).collect()}
-    metrics = ["followers_count", "following_count", "log10_pagerank", "degree_centrality"]
-    med = {m: agg.exact_quantiles(j, m, [0.5], group="label") for m in metrics}
-    rows = [(lab, base[lab]["num_accounts"], *[round(med[m][lab][0], 4) for m in metrics],
-             round(base[lab]["share"] * 100, 4)) for lab in base]
-    return spark.createDataFrame(rows, "label string, num_accounts bigint, median_followers double, "
-                                 "median_following double, median_log10_pagerank double, "
-                                 "median_degree_centrality double, pct_in_largest double")
+        F.round(F.avg(F.coalesce(F.col("in_largest"), F.lit(False)).cast("double")) * 100, 4).alias("pct_in_largest"))
+    return base.join(wide, "label").select("label", "num_accounts", *names, "pct_in_largest")
 
 
 # --- H7 / H8 on the users' pooled tweet vectors (D15) --------------------------------------
@@ -213,6 +219,18 @@ def h7(spark, sf):
     return long_rounded(m, ["id", "relation"])
 
 
+@register("h7_root_sum", with_views(
+    """SELECT uv.id, uv.pos, round(uv.value + coalesce(m.value, 0), 6) AS value FROM uv
+       LEFT JOIN (SELECT id, pos, sum(value) AS value FROM (
+           SELECT s.target_id AS id, s.relation, uv.pos, avg(uv.value) AS value
+           FROM soc s JOIN uv ON uv.id = s.source_id GROUP BY s.target_id, s.relation, uv.pos) GROUP BY id, pos) m
+         ON m.id = uv.id AND m.pos = uv.pos""", SOC_CTES + ",\n" + UV_CTES))
+def h7r(spark, sf):
+    """One relational layer with identity weights: a node's own vector plus its relations' means."""
+    g = social_graph(spark, sf)
+    return long_rounded(gr.rgcn_propagate(user_vectors(spark, sf), g.edges, list(dt.SOCIAL_RELATIONS)), ["id"])
+
+
 @register("h8_normalised_relational_sum", with_views(
     """SELECT p.row AS id, p.relation, uv.pos,
               round(sum(p.mult * pow(dr.d, -0.5) * coalesce(pow(dc.d, -0.5), 0) * uv.value), 6) AS value
@@ -274,9 +292,8 @@ def d24(spark, sf):
 @register("c17_e8_pagerank_with_label", with_views(
     f"""SELECT r.id, row_number() OVER (ORDER BY round(r.pr, 8) DESC, r.id) AS rank,
                round(r.pr, 8) AS pagerank, u.label
-        FROM r{PR_ROUNDS} r LEFT JOIN ax_users u ON u.id = r.id""", pagerank_sql(PR_ROUNDS)))
+        FROM r{PR_SQL_ROUNDS} r LEFT JOIN ax_users u ON u.id = r.id""", pagerank_sql(PR_SQL_ROUNDS)))
 def c17(spark, sf):
     """E8 ranks with each node's label attached by a left join (C17)."""
-    pr = gr.pagerank(social_graph(spark, sf), max_iter=PR_ROUNDS, tol=None)
-    pr = rank_desc(pr.select("id", F.round("pagerank", 8).alias("pagerank")), "pagerank")
+    pr = rank_desc(converged_pagerank(spark, sf), "pagerank")
     return pr.join(dt.labels(spark, sf), "id", "left").select("id", "rank", "pagerank", "label")

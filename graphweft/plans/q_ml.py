@@ -46,7 +46,7 @@ def i6(spark, sf):
 
 def _kept_members(spark, sf):
     snap = tp.build_snapshots(dt.users(spark, sf), dt.tweets(spark, sf), dt.edges(spark, sf))
-    kept = tp.kept_snapshots(tp.snapshot_counts(snap))
+    kept = tp.kept_snapshots(tp.snapshot_counts(snap), max_snapshots=tp.MAX_SNAPSHOTS)
     return snap, kept, tp.memberships(snap, kept)
 
 
@@ -114,9 +114,9 @@ def i12(spark, sf):
     users = dt.users(spark, sf)
     codes = rel.align_labels(users, dt.labels(spark, sf))
     z = ft.zscore(users.select("id", "followers_count"), ["followers_count"])
-    d = codes.join(z, "id").withColumn("p_bot", F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("followers_count_z"))))
+    d = codes.join(z, "id").withColumn("logit", -F.col("followers_count_z"))
     w = agg.class_weights(codes).first()
-    loss = ml.weighted_cross_entropy(d, weights=(w["w_human"], w["w_bot"]))
+    loss = ml.weighted_cross_entropy(d, weights=(w["w_human"], w["w_bot"]), logit="logit")
     return loss.select(F.round("loss", 6).alias("loss"))
 
 

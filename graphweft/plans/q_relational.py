@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphweft.operators import aggregates as agg
 from graphweft.operators import relational as rel
 from graphweft.operators.ordering import id_index
-from graphweft.plans.common import duck_ts, ts_str
+from graphweft.plans.common import duck_ts, rounded, ts_str
 from graphweft.plans.oracle_views import with_views
 from graphweft.sources import driver_tables as dt
 
@@ -237,7 +237,7 @@ def d5(spark, sf):
     "SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM ax_users), 6) AS share "
     "FROM ax_users GROUP BY label"))
 def d6(spark, sf):
-    return agg.class_shares(dt.users(spark, sf))
+    return rounded(agg.class_shares(dt.users(spark, sf)), "share")
 
 
 @register("d7_distinct_summary", with_views(
@@ -249,7 +249,8 @@ def d6(spark, sf):
               (SELECT count(DISTINCT id) FROM ax_tweets) AS num_tweets
        FROM ax_users"""))
 def d7(spark, sf):
-    return agg.distinct_summary(dt.users(spark, sf), dt.tweets(spark, sf).select("id"))
+    return rounded(agg.distinct_summary(dt.users(spark, sf), dt.tweets(spark, sf).select("id")),
+                   "perc_humans", "perc_bots")
 
 
 @register("d8_means_by_label", with_views(
@@ -273,8 +274,9 @@ def d8(spark, sf):
     e = dt.edges(spark, sf)
     recs = rel.flatten_metrics(dt.user_records(spark, sf, e).select("id", "label", "public_metrics"))
     ud = agg.users_with_degree(recs, e)
-    return agg.means_by_label(ud, {"avg_degree": "degree", "avg_followers": "followers_count",
-                                   "avg_following": "following_count"})
+    means = agg.means_by_label(ud, {"avg_degree": "degree", "avg_followers": "followers_count",
+                                    "avg_following": "following_count"})
+    return rounded(means, "human", "bot")
 
 
 @register("d11_g11_year_histogram", with_views(
@@ -302,7 +304,7 @@ def d11(spark, sf):
                 GROUP BY id) d ON d.id = u.id)"""))
 def d12(spark, sf):
     ud = agg.users_with_degree(dt.users(spark, sf).select("id", "label"), dt.edges(spark, sf))
-    return agg.density_histogram(ud, "degree", 50, group="label")
+    return rounded(agg.density_histogram(ud, "degree", 50, group="label"), "density")
 
 
 @register("d13_follower_quantiles", with_views(
@@ -311,7 +313,7 @@ def d12(spark, sf):
               round(quantile_cont(followers_count, 0.99), 6) AS q99
        FROM ax_users GROUP BY label"""))
 def d13(spark, sf):
-    return agg.quantiles(dt.users(spark, sf), "followers_count", group="label")
+    return rounded(agg.quantiles(dt.users(spark, sf), "followers_count", group="label"), "q05", "q95", "q99")
 
 
 @register("d14_time_range", with_views(

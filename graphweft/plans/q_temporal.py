@@ -91,7 +91,7 @@ def d18(spark, sf):
     f"""SELECT snapshot_idx, num_users, num_tweets, num_edges FROM ({COUNTS_SQL})
         WHERE num_users >= 10 AND snapshot_idx < 800""", GRID_CTES))
 def b6(spark, sf):
-    return tp.kept_snapshots(tp.snapshot_counts(_snap(spark, sf))).drop("timestamp")
+    return tp.kept_snapshots(tp.snapshot_counts(_snap(spark, sf)), max_snapshots=tp.MAX_SNAPSHOTS).drop("timestamp")
 
 
 _SEQ_SQL = f"""SELECT snapshot_idx, num_users,
@@ -102,7 +102,7 @@ _SEQ_SQL = f"""SELECT snapshot_idx, num_users,
 
 @register("e10_snapshot_sequences", with_views(_SEQ_SQL, GRID_CTES))
 def e10(spark, sf):
-    kept = tp.kept_snapshots(tp.snapshot_counts(_snap(spark, sf)))
+    kept = tp.kept_snapshots(tp.snapshot_counts(_snap(spark, sf)), max_snapshots=tp.MAX_SNAPSHOTS)
     return tp.sequences(kept).select("snapshot_idx", "num_users", "sequence_id", "position")
 
 
@@ -111,7 +111,7 @@ def e10(spark, sf):
                max(snapshot_idx) AS last_snapshot, max(num_users) AS max_nodes
         FROM ({_SEQ_SQL}) GROUP BY sequence_id""", GRID_CTES))
 def e11(spark, sf):
-    kept = tp.kept_snapshots(tp.snapshot_counts(_snap(spark, sf)))
+    kept = tp.kept_snapshots(tp.snapshot_counts(_snap(spark, sf)), max_snapshots=tp.MAX_SNAPSHOTS)
     return tp.sequence_sizes(tp.sequences(kept))
 
 

@@ -52,14 +52,15 @@ def write_snapshot_store(snap, path: str, mode: str = "overwrite") -> None:
     snap.tweets.sortWithinPartitions("first_snapshot").write.mode(mode).parquet(f"{path}/tweets")
     snap.edges.sortWithinPartitions("first_snapshot").write.mode(mode).parquet(f"{path}/edges")
     spark = snap.users.sparkSession
-    spark.createDataFrame([(snap.grid.start, snap.grid.count)], "start timestamp, count bigint") \
+    spark.range(1).select(F.timestamp_micros(F.lit(snap.grid.start_us).cast("bigint")).alias("start"),
+                          F.lit(snap.grid.count).cast("bigint").alias("count")) \
         .write.mode(mode).parquet(f"{path}/grid")
 
 
 def read_snapshot_store(spark: SparkSession, path: str):
     from graphweft.operators.temporal import Snapshots, WeeklyGrid
-    g = spark.read.parquet(f"{path}/grid").first()
-    return Snapshots(WeeklyGrid(g["start"], int(g["count"])), spark.read.parquet(f"{path}/users"),
+    g = spark.read.parquet(f"{path}/grid").select(F.unix_micros("start").alias("start_us"), "count").first()
+    return Snapshots(WeeklyGrid(g["start_us"], int(g["count"])), spark.read.parquet(f"{path}/users"),
                      spark.read.parquet(f"{path}/tweets"), spark.read.parquet(f"{path}/edges"))
 
 
