@@ -7,15 +7,14 @@ recomputed partition draws the same numbers, and the DuckDB oracles can reproduc
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.functions.random import uniform
 from graphweft.operators import aggregates as agg
-from graphweft.operators import graph as gr
 from graphweft.operators import relational as rel
 from graphweft.operators.ordering import dense_index
 from graphweft.session import cut_lineage
@@ -111,20 +110,20 @@ def snowball(seeds: DataFrame, users: DataFrame, edges: DataFrame, target_users:
 
     Per level: one join of the frontier with the adjacency, one anti join with the
     sample, a top-k per frontier node (partial WindowGroupLimit before the shuffle keeps a
-    hub's candidate list bounded per task) and a global cut by key that only touches
-    the level's candidates. The sample is checkpointed each level.
+    hub's candidate list bounded per task) and, on the last level, a global cut by key that
+    only touches the level's candidates. A level's picks are checkpointed, which is one job,
+    and counted; the sample is the union of the levels, written together every few levels.
     """
     adj = cut_lineage(undirected_adjacency(edges))
-    meta = users.where(F.col("label").isin("human", "bot")).select(
-        F.col("id").alias("b"), "label", F.greatest(F.col("degree"), F.lit(1)).alias("w"))
+    meta = cut_lineage(users.where(F.col("label").isin("human", "bot")).select(
+        F.col("id").alias("b"), "label", F.greatest(F.col("degree"), F.lit(1)).alias("w")))
     sampled = cut_lineage(seeds.select("id").distinct().withColumn("level", F.lit(0)))
     stats = sampled.join(users.select("id", "label"), "id", "left").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("label") == "bot", 1)).alias("bots")).first()
     n, bots = stats["n"], stats["bots"]
-    level = 0
+    level, last = 0, sampled
     while n < target_users and (max_levels is None or level < max_levels):
-        frontier = sampled.where(F.col("level") == level).select(F.col("id").alias("a"))
-        cand = (frontier.join(adj, "a")
+        cand = (last.select(F.col("id").alias("a")).join(adj, "a")
                 .join(sampled.select(F.col("id").alias("b")), "b", "left_anti")
                 .join(meta, "b"))
         if bot_ratio is not None and n > 0:
@@ -136,26 +135,22 @@ def snowball(seeds: DataFrame, users: DataFrame, edges: DataFrame, target_users:
         u = uniform(F.concat_ws(":", F.col("a"), F.col("b"), F.lit(str(level + 1))), seed)
         cand = cand.withColumn("key", -F.log(F.lit(1.0) - u) / F.col("w"))
         wk = Window.partitionBy("a").orderBy(F.col("key").asc(), F.col("b").asc())
-        picks = (cand.withColumn("_r", F.row_number().over(wk)).where(F.col("_r") <= max_per_node)
-                 .groupBy("b").agg(F.min("key").alias("key"), F.first("label").alias("label")))
-        picks = picks.persist(StorageLevel.MEMORY_AND_DISK)
-        remaining = target_users - n
-        n_picks = picks.count()
-        if n_picks == 0:
-            picks.unpersist()
+        picks = cut_lineage(cand.withColumn("_r", F.row_number().over(wk)).where(F.col("_r") <= max_per_node)
+                            .groupBy("b").agg(F.min("key").alias("key"), F.first("label").alias("label")))
+        count = [F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("label") == "bot", 1)).alias("bots")]
+        add = picks.agg(*count).first()
+        if add["n"] > target_users - n:
+            picks = dense_index(picks, [F.col("key"), F.col("b")], "_i").where(F.col("_i") < target_users - n)
+            add = picks.agg(*count).first()
+        if add["n"] == 0:
             break
-        if n_picks > remaining:
-            picks = dense_index(picks, [F.col("key"), F.col("b")], "_i").where(F.col("_i") < remaining)
         level += 1
-        new = picks.select(F.col("b").alias("id"), F.lit(level).alias("level"), "label")
-        add = new.agg(F.count(F.lit(1)).alias("n"),
-                      F.count(F.when(F.col("label") == "bot", 1)).alias("bots")).first()
-        sampled = cut_lineage(sampled.unionByName(new.drop("label")))
-        picks.unpersist()
+        last = picks.select(F.col("b").alias("id"), F.lit(level).alias("level"))
+        sampled = sampled.unionByName(last)
+        if level % 8 == 0:
+            sampled = cut_lineage(sampled)
         n += add["n"]
         bots += add["bots"]
-        if add["n"] == 0:
-            break
     return sampled
 
 
@@ -176,59 +171,55 @@ def entity_closure(edges: DataFrame, user_ids: DataFrame, strict: bool = False)
     discuss from a taken tweet takes the hashtag. Kept: edges with source in users, tweets
     or lists and target in those or hashtags.
 
-    Order-free: the contain fixpoint is the set of contain-graph components that touch a
-    taken list or tweet (connected components, not a row-order scan). ``strict=True``
-    reproduces the reference's pre-filter: only rows with a sampled user at one end are
-    seen, so contain and discuss never fire.
+    Order-free: the contain fixpoint grows by whole frontiers, from the lists and tweets
+    taken last to their partners, until a round takes nothing new. Each rule reads only its
+    relations' edges and meets them with the sample by semi joins; edges are not rewritten.
+    ``strict=True`` reproduces the reference's pre-filter: only rows with a sampled user at
+    one end are seen, so contain and discuss never fire.
     """
-    U = user_ids.select("id").distinct()
-    us = U.withColumn("_su", F.lit(True))
-    e = (edges.join(us.withColumnRenamed("id", "source_id").withColumnRenamed("_su", "_s_in"), "source_id", "left")
-         .join(us.withColumnRenamed("id", "target_id").withColumnRenamed("_su", "_t_in"), "target_id", "left")
-         .withColumn("_s_in", F.coalesce("_s_in", F.lit(False)))
-         .withColumn("_t_in", F.coalesce("_t_in", F.lit(False))))
-    # read four times below (rules, contain graph, discuss, keep filter): written once
-    e = cut_lineage(e)
-    if strict:
-        e = e.where(F.col("_s_in") | F.col("_t_in"))
-    r = F.col("relation")
-    s_in, t_in = F.col("_s_in"), F.col("_t_in")
-    picks = e.select(F.explode(F.array(
-        F.when(r.isin("post", "pinned", "like") & s_in, F.struct(F.lit("tweet").alias("kind"), F.col("target_id").alias("id"))),
-        F.when((r == "mentioned") & t_in, F.struct(F.lit("tweet").alias("kind"), F.col("source_id").alias("id"))),
-        F.when(r.isin("retweeted", "quoted", "replied") & (s_in | t_in),
-               F.struct(F.lit("tweet").alias("kind"), F.col("source_id").alias("id"))),
-        F.when(r.isin("retweeted", "quoted", "replied") & (s_in | t_in),
-               F.struct(F.lit("tweet").alias("kind"), F.col("target_id").alias("id"))),
-        F.when(r.isin("own", "followed", "membership") & s_in,
-               F.struct(F.lit("list").alias("kind"), F.col("target_id").alias("id"))),
-        F.when(r.isin("own", "followed", "membership") & t_in,
-               F.struct(F.lit("list").alias("kind"), F.col("source_id").alias("id"))),
-    )).alias("p")).where(F.col("p").isNotNull()).select("p.kind", "p.id").distinct()
+    U = cut_lineage(user_ids.select("id").distinct())
+
+    def touching(relations: Sequence[str], end: str) -> DataFrame:
+        return rel.relation_filter(edges, relations).join(U.withColumnRenamed("id", end), end, "left_semi")
+
+    def took(df: DataFrame, kind: str, end: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(end).alias("id"))
+
+    shared = ("retweeted", "quoted", "replied")
+    lists = ("own", "followed", "membership")
+    either = touching(shared, "source_id").unionByName(touching(shared, "target_id"), allowMissingColumns=True)
+    picks = cut_lineage(
+        took(touching(("post", "pinned", "like"), "source_id"), "tweet", "target_id")
+        .unionByName(took(touching(("mentioned",), "target_id"), "tweet", "source_id"))
+        .unionByName(took(either, "tweet", "source_id")).unionByName(took(either, "tweet", "target_id"))
+        .unionByName(took(touching(lists, "source_id"), "list", "target_id"))
+        .unionByName(took(touching(lists, "target_id"), "list", "source_id")).distinct())
+    hashtags = picks.limit(0)
     if not strict:
-        contain = e.where(r == "contain").select(
-            F.concat(F.lit("L:"), F.col("source_id")).alias("source_id"),
-            F.concat(F.lit("T:"), F.col("target_id")).alias("target_id"))
-        nodes = contain.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-        comps = gr.connected_components(gr.Graph(nodes, contain))
-        seeds = picks.select(F.concat(F.when(F.col("kind") == "list", "L:").otherwise("T:"),
-                                      F.col("id")).alias("id"))
-        hit = comps.join(seeds, "id", "left_semi").select("component").distinct()
-        reached = comps.join(hit, "component", "left_semi").select(
-            F.when(F.col("id").startswith("L:"), "list").otherwise("tweet").alias("kind"),
-            F.expr("substring(id, 3)").alias("id"))
-        picks = picks.unionByName(reached).distinct()
-    picks = cut_lineage(picks)
-    tweets = picks.where(F.col("kind") == "tweet").select("id")
-    hashtags = (e.where(r == "discuss").join(tweets.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
-                .select(F.lit("hashtag").alias("kind"), F.col("target_id").alias("id")).distinct())
+        contain = cut_lineage(rel.relation_filter(edges, ("contain",)).select("source_id", "target_id").distinct())
+        frontier = picks
+        while not frontier.isEmpty():
+            of_list = frontier.where(F.col("kind") == "list").select(F.col("id").alias("source_id"))
+            of_tweet = frontier.where(F.col("kind") == "tweet").select(F.col("id").alias("target_id"))
+            new = took(contain.join(of_list, "source_id", "left_semi"), "tweet", "target_id").unionByName(
+                took(contain.join(of_tweet, "target_id", "left_semi"), "list", "source_id"))
+            frontier = cut_lineage(new.distinct().join(picks, ["kind", "id"], "left_anti"))
+            picks = picks.unionByName(frontier)
+        picks = cut_lineage(picks)
+        tweets = picks.where(F.col("kind") == "tweet").select(F.col("id").alias("source_id"))
+        hashtags = took(rel.relation_filter(edges, ("discuss",)).join(tweets, "source_id", "left_semi"),
+                        "hashtag", "target_id").distinct()
     entities = U.select(F.lit("user").alias("kind"), "id").unionByName(picks).unionByName(hashtags)
     entities = cut_lineage(entities)
     src_ok = entities.where(F.col("kind") != "hashtag").select(F.col("id").alias("source_id")).distinct()
     tgt_ok = entities.select(F.col("id").alias("target_id")).distinct()
-    kept = (e.select("source_id", "relation", "target_id")
-            .join(src_ok, "source_id", "left_semi").join(tgt_ok, "target_id", "left_semi"))
-    return Closure(entities, kept)
+    e = edges.select("source_id", "relation", "target_id")
+    if strict:
+        own, far = U.withColumnRenamed("id", "source_id"), U.withColumnRenamed("id", "target_id")
+        e = e.join(own, "source_id", "left_semi").unionByName(
+            e.join(own, "source_id", "left_anti").join(far, "target_id", "left_semi"))
+    kept = e.join(src_ok, "source_id", "left_semi").join(tgt_ok, "target_id", "left_semi")
+    return Closure(entities, kept.select("source_id", "relation", "target_id"))
 
 
 def sample_summary(target_users: int, closure: Closure, labels: DataFrame) -> DataFrame:
@@ -241,7 +232,7 @@ def sample_summary(target_users: int, closure: Closure, labels: DataFrame) -> Da
     spark = labels.sparkSession
     return spark.createDataFrame(
         [(target_users, k.get("user", 0), k.get("tweet", 0), k.get("list", 0), k.get("hashtag", 0),
-          n_edges, round(br, 6) if br is not None else None)],
+          n_edges, br)],
         "target_users bigint, actual_users bigint, tweets bigint, lists bigint, hashtags bigint, "
         "edges bigint, bot_ratio double")
 

@@ -61,12 +61,12 @@ def test_pagerank_sums_to_one(spark):
 def test_snowball_invariants(spark):
     e = dt.edges(spark, SF_SMOKE)
     pop = sp.population(dt.users(spark, SF_SMOKE), e)
-    target = 100
-    seeds = sp.select_seeds(pop, target)
+    target = 140
+    seeds = sp.select_seeds(pop, target, seed_ratio=0.6)
     sample = sp.snowball(seeds, pop, e, target, bot_ratio=0.2)
     ids = {r.id for r in sample.collect()}
     seed_ids = {r.id for r in seeds.collect()}
-    assert seed_ids <= ids and len(ids) <= target
+    assert seed_ids and seed_ids < ids and len(ids) <= target
     adj = sp.undirected_adjacency(e).collect()
     nbrs = {}
     for r in adj:
