@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +44,30 @@ def components(edges: DataFrame) -> DataFrame:
             roots = e.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
             return e.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(roots)
     raise RuntimeError(f"components are not found after {MAX_ROUNDS} rounds")
+
+
+#: rows of a share that are compared with its other side at once
+STRIP = 512
+
+
+def spanning_stars(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning stars (least id, other id) of the sets that a boolean matrix links."""
+    some_a, some_b = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    ids, at = np.unique(np.concatenate([a[some_a], b[some_b]]), return_inverse=True)
+    if not len(ids):
+        return []
+    ia, ib = at[:len(some_a)], at[len(some_a):]
+    m = linked[np.ix_(some_a, some_b)]
+    none = np.int32(len(ids))
+    label = np.arange(len(ids), dtype=np.int32)
+    while True:
+        # rows take the least label of their columns, then columns that of their rows
+        new = label.copy()
+        for lo in range(0, len(ia), STRIP):
+            least = np.where(m[lo:lo + STRIP], new[ib][None], none).min(axis=1)
+            np.minimum.at(new, ia[lo:lo + STRIP], least)
+            across = np.where(m[lo:lo + STRIP], new[ia[lo:lo + STRIP]][:, None], none).min(axis=0)
+            np.minimum.at(new, ib, across)
+        if np.array_equal(new, label):
+            return [(int(ids[root]), int(x)) for root, x in zip(label, ids, strict=True) if ids[root] != x]
+        label = new

@@ -8,13 +8,14 @@ pair an estimate of its similarity from the population count of the sketches' ex
 which is most precise where similarities are high. Pairs whose estimate is far too low go;
 all others are confirmed on their whole sets.
 
-Candidates of a band are not all pairs of its members. First each member meets the band's
-smallest member. Then members of a band that are in different components after that meet
-each other, in blocks, and only pairs with close sketches come out of the join. Pairs within
-a component need no look: they cannot change a component. No pair that a band holds and that
-could join two components is left out, so components are those of all banded pairs. At the
-default 32 bands of 6 samples a pair at the threshold misses all bands with a probability
-of 3 in 10^7.
+No step emits all pairs of a band. First each member meets the band's smallest member, and
+the components of the confirmed links are found. Then the members of a band that are still in
+different components meet in blocks of sketches, and a block returns only spanning stars of
+the components that have close sketches. What these stars join is a cluster: every pair of a
+band that could still join two components lies in one. The sets of a cluster meet in blocks
+too, are compared exactly, and return spanning stars again. Pairs within a component need no
+look: they cannot change it. So components are those of all banded pairs; at the default 32
+bands of 6 samples a pair at the threshold misses all bands with a probability of 3 in 10^7.
 
 Defined results: a text without words, or null, has no set, links with nothing and is kept;
 rows with the same doc_id are one document. A null doc_id is larger than any other: such a
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from graphweft.llm import words as W
 from graphweft.llm.bitmaps import bitmap, columns, split
-from graphweft.llm.components import components
+from graphweft.llm.components import components, spanning_stars
 from graphweft.session import cut_lineage
 
 
@@ -42,8 +43,8 @@ from graphweft.session import cut_lineage
 class MinHashParams:
     """Links need ``100 * intersection >= percent * union``. ``sketch_floor`` is the estimate
     under which a candidate goes unconfirmed: at the defaults, more than eight standard
-    deviations below what a pair at the threshold has. ``block`` members of a band meet in
-    one join key."""
+    deviations below what a pair at the threshold has. ``block`` sketches of a band, and sets
+    with ``block_members`` shingles, but ``block`` at most, meet as many others in one share."""
 
     shingle: int = 5
     percent: int = 85
@@ -52,6 +53,7 @@ class MinHashParams:
     sketch_bits: int = 512
     sketch_floor: float = 0.65
     block: int = 1024
+    block_members: int = 1 << 20
     filter_bits: int = 24
 
 
@@ -181,17 +183,20 @@ def _set_rows(shared, p: MinHashParams):
     return run
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, params: MinHashParams | None = None) -> DataFrame:
-    """Of distinct pairs (a, b) of doc_ids, those whose whole sets reach the threshold.
-
-    Sets are made only of documents that a fixed-size filter of the pairs' ids lets through.
-    """
-    p = params or MinHashParams()
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+def shingle_sets(ids: DataFrame, documents: DataFrame, p: MinHashParams) -> DataFrame:
+    """Sets (id, members) of documents whose doc_id is in ``ids`` (id), and of few others: a
+    fixed-size filter of the ids tells which texts are worth it."""
     wanted = bitmap(ids, F.col("id").bitwiseXOR(F.shiftright("id", 24)), p.filter_bits)
     shared = documents.sparkSession.sparkContext.broadcast(wanted)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    sets = cut_lineage(texts.mapInArrow(_set_rows(shared, p), "id bigint, members array<bigint>"))
+    return cut_lineage(texts.mapInArrow(_set_rows(shared, p), "id bigint, members array<bigint>"))
+
+
+def confirmed(pairs: DataFrame, documents: DataFrame, params: MinHashParams | None = None) -> DataFrame:
+    """Of distinct pairs (a, b) of doc_ids, those whose whole sets reach the threshold."""
+    p = params or MinHashParams()
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    sets = shingle_sets(ids, documents, p)
     one = pairs.join(sets, F.col("a") == F.col("id")).select("a", "b", F.col("members").alias("m"))
     two = one.join(sets, F.col("b") == F.col("id")).select(
         "a", "b", F.size("m").alias("na"), F.size("members").alias("nb"),
@@ -208,35 +213,142 @@ def _close(pairs: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
     return two.filter(_distance("s", "sketch", p) <= sketch_distance_limit(p)).select("a", "b").distinct()
 
 
-def _across(banded: DataFrame, classes: DataFrame, label: DataFrame, p: MinHashParams) -> DataFrame:
-    """Close pairs of a band's members that are in different components.
+def _block_pairs(members: DataFrame, key: str, rest: list[str]) -> DataFrame:
+    """Deal the members of each key to shares (key, x, y): every block with itself (side 2) and
+    with each other block (sides 0 and 1). ``members`` have ``block`` and ``blocks``.
 
-    The members of a band are dealt into blocks of about ``block``; each block meets each
-    other in a join key of its own, so that a band with very many members is many keys. Two
-    components meet once in a band: the join emits only pairs with close sketches.
+    The rows of a share come together and in order, so that a task reads share after share.
     """
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.select(key, "block", other.alias("other"), *rest).select(
+        key, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), *rest)
+    return dealt.repartition(key, "x", "y").sortWithinPartitions(key, "x", "y", "side")
+
+
+def _shares(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The shares of a task, one after the other; a share may go on from batch to batch."""
+    names, held, held_key = [key, "x", "y"], [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = tuple(int(c[lo]) for c in cols)
+            if held and own != held_key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            held_key = own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(share: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    side = share.column("side").to_numpy()
+    return np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())],
+                                      ["a", "b"])
+
+
+def _sketch_stars(p: MinHashParams):
+    """Spanning stars (a, b) of components that have members with close sketches in a share."""
+    limit = sketch_distance_limit(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for share in _shares(batches, "band"):
+            ia, ib = _sides(share)
+            component = share.column("component").to_numpy()
+            lists = share.column("sketch").combine_chunks()
+            sketch = np.asarray(lists.flatten()).reshape(len(lists), -1)
+            linked = np.zeros((len(ia), len(ib)), bool)
+            for lo in range(0, len(ia), 64):
+                far = np.zeros((len(ia[lo:lo + 64]), len(ib)), np.int32)
+                for w in range(sketch.shape[1]):
+                    far += np.bitwise_count(sketch[ia[lo:lo + 64], w][:, None] ^ sketch[ib, w][None])
+                linked[lo:lo + 64] = far <= limit
+            linked &= component[ia][:, None] != component[ib][None]
+            if linked.any():
+                out += spanning_stars(linked, component[ia], component[ib])
+            if len(out) > 10_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
+    return run
+
+
+def _set_stars(p: MinHashParams):
+    """Spanning stars (a, b) of components that have linked members in a share.
+
+    For each set of one side the shingles of the other side that it shares are looked up in
+    one sorted list and counted by owner.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for share in _shares(batches, "cluster"):
+            ia, ib = _sides(share)
+            component = share.column("component").to_numpy()
+            lists = share.column("members").combine_chunks()
+            flat, first = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            size = np.diff(first)
+            own = np.concatenate([flat[first[j]:first[j + 1]] for j in ib])
+            owner = np.repeat(np.arange(len(ib)), size[ib])
+            order = np.argsort(own, kind="stable")
+            own, owner = own[order], owner[order]
+            linked = np.zeros((len(ia), len(ib)), bool)
+            for k, i in enumerate(ia):
+                members = flat[first[i]:first[i + 1]]
+                lo = np.searchsorted(own, members, "left")
+                n = np.searchsorted(own, members, "right") - lo
+                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                both = np.bincount(owner[at], minlength=len(ib))
+                linked[k] = both * 100 >= (size[i] + size[ib] - both) * p.percent
+            linked &= component[ia][:, None] != component[ib][None]
+            yield _edges(spanning_stars(linked, component[ia], component[ib]))
+    return run
+
+
+def _clusters(banded: DataFrame, classes: DataFrame, label: DataFrame, p: MinHashParams) -> DataFrame:
+    """(component, cluster) of the components whose members may still be linked to members of
+    others: a band holds both, and their sketches are close."""
     named = (banded.join(label, F.col("class_id") == F.col("id"), "left")
              .select("band", "class_id", F.coalesce("component", "class_id").alias("component")))
     open_bands = (named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                             F.count(F.lit(1)).alias("n"))
                   .filter("lo < hi").select(F.col("band").alias("open"), "n"))
-    open_bands = cut_lineage(open_bands)
-    members = (named.join(open_bands, F.col("band") == F.col("open"))
+    members = (named.join(cut_lineage(open_bands), F.col("band") == F.col("open"))
                .select("band", "class_id", "component", F.ceil(F.col("n") / p.block).cast("int").alias("blocks")))
     sketch = classes.select(F.col("class_id").alias("id"), "sketch")
-    members = cut_lineage(members.join(sketch, F.col("class_id") == F.col("id"))
-                          .select("band", "class_id", "component", "sketch", "blocks",
-                                  F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = members.select("band", "block", every.alias("other"), "class_id", "component", "sketch")
-    right = members.select(F.col("band").alias("band_"), every.alias("block_"), F.col("block").alias("other_"),
-                           F.col("class_id").alias("class_"), F.col("component").alias("component_"),
-                           F.col("sketch").alias("sketch_"))
-    meet = ((F.col("band") == F.col("band_")) & (F.col("block") == F.col("block_")) & (F.col("other") == F.col("other_"))
-            & (F.col("component") < F.col("component_"))
-            & (_distance("sketch", "sketch_", p) <= sketch_distance_limit(p)))
-    met = left.join(right, meet).select(F.least("class_id", "class_").alias("a"), F.greatest("class_id", "class_").alias("b"))
-    return met.distinct()
+    members = (members.join(sketch, F.col("class_id") == F.col("id"))
+               .withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")))
+    stars = _block_pairs(members, "band", ["component", "sketch"]).mapInArrow(_sketch_stars(p), "a bigint, b bigint")
+    return components(stars).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
+
+
+def _across(clusters: DataFrame, classes: DataFrame, label: DataFrame, documents: DataFrame, p: MinHashParams) -> DataFrame:
+    """Links between components of a cluster, as spanning stars (a, b) of components."""
+    label = label.select(F.col("id").alias("i"), F.col("component").alias("of"))
+    cluster = clusters.select(F.col("component").alias("c"), "cluster")
+    members = (classes.join(label, F.col("class_id") == F.col("i"), "left")
+               .select("class_id", F.coalesce("of", "class_id").alias("component"))
+               .join(cluster, F.col("component") == F.col("c")).select("class_id", "component", "cluster"))
+    members = cut_lineage(members.distinct())
+    sets = shingle_sets(members.select(F.col("class_id").alias("id")), documents, p)
+    whole = members.join(sets, F.col("class_id") == F.col("id")).select("class_id", "component", "cluster", "members")
+    whole = cut_lineage(whole)
+    totals = whole.groupBy(F.col("cluster").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("members")).alias("m"))
+    blocks = F.ceil(F.greatest(F.col("n") / p.block, F.col("m") / p.block_members)).cast("int")
+    sized = (whole.join(cut_lineage(totals), F.col("cluster") == F.col("k")).withColumn("blocks", blocks)
+             .withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")))
+    dealt = _block_pairs(sized, "cluster", ["component", "members"])
+    return dealt.mapInArrow(_set_stars(p), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(documents: DataFrame, params: MinHashParams | None = None) -> DataFrame:
@@ -258,10 +370,9 @@ def near_duplicates(documents: DataFrame, params: MinHashParams | None = None) -
     star = shared.filter("class_id > lead").select(F.col("lead").alias("a"), F.col("class_id").alias("b")).distinct()
     links = cut_lineage(confirmed(cut_lineage(_close(star, first, p)), documents, p))
     label = cut_lineage(components(links))
-    more = cut_lineage(_across(shared.select("class_id", "band"), first, label, p))
-    if not more.isEmpty():
-        extra = confirmed(more, documents, p)
-        label = cut_lineage(components(links.unionByName(extra)))
+    clusters = cut_lineage(_clusters(shared.select("class_id", "band"), first, label, p))
+    if not clusters.isEmpty():
+        label = cut_lineage(components(links.unionByName(_across(clusters, first, label, documents, p))))
     named = cut_lineage(classes.join(label, F.col("class_id") == F.col("id"), "left")
                         .select(F.col("k1").alias("c1"), F.col("k2").alias("c2"),
                                 F.coalesce("component", "class_id").alias("component")))

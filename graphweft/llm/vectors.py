@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.llm.components import components
+from graphweft.llm.components import STRIP, components, spanning_stars
 from graphweft.session import cut_lineage
 
 
@@ -103,33 +103,6 @@ def _assigner(shared, counting: bool, p: RangeJoinParams):
     return run
 
 
-#: rows of a share that are compared with its other side at once
-_STRIP = 512
-
-
-def _stars(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning stars (least id, other id) of the sets that a boolean matrix links."""
-    some_a, some_b = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
-    ids, at = np.unique(np.concatenate([a[some_a], b[some_b]]), return_inverse=True)
-    if not len(ids):
-        return []
-    ia, ib = at[:len(some_a)], at[len(some_a):]
-    m = linked[np.ix_(some_a, some_b)]
-    none = np.int32(len(ids))
-    label = np.arange(len(ids), dtype=np.int32)
-    while True:
-        # rows take the least label of their columns, then columns that of their rows
-        new = label.copy()
-        for lo in range(0, len(ia), _STRIP):
-            least = np.where(m[lo:lo + _STRIP], new[ib][None], none).min(axis=1)
-            np.minimum.at(new, ia[lo:lo + _STRIP], least)
-            across = np.where(m[lo:lo + _STRIP], new[ia[lo:lo + _STRIP]][:, None], none).min(axis=0)
-            np.minimum.at(new, ib, across)
-        if np.array_equal(new, label):
-            return [(int(ids[root]), int(x)) for root, x in zip(label, ids, strict=True) if ids[root] != x]
-        label = new
-
-
 def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosines of row pairs in double precision."""
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
@@ -147,8 +120,8 @@ def _joiner(p: RangeJoinParams):
         unit = _unit(every).astype(np.float32)
         other = unit[ib].T
         linked = np.zeros((len(ia), len(ib)), bool)
-        for lo in range(0, len(ia), _STRIP):
-            i, j = np.nonzero(unit[ia[lo:lo + _STRIP]] @ other >= p.cosine - _MARGIN)
+        for lo in range(0, len(ia), STRIP):
+            i, j = np.nonzero(unit[ia[lo:lo + STRIP]] @ other >= p.cosine - _MARGIN)
             i += lo
             ok = (side[ia[i]] != 2) | (ia[i] < ib[j])
             i, j = i[ok], j[ok]
@@ -157,12 +130,12 @@ def _joiner(p: RangeJoinParams):
                 yes = _cosines(every[ia[x]], every[ib[y]]) >= p.cosine
                 linked[x[yes], y[yes]] = True
         n = np.zeros(len(ids))
-        for lo in range(0, len(ia), _STRIP):
-            strip = linked[lo:lo + _STRIP].astype(np.float64)
-            n[ia[lo:lo + _STRIP]] += strip @ weights[ib]
-            n[ib] += weights[ia[lo:lo + _STRIP]] @ strip
+        for lo in range(0, len(ia), STRIP):
+            strip = linked[lo:lo + STRIP].astype(np.float64)
+            n[ia[lo:lo + STRIP]] += strip @ weights[ib]
+            n[ib] += weights[ia[lo:lo + STRIP]] @ strip
         some = np.flatnonzero(n)
-        stars = np.array(_stars(linked, ids[ia], ids[ib]), dtype=np.int64).reshape(-1, 2)
+        stars = np.array(spanning_stars(linked, ids[ia], ids[ib]), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": np.concatenate([ids[some], stars[:, 0]]), "b": np.concatenate([ids[some], stars[:, 1]]),
                          "n": np.concatenate([n[some].astype(np.int64), np.zeros(len(stars), np.int64)])})
     return run

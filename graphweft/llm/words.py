@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text that one numpy pass takes (a longer text is a slice of its own)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 #: A-Z to a-z, all other bytes unchanged
 LOWER = np.arange(256, dtype=np.uint8)
