@@ -331,90 +331,68 @@ def modularity(ew: DataFrame, communities: DataFrame, resolution: float = 1.0) -
     return (t["l"] or 0.0) / m - resolution * (t["kk"] or 0.0) / (m * m)
 
 
+#: rounds in a row without a gain after which a level is settled; each of them moves half as
+#: many nodes at once as the one before, as moves at once can spoil each other's gains
+IDLE_ROUNDS = 3
+
+
 def _local_moving(nodes: DataFrame, ew: DataFrame, m: float, resolution: float, seed: int,
-                  level: int, max_rounds: int, checkpoint_interval: int = 1):
+                  level: int, threshold: float, q: float):
     """One Louvain level: synchronous moves of a random half of the nodes per round (md5
-    parity), each node to the neighbouring community of best directed modularity gain
-    (ties: smallest community id); a round that lowers modularity is undone. Two jobs per
-    round (the move step and the modularity check). Returns (node -> community, changed, Q)."""
+    draws), each node to the neighbouring community of best directed modularity gain (ties:
+    smallest community id). A round that does not raise modularity by ``threshold`` is undone;
+    the level ends after ``IDLE_ROUNDS`` of those in a row, however many rounds that takes.
+    Two jobs per round: the moves, written, and their modularity. Returns (node -> community,
+    Q)."""
     kout = ew.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("kout"))
     kin = ew.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("kin"))
-    deg = cut_lineage(nodes.join(kout, "id", "left").join(kin, "id", "left").fillna({"kout": 0.0, "kin": 0.0}))
+    deg = nodes.join(kout, "id", "left").join(kin, "id", "left").fillna({"kout": 0.0, "kin": 0.0})
     # undirected neighbour weights, self-loops excluded (they move with the node)
-    nb = cut_lineage(
-        ew.where(F.col("src") != F.col("dst")).select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
-        .unionByName(ew.where(F.col("src") != F.col("dst"))
-                     .select(F.col("dst").alias("i"), F.col("src").alias("j"), "w"))
-        .groupBy("i", "j").agg(F.sum("w").alias("w")))
+    ends = ew.where(F.col("src") != F.col("dst"))
+    nb = cut_lineage(ends.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
+                     .unionByName(ends.select(F.col("dst").alias("i"), F.col("src").alias("j"), "w"))
+                     .groupBy("i", "j").agg(F.sum("w").alias("w")))
     state = cut_lineage(deg.select("id", F.col("id").alias("community"), "kout", "kin"))
-    q = modularity(ew, state, resolution)
-    changed, idle = False, 0
-    previous = None
-    for r in range(max_rounds):
-        tot = state.groupBy("community").agg(F.sum("kout").alias("t_out"), F.sum("kin").alias("t_in"))
-        active = state.where(uniform(F.concat_ws(":", F.col("id"), F.lit(str(level)), F.lit(str(r))), seed) < 0.5)
-        links = (nb.join(state.select(F.col("id").alias("j"), F.col("community").alias("c")), "j")
+    idle, r = 0, 0
+    while idle < IDLE_ROUNDS:
+        tot = state.groupBy(F.col("community").alias("c")).agg(F.sum("kout").alias("t_out"), F.sum("kin").alias("t_in"))
+        draw = uniform(F.concat_ws(":", F.col("id"), F.lit(str(level)), F.lit(str(r))), seed)
+        active = state.where(draw < 0.5 ** (idle + 1)).select(
+            F.col("id").alias("i"), F.col("community").alias("own"), "kout", "kin")
+        links = (nb.join(active.select("i"), "i", "left_semi")
+                 .join(state.select(F.col("id").alias("j"), F.col("community").alias("c")), "j").select("i", "c", "w")
+                 .unionByName(active.select("i", F.col("own").alias("c"), F.lit(0.0).alias("w")))
                  .groupBy("i", "c").agg(F.sum("w").alias("w_ic")))
-        a = active.select(F.col("id").alias("i"), F.col("community").alias("own"), "kout", "kin")
-        cand = (a.join(links, "i")
-                .unionByName(a.withColumn("c", F.col("own")).withColumn("w_ic", F.lit(0.0)))
-                .groupBy("i", "own", "kout", "kin", "c").agg(F.sum("w_ic").alias("w_ic"))
-                .join(tot.withColumnRenamed("community", "c"), "c", "left")
-                .fillna({"t_out": 0.0, "t_in": 0.0}))
+        cand = links.join(active, "i").join(tot, "c")
         is_own = F.col("c") == F.col("own")
         t_out = F.col("t_out") - F.when(is_own, F.col("kout")).otherwise(F.lit(0.0))
         t_in = F.col("t_in") - F.when(is_own, F.col("kin")).otherwise(F.lit(0.0))
         gain = F.col("w_ic") / F.lit(m) - F.lit(resolution) * (F.col("kout") * t_in + F.col("kin") * t_out) / F.lit(m * m)
-        scored = cand.withColumn("gain", gain)
-        own_gain = scored.where(is_own).select("i", F.col("gain").alias("g0"))
-        gmax = scored.groupBy("i").agg(F.max("gain").alias("gb"))
-        best = (scored.join(gmax, "i").where(F.col("gain") == F.col("gb"))
-                .groupBy("i", "gb").agg(F.min("c").alias("best"))
-                .join(own_gain, "i")
-                .where(F.col("gb") > F.col("g0") + F.lit(1e-12)))
-        moves = best.select(F.col("i").alias("id"), F.col("best").alias("new_c"))
-        new_state = (state.join(moves, "id", "left")
-                     .select("id", F.coalesce("new_c", "community").alias("community"), "kout", "kin",
-                             F.col("new_c").isNotNull().alias("_moved")))
-        new_state = (cut_lineage(new_state) if (r + 1) % checkpoint_interval == 0
-                     else new_state.persist(StorageLevel.MEMORY_AND_DISK))
-        n_moves = new_state.where("_moved").count()
-        if n_moves == 0:
-            new_state.unpersist()
+        # best gain of a node, of its ties the smallest community: one partial aggregate
+        best = (cand.groupBy("i").agg(F.min(F.struct((-gain).alias("loss"), F.col("c"))).alias("best"),
+                                      F.max(F.when(is_own, gain)).alias("g0"))
+                .where(-F.col("best.loss") > F.col("g0") + F.lit(1e-12))
+                .select(F.col("i").alias("id"), F.col("best.c").alias("new_c")))
+        moved = cut_lineage(state.join(best, "id", "left").select(
+            "id", F.coalesce("new_c", "community").alias("community"), "kout", "kin"))
+        r += 1
+        q_new = modularity(ew, moved, resolution)
+        if q_new > q + threshold:
+            state, q, idle = moved, q_new, 0
+        else:
             idle += 1
-            if idle >= 2:
-                break
-            continue
-        q_new = modularity(ew, new_state, resolution)
-        if q_new < q - 1e-12:
-            new_state.unpersist()
-            idle += 1
-            if idle >= 3:
-                break
-            continue
-        idle = 0
-        changed = changed or q_new > q + 1e-12
-        if previous is not None:
-            previous.unpersist()
-        previous = new_state
-        state, q = new_state.drop("_moved"), q_new
-    result = cut_lineage(state.select("id", "community"))
-    if previous is not None:
-        previous.unpersist()
-    return result, changed, q
+    return state.select("id", "community"), q
 
 
-def louvain(g: Graph, resolution: float = 1.0, seed: int = 42, max_levels: int = 4,
-            max_rounds: int = 8, threshold: float = 1e-7) -> DataFrame:
+def louvain(g: Graph, resolution: float = 1.0, seed: int = 42, threshold: float = 1e-7) -> DataFrame:
     """H3: Louvain communities of the directed multigraph (parallel edges add weight).
 
-    Parallel, not sequential: each round half of the nodes (md5 parity) move at once to
-    their best neighbouring community; rounds that lower modularity are undone. Levels
-    then collapse communities into super-vertices (weights summed, self-loops kept) while
-    modularity rises by more than ``threshold``. The visiting order of a sequential
-    implementation cannot be reproduced in parallel; the result is a disjoint cover of all
-    vertices with modularity no lower than the singleton partition's. Returns id, community
-    (community = smallest member id).
+    Parallel, not sequential: in each round part of the nodes (md5 draws) move at once to their
+    best neighbouring community; rounds that do not raise modularity are undone. Levels then
+    collapse communities into super-vertices (weights summed, self-loops kept) while modularity
+    rises by more than ``threshold``; there is no budget of rounds or levels. The visiting order
+    of a sequential implementation cannot be reproduced in parallel; the result is a disjoint
+    cover of all vertices. Returns id, community (community = smallest member id).
     """
     verts = g.all_vertices
     ew = cut_lineage(weighted_edges(g.edges))
@@ -422,25 +400,20 @@ def louvain(g: Graph, resolution: float = 1.0, seed: int = 42, max_levels: int =
     mapping = cut_lineage(verts.select("id", F.col("id").alias("community")))
     if m == 0:
         return mapping
-    nodes = verts
-    q_prev = modularity(ew, mapping, resolution)
-    for level in range(max_levels):
-        comm, changed, _ = _local_moving(nodes, ew, m, resolution, seed, level, max_rounds)
-        if not changed:
+    nodes, level = mapping.select("id"), 0
+    q = modularity(ew, mapping, resolution)
+    while True:
+        comm, q_new = _local_moving(nodes, ew, m, resolution, seed, level, threshold, q)
+        if q_new - q <= threshold:
             break
-        comm = cut_lineage(comm)
-        mapping = cut_lineage(mapping.join(comm.withColumnRenamed("community", "c2")
-                                           .withColumnRenamed("id", "community"), "community")
+        mapping = cut_lineage(mapping.join(comm.select(F.col("id").alias("community"), F.col("community").alias("c2")), "community")
                               .select("id", F.col("c2").alias("community")))
         ew = cut_lineage(
             ew.join(comm.select(F.col("id").alias("src"), F.col("community").alias("cs")), "src")
             .join(comm.select(F.col("id").alias("dst"), F.col("community").alias("cd")), "dst")
             .groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")))
-        nodes = comm.select(F.col("community").alias("id")).distinct()
-        q = modularity(ew, nodes.withColumn("community", F.col("id")), resolution)
-        if q - q_prev <= threshold:
-            break
-        q_prev = q
+        nodes = cut_lineage(comm.select(F.col("community").alias("id")).distinct())
+        q, level = q_new, level + 1
     # name each community by its smallest member
     named = mapping.groupBy("community").agg(F.min("id").alias("name"))
     return mapping.join(named, "community").select("id", F.col("name").alias("community"))

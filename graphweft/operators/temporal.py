@@ -232,6 +232,17 @@ def local_user_index(snap: Snapshots) -> DataFrame:
     return dense_index(snap.users, [F.col("first_snapshot"), F.col("id")], "local_idx")
 
 
+def edge_lists(snap: Snapshots, relations=SOCIAL_RELATIONS) -> DataFrame:
+    """D22 + C9: the typed edge lists of all snapshots as one interval-coded table:
+    first_snapshot, relation, src_idx, dst_idx by the users' local indices (E7), which are the
+    same in every snapshot. Snapshot i's list of a relation is ``first_snapshot <= i``."""
+    index = local_user_index(snap)
+    e = snap.edges.where(F.col("relation").isin(list(relations))).select(
+        "source_id", "relation", "target_id", "first_snapshot")
+    return rel.encode_endpoints(e, index.select("id", F.col("local_idx").alias("idx"))).select(
+        "first_snapshot", "relation", "src_idx", "dst_idx")
+
+
 def memberships(snap: Snapshots, snapshot_ids: DataFrame) -> DataFrame:
     """Explode users into the requested snapshots they belong to: snapshot_idx, id.
 

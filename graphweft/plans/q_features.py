@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphweft.functions import text
 from graphweft.operators import features as ft
+from graphweft.operators import graph as gr
 from graphweft.operators import temporal as tp
 from graphweft.plans.common import duck_ts, ts_str
 from graphweft.plans.oracle_views import with_views
@@ -200,6 +201,35 @@ def e12(spark, sf):
                       F.round(total, 6).alias("vec_total"))
 
 
+@register("h8_per_snapshot", with_views(
+    """SELECT o.snapshot_idx, o.id, o.pos, round(o.value + coalesce(r.value, 0), 6) AS value
+       FROM (SELECT k.snapshot_idx, uv.id, uv.pos, uv.value FROM snaps k JOIN ax_users u ON u.created_at <= k.ts
+             JOIN uv ON uv.id = u.id) o
+       LEFT JOIN (SELECT p.snapshot_idx, p.row AS id, uv.pos,
+                         sum(p.mult * pow(dr.d, -0.5) * coalesce(pow(dc.d, -0.5), 0) * uv.value) AS value
+                  FROM (SELECT snapshot_idx, source_id AS row, relation, target_id AS col, count(*) AS mult FROM es
+                        GROUP BY 1, 2, 3, 4) p
+                  JOIN dd dr ON dr.snapshot_idx = p.snapshot_idx AND dr.node = p.row AND dr.relation = p.relation
+                  LEFT JOIN dd dc ON dc.snapshot_idx = p.snapshot_idx AND dc.node = p.col AND dc.relation = p.relation
+                  JOIN uv ON uv.id = p.col GROUP BY p.snapshot_idx, p.row, uv.pos) r
+         ON r.snapshot_idx = o.snapshot_idx AND r.id = o.id AND r.pos = o.pos""",
+    GRID_CTES + ",\n" + UV_CTES + """,
+    snaps AS (SELECT snapshot_idx, ts FROM grid WHERE snapshot_idx IN (50, 150)),
+    es AS (SELECT k.snapshot_idx, ea.source_id, ea.relation, ea.target_id FROM snaps k JOIN ea ON ea.active_from <= k.ts
+           WHERE ea.relation IN ('following','followers')),
+    dd AS (SELECT snapshot_idx, source_id AS node, relation, count(*) AS d FROM es GROUP BY 1, 2, 3)"""))
+def h8_snapshots(spark, sf):
+    """Own vector plus the normalised sums of the relations, in the graphs of two snapshots."""
+    snap = tp.build_snapshots(dt.users(spark, sf), dt.tweets(spark, sf), dt.edges(spark, sf))
+    wanted = F.array(*[F.lit(i).cast("bigint") for i in (50, 150)])
+    at = F.explode(F.filter(wanted, lambda i: i >= F.col("first_snapshot"))).alias("snapshot_idx")
+    edges = snap.edges.where(F.col("relation").isin(list(dt.SOCIAL_RELATIONS))).select(at, "source_id", "relation", "target_id")
+    vectors = user_vectors(spark, sf)
+    nodes = snap.users.select(at, "id").join(vectors, "id")
+    sums = gr.normalised_relational_sum(edges, vectors, keys=["snapshot_idx"])
+    return long_rounded(gr.with_own_term(sums, nodes, keys=["snapshot_idx"]), ["snapshot_idx", "id"])
+
+
 @register("c16_snapshot_100_user_vectors", with_views(
     """SELECT uv.id, CASE WHEN u.label = 'bot' THEN 1 ELSE 0 END AS y, uv.pos, round(uv.value, 6) AS value
        FROM uv JOIN ax_users u ON u.id = uv.id

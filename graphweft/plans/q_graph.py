@@ -265,28 +265,37 @@ def h3m(spark, sf):
     return spark.createDataFrame([(round(q, 8),)], "modularity double")
 
 
-# Louvain round budget of the registered queries (parameters of ``graph.louvain``).
-LOUVAIN_LEVELS = 2
-LOUVAIN_ROUNDS = 4
+def louvain_communities(spark, sf):
+    return shared(spark, sf, "louvain", lambda: gr.louvain(social_graph(spark, sf)))
 
 
 @register("h3_louvain_communities")
 def h3(spark, sf):
-    return gr.louvain(social_graph(spark, sf), max_levels=LOUVAIN_LEVELS, max_rounds=LOUVAIN_ROUNDS)
+    return louvain_communities(spark, sf)
+
+
+def _community_summary(spark, sf, top):
+    """Largest communities with label shares, plus the partition's modularity next to that of
+    the singletons and of the components."""
+    g = social_graph(spark, sf)
+    comm = louvain_communities(spark, sf)
+    ew = cut_lineage(gr.weighted_edges(g.edges))
+    comps = gr.connected_components(g).withColumnRenamed("component", "community")
+    q = {"modularity": comm, "singleton_modularity": g.all_vertices.select("id", F.col("id").alias("community")),
+         "component_modularity": comps}
+    out = gr.community_summary(comm, dt.labels(spark, sf), top=top)
+    return out.withColumns({k: F.lit(round(gr.modularity(ew, c), 8)) for k, c in q.items()})
 
 
 @register("d24_e9_h3_community_summary")
 def d24(spark, sf):
-    """Top-10 communities with label shares, plus the partition's modularity next to the
-    singleton partition's (the contract: Louvain does not do worse)."""
-    g = social_graph(spark, sf)
-    comm = gr.louvain(g, max_levels=LOUVAIN_LEVELS, max_rounds=LOUVAIN_ROUNDS)
-    ew = gr.weighted_edges(g.edges)
-    q = gr.modularity(ew, comm)
-    q0 = gr.modularity(ew, g.all_vertices.select("id", F.col("id").alias("community")))
-    return (gr.community_summary(comm, dt.labels(spark, sf), top=10)
-            .withColumn("modularity", F.lit(round(q, 8)))
-            .withColumn("singleton_modularity", F.lit(round(q0, 8))))
+    return _community_summary(spark, sf, 10)
+
+
+@register("e9_community_size_curve")
+def e9(spark, sf):
+    """Sizes of the 25 largest communities, by rank."""
+    return gr.community_summary(louvain_communities(spark, sf), dt.labels(spark, sf), top=25).select("rank", "size")
 
 
 @register("c17_e8_pagerank_with_label", with_views(

@@ -143,6 +143,20 @@ def d22(spark, sf):
     return tp.relation_edge_counts(_snap(spark, sf))
 
 
+@register("d22_c9_e7_edge_lists", with_views(
+    """SELECT f.first_snapshot, f.relation, s.local_idx AS src_idx, t.local_idx AS dst_idx FROM (
+         SELECT source_id, relation, target_id,
+                CAST((SELECT min(snapshot_idx) FROM grid WHERE grid.ts >= ea.active_from) AS INTEGER) AS first_snapshot
+         FROM ea WHERE relation IN ('following','followers')) f
+       JOIN li s ON s.id = f.source_id JOIN li t ON t.id = f.target_id WHERE f.first_snapshot IS NOT NULL""",
+    GRID_CTES + """,
+    li AS (SELECT id, row_number() OVER (ORDER BY first_snapshot, id) - 1 AS local_idx FROM (
+         SELECT u.id, CAST(min(g.snapshot_idx) AS INTEGER) AS first_snapshot
+         FROM ax_users u JOIN grid g ON u.created_at <= g.ts GROUP BY u.id))"""))
+def d22_lists(spark, sf):
+    return tp.edge_lists(_snap(spark, sf))
+
+
 @register("e7_local_user_index", with_views(
     """SELECT id, first_snapshot, row_number() OVER (ORDER BY first_snapshot, id) - 1 AS local_idx FROM (
          SELECT u.id, CAST(min(g.snapshot_idx) AS INTEGER) AS first_snapshot

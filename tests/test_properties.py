@@ -83,17 +83,43 @@ def test_snowball_invariants(spark):
         assert len(members) <= 5 * len(prev)
 
 
-def test_louvain_is_a_cover_and_beats_singletons(spark):
+def _label_propagation(nodes, pairs):
+    """Plain sequential label propagation: the most frequent label of the neighbours, ties to
+    the smallest, until a sweep changes nothing."""
+    near = {n: [] for n in nodes}
+    for a, b in pairs:
+        if a != b:
+            near[a].append(b)
+            near[b].append(a)
+    label = {n: n for n in nodes}
+    for _ in range(50):
+        before = dict(label)
+        for n in sorted(nodes):
+            if near[n]:
+                count = {}
+                for o in near[n]:
+                    count[label[o]] = count.get(label[o], 0) + 1
+                label[n] = min(count, key=lambda c: (-count[c], c))
+        if label == before:
+            break
+    return label
+
+
+def test_louvain_is_a_cover_and_beats_other_partitions(spark):
     users = dt.users(spark, SF_SMOKE)
     e = dt.edges(spark, SF_SMOKE).where(F.col("relation").isin("following", "followers"))
     g = gr.Graph(users.select("id"), e)
-    comm = gr.louvain(g, max_levels=2, max_rounds=3)
+    comm = gr.louvain(g)
     rows = comm.collect()
     assert len(rows) == len({r.id for r in rows}) == g.all_vertices.count()
     ew = gr.weighted_edges(e)
     q = gr.modularity(ew, comm)
     q0 = gr.modularity(ew, g.all_vertices.select("id", F.col("id").alias("community")))
+    comps = gr.connected_components(g).withColumnRenamed("component", "community")
+    label = _label_propagation([r.id for r in rows], [(r.source_id, r.target_id) for r in e.collect()])
+    spread = spark.createDataFrame(list(label.items()), "id string, community string")
     assert q > q0 and q > 0.3
+    assert q >= gr.modularity(ew, comps) - 1e-9 and q >= gr.modularity(ew, spread) - 1e-9
 
 
 def test_splits_disjoint_and_complete(spark):
