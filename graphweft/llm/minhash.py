@@ -385,7 +385,7 @@ def near_duplicates(documents: DataFrame, params: MinHashParams | None = None) -
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op5: near-duplicate components of all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -410,3 +410,29 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
              .agg(F.min_by(row, F.xxhash64(*columns(docs))).alias("row")).select("row.*"))
     free = met.filter("chosen IS NULL").select(*columns(docs))
     return rest.select(*columns(docs)).unionByName(free).unionByName(alike)
+
+
+#: The same by counting common shingles of all pairs that have one.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_in AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT i.a, i.b FROM both_in i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b
+  WHERE 100 * i.n >= 85 * (x.n + y.n - i.n)),
+near AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(id, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT near.b, reach.root FROM reach JOIN near ON near.a = reach.id),
+c AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.id = d.doc_id
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_embedding_near_dedup": vectors.ORACLE,
+    "op5_minhash_near_dedup": minhash.ORACLE,
     "op9_chat_format": chat.ORACLE,
 }

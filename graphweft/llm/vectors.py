@@ -228,3 +228,21 @@ def range_join(vectors: DataFrame, params: RangeJoinParams | None = None) -> Dat
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op4: links and components of all embeddings."""
     return range_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The same by all pairs.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.id),
+c AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id JOIN c ON c.id = e.vec_id
+"""
