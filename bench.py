@@ -1,7 +1,8 @@
 """Benchmark the headline queries; prints one JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 4),
-BENCH_QUERIES (comma-separated subset, default the headline list),
+BENCH_QUERIES (comma-separated subset, default the headline list), BENCH_CHECKPOINT_DIR
+(default a new temporary folder; local mode only),
 GRAPHWEFT_DRIVER_MEMORY (default 4g).
 Each query is executed in full through the ``noop`` sink (every row computed, nothing
 collected); the time per query is wall-clock seconds.
@@ -13,6 +14,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,6 +30,7 @@ HEADLINE = [
     "h1_pagerank_10_rounds",
     "h4_connected_components",
     "h7_relational_mean",
+    "h7_root_sum",
     "e5_time_bins",
     "h5_snowball_sample",
     "h6_closure_entities",
@@ -45,7 +48,9 @@ def main() -> None:
     from graphweft.plans import registry
     from graphweft.session import get_spark
 
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=2 * cpus, app_name="graphweft-bench")
+    folder = os.environ.get("BENCH_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="graphweft-bench-")
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=2 * cpus, app_name="graphweft-bench",
+                      extra={"spark.checkpoint.dir": folder})
     queries = registry.all_queries()
     times = {}
     for name in names:

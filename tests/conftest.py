@@ -12,8 +12,8 @@ SF_SMOKE = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = get_spark("local[4]", 4, extra={"spark.sql.adaptive.coalescePartitions.enabled": "true"})
+def spark(tmp_path_factory):
+    s = get_spark("local[4]", 4, extra={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     yield s
 
 
