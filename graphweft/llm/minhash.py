@@ -294,6 +294,8 @@ def _set_stars(p: MinHashParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for share in _shares(batches, "cluster"):
             ia, ib = _sides(share)
+            if not len(ia) or not len(ib):  # a block without members
+                continue
             component = share.column("component").to_numpy()
             lists = share.column("members").combine_chunks()
             flat, first = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
