@@ -57,6 +57,11 @@ class MinHashParams:
     filter_bits: int = 24
 
 
+#: What the pipeline takes for near: 0.8 or more. A pair there misses all bands with a probability
+#: of 5 in 10^9; its sketches are as many standard deviations from the floor as at the defaults.
+STAGE_PARAMS = MinHashParams(percent=80, bands=48, rows=5, sketch_floor=0.57)
+
+
 def _codes(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(85)
     return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
@@ -391,12 +396,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, the one with the smallest doc_id.
+    """Pipeline stage: one document of each component at ``STAGE_PARAMS`` stays, the one with the
+    smallest doc_id.
 
     Of several rows with its id one with the smallest text hash stays. Rows without an id stay
     if no row with an id has their set; those of one text then count as one.
     """
-    marks = cut_lineage(near_duplicates(docs).select("doc_id", "text_hash", "kept"))
+    marks = cut_lineage(near_duplicates(docs, STAGE_PARAMS).select("doc_id", "text_hash", "kept"))
     one = marks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("least"))
     one = one.select(F.col("doc_id").alias("id"), "n", "least")
     joined = marks.join(cut_lineage(one), F.col("doc_id").eqNullSafe(F.col("id")))

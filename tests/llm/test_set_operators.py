@@ -98,6 +98,18 @@ def test_near_duplicates_are_exact_components(spark, rng, block):
     assert [got[k].kept for k in range(len(texts))] == [k == w for k, w in enumerate(want)]
 
 
+def test_pipeline_stage_links_from_080(spark, rng):
+    texts = []
+    for family in range(30):  # one word changed: 5 of n shingles differ
+        base = [f"f{family}w{k}" for k in range(40 + family)]
+        texts += [" ".join(base), " ".join([*base[:20], "x", *base[21:]])]
+    low = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    share = [100 * len(a & b) / len(a | b) for a, b in zip(low[::2], low[1::2])]
+    assert min(share) < 80 < 85 < max(share) and sum(80 <= x < 85 for x in share) > 5
+    left = {r.doc_id for r in minhash.stage(spark, spark.createDataFrame(rows_of(texts, first=0), SCHEMA), "").collect()}
+    assert left == {2 * k for k in range(30)} | {2 * k + 1 for k, x in enumerate(share) if x < 80}
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(4)
     p = minhash.MinHashParams()
