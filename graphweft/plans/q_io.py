@@ -14,6 +14,8 @@ from graphweft.operators import temporal as tp
 from graphweft.plans.common import duck_ts, ts_str
 from graphweft.plans.oracle_views import with_views
 from graphweft.plans.q_features import _NUM_CTES
+from graphweft.plans.q_graph import long_rounded
+from graphweft.plans.q_ml import classifier_scores
 from graphweft.plans.q_temporal import COUNTS_SQL, GRID_CTES
 from graphweft.session import scratch_path
 from graphweft.sources import driver_tables as dt
@@ -181,10 +183,36 @@ def a19(spark, sf):
         "id", "pos", F.round("value", 6).alias("value"))
 
 
-@register("a21_a22_partitioned_outputs")
+_TV_CTES = """el AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos,
+              CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+tv AS (SELECT 't' || o.o_orderkey AS tweet_id, el.pos, el.x FROM orders o
+       JOIN el ON el.vec_id = o.o_orderkey % (SELECT count(*) FROM embeddings)),
+pe AS (SELECT ea.source_id AS id, ea.target_id AS tweet_id,
+              (SELECT min(snapshot_idx) FROM grid WHERE grid.ts >= ea.active_from) AS fs
+       FROM ea WHERE ea.relation = 'post')"""
+
+
+@register("a21_a22_partitioned_outputs", with_views(
+    """SELECT id, fs AS snapshot_idx, pos, round(sum(s) OVER w / sum(n) OVER w, 6) AS value FROM (
+         SELECT pe.id, pe.fs, tv.pos, sum(tv.x) AS s, count(*) AS n FROM pe JOIN tv ON tv.tweet_id = pe.tweet_id
+         WHERE pe.fs IS NOT NULL GROUP BY pe.id, pe.fs, tv.pos)
+       WINDOW w AS (PARTITION BY id, pos ORDER BY fs ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    GRID_CTES + ",\n" + _TV_CTES))
 def a21(spark, sf):
+    """The vectors of all snapshots, written by snapshot and read back (A22 is ``a22_stored_scores``)."""
     p = _scratch(spark, "snapshot-vectors")
     snap = tp.build_snapshots(dt.users(spark, sf), dt.tweets(spark, sf), dt.edges(spark, sf))
     ch = ft.posted_vector_changes(snap, dt.tweet_vectors(spark, sf))
     sinks.write_partitioned_vectors(ch, p)
-    return spark.read.parquet(p).where(F.col("snapshot_idx") == 100).select("id", "snapshot_idx")
+    stored = spark.read.schema("id string, vec array<double>, snapshot_idx bigint").parquet(p)
+    return long_rounded(stored, ["id", "snapshot_idx"])
+
+
+@register("a22_stored_scores")
+def a22(spark, sf):
+    """The I13 scores of all users, written and read back."""
+    p = _scratch(spark, "scores")
+    sinks.write_scores(classifier_scores(spark, sf), p)
+    s = spark.read.parquet(p)
+    return s.select("id", "y", "split", "prediction", F.round("p_bot", 6).alias("p_bot"),
+                    F.transform("logits", lambda x: F.round(x, 6)).alias("logits"))

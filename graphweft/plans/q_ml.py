@@ -153,8 +153,7 @@ def i11(spark, sf):
                       F.round("f1_bot", 6).alias("f1_bot"))
 
 
-@register("i8_i13_classifier_scores")
-def i8(spark, sf):
+def classifier_scores(spark, sf):
     """SIGN features over the social graph (two hops of relational means of the pooled tweet
     vectors), logistic regression with class weights, selected on validation, scored on all."""
     g = social_graph(spark, sf)
@@ -162,7 +161,12 @@ def i8(spark, sf):
     codes = rel.align_labels(dt.users(spark, sf), dt.labels(spark, sf))
     splits = ml.static_split(_test_mask(spark, sf))
     scored, _ = ml.train_and_score(feats, codes, splits)
-    return scored.select("id", "y", "split", "prediction", F.round("p_bot", 6).alias("p_bot"))
+    return scored
+
+
+@register("i8_i13_classifier_scores")
+def i8(spark, sf):
+    return classifier_scores(spark, sf).select("id", "y", "split", "prediction", F.round("p_bot", 6).alias("p_bot"))
 
 
 @register("i9_i13_classifier_test_metrics")

@@ -34,3 +34,15 @@ def test_query_matches_oracle(spark, duck, name):
     c2, r2 = canon([d[0] for d in res.description], res.fetchall())
     assert c1 == c2
     assert r1 == r2
+
+
+def test_stored_vectors_of_all_snapshots_match_oracle(spark, duck):
+    test_query_matches_oracle(spark, duck, "a21_a22_partitioned_outputs")
+
+
+def test_stored_scores_are_those_of_all_users(spark):
+    stored = ent.queries()["a22_stored_scores"](spark, SF_SMOKE)
+    rows, users = stored.collect(), ent.queries()["a8_ordered_user_scan"](spark, SF_SMOKE).collect()
+    assert sorted(r.id for r in rows) == sorted(r.id for r in users) and all(len(r.logits) == 2 for r in rows)
+    scored = ent.queries()["i8_i13_classifier_scores"](spark, SF_SMOKE).collect()
+    assert sorted((r.id, r.y, r.split, r.prediction, r.p_bot) for r in rows) == sorted(map(tuple, scored))
