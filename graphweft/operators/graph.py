@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from graphweft.functions import vectors as vec
@@ -256,6 +256,55 @@ def with_own_term(sums: DataFrame, features: DataFrame, keys: Sequence[str] = ()
     return vec.sum_by(own.unionByName(sums.select(*k, "vec")), k, "vec")
 
 
+def relational_sum_changes(edges: DataFrame, features: DataFrame, nodes: DataFrame, dim: int,
+                           vec_col: str = "vec") -> DataFrame:
+    """H8 with identity weights in the cumulative graphs of all snapshots, as change rows: id,
+    snapshot_idx, pos, value. A node has rows at its own snapshot and wherever an edge of it or a
+    degree that weighs in its sum is new; its value in snapshot i is the row with the largest
+    snapshot_idx <= i.
+
+    ``edges`` (source_id, relation, target_id, first_snapshot), ``features`` (id, vec of ``dim``),
+    ``nodes`` (id, first_snapshot). A pair sends its scaled vector only when its weight changes.
+    """
+    at = F.col("first_snapshot").cast("bigint").alias("snapshot_idx")
+    e = edges.where(F.col("first_snapshot").isNotNull()).select(
+        F.col("source_id").alias("row"), "relation", F.col("target_id").alias("col"), at)
+
+    def upto(*keys: str) -> WindowSpec:
+        return Window.partitionBy(*keys).orderBy("snapshot_idx").rowsBetween(Window.unboundedPreceding, 0)
+
+    def change(value: Column, *keys: str) -> Column:
+        return value - F.coalesce(F.lag(value).over(Window.partitionBy(*keys).orderBy("snapshot_idx")), F.lit(0.0))
+
+    each = e.groupBy("row", "relation", "snapshot_idx").agg(F.count(F.lit(1)).alias("n"))
+    degree = each.select("row", "relation", "snapshot_idx", F.sum("n").over(upto("row", "relation")).alias("d"))
+    new = e.groupBy("row", "relation", "col", "snapshot_idx").agg(F.count(F.lit(1)).alias("n"))
+    of_col = degree.select(F.col("row").alias("col"), "relation", "snapshot_idx", "d")
+    turned = e.select("row", "relation", "col").distinct().join(of_col, ["col", "relation"])
+    pair = ["row", "relation", "col"]
+    steps = (new.withColumn("d", F.lit(None).cast("bigint"))
+             .unionByName(turned.withColumn("n", F.lit(0).cast("bigint")))
+             .groupBy(*pair, "snapshot_idx").agg(F.sum("n").alias("n"), F.max("d").alias("d")))
+    # a col that is never a row weighs 0
+    weight = F.sum("n").over(upto(*pair)) * F.coalesce(F.pow(F.last("d", True).over(upto(*pair)), -0.5), F.lit(0.0))
+    steps = steps.select(*pair, "snapshot_idx", weight.alias("w"))
+    steps = steps.select(*pair, "snapshot_idx", change(F.col("w"), *pair).alias("w")).where("w != 0")
+    x = features.select(F.col("id").alias("col"), F.col(vec_col).alias("x"))
+    sent = steps.join(x, "col").select("row", "relation", "snapshot_idx", vec.scale(F.col("x"), F.col("w")).alias("vec"))
+    sums = vec.sum_by(sent, ["row", "relation", "snapshot_idx"], "vec").withColumn("d", F.lit(None).cast("bigint"))
+    key, long = ["row", "relation", "pos"], ["row", "relation", "snapshot_idx", "d"]
+    both = sums.select(*long, "vec").unionByName(degree.select(*long, vec.zeros(dim).alias("vec")))
+    both = (both.select(*long, F.posexplode("vec").alias("pos", "s"))
+            .groupBy(*key, "snapshot_idx").agg(F.sum("s").alias("s"), F.max("d").alias("d")))
+    total = F.sum("s").over(upto(*key)) * F.coalesce(F.pow(F.last("d", True).over(upto(*key)), -0.5), F.lit(0.0))
+    both = both.select(*key, "snapshot_idx", total.alias("v"))
+    both = both.select(F.col("row").alias("id"), "snapshot_idx", "pos", change(F.col("v"), *key).alias("v"))
+    own = (nodes.where(F.col("first_snapshot").isNotNull()).select("id", at).join(features, "id")
+           .select("id", "snapshot_idx", F.posexplode(F.col(vec_col).cast("array<double>")).alias("pos", "v")))
+    every = own.unionByName(both).groupBy("id", "snapshot_idx", "pos").agg(F.sum("v").alias("v"))
+    return every.select("id", "snapshot_idx", "pos", F.sum("v").over(upto("id", "pos")).alias("value"))
+
+
 def _relation_blocks(edges: DataFrame, cur: DataFrame, relations: Sequence[str], dim: int) -> DataFrame:
     """id, one mean-of-sources vector per relation (zeros where a node has no in-edge)."""
     m = relational_mean(edges, cur, "vec")

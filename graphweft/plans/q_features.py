@@ -230,6 +230,15 @@ def h8_snapshots(spark, sf):
     return long_rounded(gr.with_own_term(sums, nodes, keys=["snapshot_idx"]), ["snapshot_idx", "id"])
 
 
+@register("h8_all_snapshots")
+def h8_all(spark, sf):
+    """The same in the graphs of all snapshots, as change rows."""
+    snap = tp.build_snapshots(dt.users(spark, sf), dt.tweets(spark, sf), dt.edges(spark, sf))
+    edges = snap.edges.where(F.col("relation").isin(list(dt.SOCIAL_RELATIONS)))
+    changes = gr.relational_sum_changes(edges, user_vectors(spark, sf), snap.users, dim=64)
+    return changes.withColumn("value", F.round("value", 6))
+
+
 @register("c16_snapshot_100_user_vectors", with_views(
     """SELECT uv.id, CASE WHEN u.label = 'bot' THEN 1 ELSE 0 END AS y, uv.pos, round(uv.value, 6) AS value
        FROM uv JOIN ax_users u ON u.id = uv.id

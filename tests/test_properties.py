@@ -159,3 +159,29 @@ def test_rank_within_matches_sort(spark):
         expect = [x.id for x in sorted((x for x in keyed if x.g == g), key=lambda x: (x.k, x.id))]
         got = [x.id for x in sorted((x for x in r if x.g == g), key=lambda x: x.rank)]
         assert got == expect
+
+
+def test_relational_sum_changes_match_brute_force_in_every_snapshot(spark):
+    import random
+    from collections import Counter
+
+    from graphweft.operators import graph as gr
+    rng = random.Random(11)
+    born = {f"n{k}": rng.randrange(3) for k in range(8)}
+    vecs = {n: [rng.random(), rng.random()] for n in born}
+    edges = [(f"n{rng.randrange(6)}", rng.choice("ab"), f"n{rng.randrange(8)}", rng.randrange(3, 9)) for _ in range(40)]
+    got = gr.relational_sum_changes(
+        spark.createDataFrame(edges, "source_id string, relation string, target_id string, first_snapshot int"),
+        spark.createDataFrame(list(vecs.items()), "id string, vec array<double>"),
+        spark.createDataFrame(list(born.items()), "id string, first_snapshot int"), dim=2).collect()
+    assert len(got) == len({(r.id, r.snapshot_idx, r.pos) for r in got})
+    for i in range(10):
+        seen = [e for e in edges if e[3] <= i]
+        d = Counter((e[0], e[1]) for e in seen)
+        want = {(n, p): vecs[n][p] for n in born if born[n] <= i for p in (0, 1)}
+        for row, rel, col, _ in seen:
+            for p in (0, 1):
+                w = d[row, rel] ** -0.5 * (d[col, rel] ** -0.5 if d[col, rel] else 0)
+                want[row, p] += w * vecs[col][p]
+        last = {(r.id, r.pos): r.value for r in sorted(got, key=lambda r: r.snapshot_idx) if r.snapshot_idx <= i}
+        assert last.keys() == want.keys() and all(abs(last[k] - want[k]) < 1e-9 for k in want)
