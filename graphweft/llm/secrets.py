@@ -50,14 +50,14 @@ PLACEHOLDERS = ("example", "changeme", "placeholder", "dummy", "sample", "your",
 class SecretParams:
     """``copied_owners`` distinct owners or ``copied_repos`` distinct repositories make a value
     an example. Live values have ``least_entropy`` bits a character; random-looking words
-    besides the base spans have ``word_entropy`` bits, letters and digits, and a length within
-    ``word_length``."""
+    besides the base spans have ``word_entropy`` bits, letters and digits, and ``word_length``
+    characters or more."""
 
     copied_owners: int = 3
     copied_repos: int = 5
     least_entropy: float = 2.7
     word_entropy: float = 3.6
-    word_length: tuple[int, int] = (20, 200)
+    word_length: int = 20
 
 
 _HEX_BYTES = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x66 for b in range(256)])
@@ -80,7 +80,7 @@ def _hits(piece: W.Slice, p: SecretParams) -> np.ndarray:
     s, e = W.spans(piece.data, piece.offsets, _HEX_BYTES)
     runs.append(s[e - s >= LEAST_HEX])
     s, e = W.spans(piece.data, piece.offsets, _WORD_BYTES)
-    s, e = s[e - s >= p.word_length[0]], e[e - s >= p.word_length[0]]
+    s, e = s[e - s >= p.word_length], e[e - s >= p.word_length]
     if len(s):
         digits = np.concatenate([[0], np.cumsum(_DIGIT[piece.data])])
         n = digits[e] - digits[s]
@@ -112,10 +112,10 @@ def candidates(text: str, base: list[tuple], p: SecretParams) -> list[tuple[int,
     """Value spans that look live: those of base spans, and random-looking words elsewhere."""
     found = {(a, b) for _, _, _, a, b in base if _looks_live(text[a:b], p.least_entropy)}
     covered = sorted((s, e) for _, s, e, _, _ in base)
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % p.word_length[0], text):
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % p.word_length, text):
         a, b = m.span()
         w = m.group()
-        if b - a > p.word_length[1] or any(s < b and a < e for s, e in covered):
+        if any(s < b and a < e for s, e in covered):
             continue
         if re.search("[0-9]", w) and re.search("[A-Za-z]", w) and _looks_live(w, p.word_entropy):
             found.add((a, b))

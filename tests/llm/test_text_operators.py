@@ -203,3 +203,10 @@ def test_licences_by_place_and_key_phrase(spark, odd, empty):
     for r in licenses.scan(odd, keep=["doc_id", "text"]).collect():
         assert r.n_words == len(ALNUM.findall((r.text or "").translate(ASCII_LOWER))) and r.labels == ""
     assert licenses.scan(empty).count() == 0
+
+
+def test_long_random_words_are_candidates():
+    long = "".join(hashlib.sha512(str(k).encode()).hexdigest().translate(str.maketrans("abcdef", "GhJkLm")) for k in range(3))
+    text = f"see {long} there"
+    assert len(long) > 200 and not secrets.base_spans(text)
+    assert secrets.candidates(text, [], secrets.SecretParams()) == [(4, 4 + len(long))]
