@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +23,6 @@ SESSION_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # iterative operators checkpoint every few rounds: drop files no longer referenced
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -69,13 +68,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "graphweft-tables", name)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
+
+    The result's plan is one scan: unlike a checkpoint it keeps neither the partitioning nor
+    the ordering or statistics of the plan it came from, which grow from round to round where
+    a state is joined with itself. A lost executor costs the reading of its splits again.
+    ``release`` deletes the table once nothing reads it any more.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_table = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete the tables behind results of ``cut_lineage``; other frames (and None) are left
+    alone. For tables that a later one has superseded: nothing may read them after that."""
+    for df in frames:
+        path = getattr(df, "scratch_table", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+            df.scratch_table = None
