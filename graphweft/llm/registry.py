@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from graphweft.llm import chat, decontaminate, langid, licenses, lm, minhash, mixing, secrets, toxicity, vectors
+from graphweft.llm import (alignment, chat, decontaminate, langid, licenses, lm, minhash, mixing, secrets,
+                           token_counts, toxicity, vectors)
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -15,6 +16,8 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_chat_format": chat.query,
     "op10_source_mix": mixing.query,
+    "op12_cross_tokenizer_alignment": alignment.query,
+    "op13_token_counts": token_counts.query,
 }
 
 ORACLES: dict[str, str] = {
