@@ -20,7 +20,9 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import array
 import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.llm import vocab as V
+from graphweft.llm import words as W
+from graphweft.llm.token_counts import PreTokens
 from graphweft.session import cut_lineage
 
 #: an id pair as one number: a * PAIR + b
@@ -41,12 +45,30 @@ _MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 @dataclass(frozen=True)
 class AlignParams:
     """Tokenizers by path, or by name among the public ones. ``frequent`` pairs at most travel
-    with the tasks; ``bytes_at_once`` of text, or one text, are encoded together."""
+    with the tasks; a task remembers the tokens of ``remembered`` pre-tokens at a time."""
 
     a: str = "byte_bpe_50k.json"
     b: str = "piece_bpe_32k.model"
     frequent: int = 1 << 18
-    bytes_at_once: int = 1 << 20
+    remembered: int = 1 << 18
+
+
+def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of consecutive ranges that begin at ``begin`` and have ``size`` places."""
+    stop = np.cumsum(size)
+    return np.repeat(begin - stop + size, size) + np.arange(size.sum())
+
+
+class Spelling:
+    """Bytes of the tokens of a vocabulary, in one array."""
+
+    def __init__(self, tokens: list[bytes | None]):
+        self.size = V.lengths(tokens)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(t or b"" for t in tokens), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        return self.data[_gather(self.begin[ids], self.size[ids])]
 
 
 class GroupText:
@@ -59,59 +81,121 @@ class GroupText:
         self.digits[:, :width] = np.frombuffer(shown.tobytes(), np.uint8).reshape(n_ids, width)
         self.size = (self.digits > 0x20).sum(axis=1)
 
-    def __call__(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> bytes:
-        """``cut_a`` and ``cut_b`` are the indices of the tokens that end a group."""
-        in_group = [np.searchsorted(cut, np.arange(len(ids))) for ids, cut in ((a, cut_a), (b, cut_b))]
-        side = np.concatenate([2 * in_group[0], 2 * in_group[1] + 1])
+    def __call__(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All groups with a mark behind each token, and where each group begins (and the last
+        ends); ``cut_a`` and ``cut_b`` are the indices of the tokens that end a group."""
+        side = np.concatenate([2 * np.repeat(np.arange(len(cut_a)), np.diff(cut_a, prepend=-1)),
+                               2 * np.repeat(np.arange(len(cut_b)), np.diff(cut_b, prepend=-1)) + 1])
         order = np.argsort(side, kind="stable")
         ids, side = np.concatenate([a, b])[order], side[order]
         out, size = self.digits[ids], self.size[ids]
         mark = np.full(len(ids), ord(","), np.uint8)
-        ends = np.append(side[1:] != side[:-1], True)
+        ends = np.append(side[1:] != side[:-1], True)[:len(side)]
         mark[ends] = np.where(side[ends] % 2 == 0, ord("|"), ord(";"))
         out[np.arange(len(ids)), size] = mark
-        return out[np.arange(out.shape[1])[None] <= size[:, None]].tobytes()[:-1]
+        upto = np.concatenate([[0], np.cumsum(size + 1)])
+        begins = upto[np.searchsorted(side, 2 * np.arange(len(cut_a) + 1))]
+        return out[np.arange(out.shape[1])[None] <= size[:, None]].tobytes(), begins
+
+
+class ByteLevelIds:
+    """Token ids of texts in a byte-level vocabulary. Pre-tokens are encoded one by one, so
+    each different one is merged by the library once for as long as it is remembered."""
+
+    def __init__(self, raw: bytes, remembered: int):
+        library = V.byte_level_tokenizer(raw, special=False)
+        self._cutter, self._merge, self._symbol = PreTokens(library), library.model.tokenize, V.byte_symbols()
+        self._known: dict[int, bytes] = {}
+        self._remembered = remembered
+
+    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> list[bytes]:
+        """Ids of each pre-token as 32-bit numbers."""
+        if len(self._known) > self._remembered:
+            self._known.clear()
+        known, keys = self._known, hashes.tolist()
+        new = [k for k, h in enumerate(keys) if h not in known]
+        raw = data.tobytes().decode("latin-1").translate(self._symbol)
+        for k, i, j in zip(new, starts[new].tolist(), ends[new].tolist(), strict=True):
+            known[keys[k]] = array.array("i", [t.id for t in self._merge(raw[i:j])]).tobytes()
+        return [known[h] for h in keys]
+
+    def __call__(self, piece: W.Slice) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, and the number of tokens of each text."""
+        starts, ends = self._cutter.cut(piece.data, piece.offsets)
+        hashes = W.span_hashes(piece.data, starts, ends)
+        each, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        ids = self._ids(piece.data, starts[first], ends[first], each)
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), np.int32).astype(np.int64)
+        every = flat[_gather((np.cumsum(size) - size)[back], size[back])]
+        # tokens before each text: those of the pre-tokens that begin before it
+        before = np.concatenate([[0], np.cumsum(size[back])])[np.searchsorted(starts, piece.offsets)]
+        return every, np.diff(before)
+
+
+class PieceIds:
+    """The same for a piece vocabulary, of texts without their first byte, a blank."""
+
+    def __init__(self, raw: bytes):
+        self.library = V.piece_tokenizer(raw)
+
+    def __call__(self, piece: W.Slice) -> tuple[np.ndarray, np.ndarray]:
+        raw, cuts = piece.data.tobytes(), piece.offsets.tolist()
+        ids = self.library.encode([raw[i + 1:j].decode() for i, j in zip(cuts[:-1], cuts[1:], strict=True)],
+                                  out_type=int, num_threads=1)
+        size = np.array([len(x) for x in ids], np.int64)
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int64, size.sum()), size
+
+
+def _exact(piece: W.Slice, ids: np.ndarray, n: np.ndarray, spell: Spelling) -> np.ndarray:
+    """Which texts of a slice their tokens give back byte for byte."""
+    size = np.diff(piece.offsets)
+    row = np.repeat(np.arange(piece.n_rows), n)
+    same = np.bincount(row, spell.size[ids], piece.n_rows).astype(np.int64) == size
+    got = spell(ids[same[row]])
+    at = np.repeat(np.arange(piece.n_rows), size)
+    inside = same[at]
+    wrong = at[inside][got != piece.data[inside]]
+    same[wrong] = False
+    return same
 
 
 def _aligner(raw_a: bytes, raw_b: bytes, p: AlignParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work out
-        enc_a, enc_b = V.byte_level_tokenizer(raw_a, special=False), V.piece_tokenizer(raw_b)
-        bytes_a, bytes_b = V.byte_level_tokens(raw_a), V.piece_tokens(enc_b)
-        size_a, size_b = V.lengths(bytes_a), V.lengths(bytes_b)
-        show = GroupText(max(len(bytes_a), len(bytes_b)))
-        none = (0, 0, 0, 0, "", [], [])
-
-        def one(text: bytes, a: list[int], b: list[int]) -> tuple:
-            want = b" " + text
-            if not text or b"".join([bytes_a[x] or b"" for x in a]) != want or b"".join([bytes_b[x] for x in b]) != want:
-                return none
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
-            _, at_a, at_b = np.intersect1d(np.cumsum(size_a[a]), np.cumsum(size_b[b]), True, True)
-            pairs, n = np.unique(a[at_a] * PAIR + b[at_b], return_counts=True)
-            shown = hashlib.sha256(show(a, b, at_a, at_b)).hexdigest()
-            return len(a), len(b), len(at_a), len(at_a), shown, pairs, n.astype(np.int32)
-
-        def some(texts: list[str]) -> list[tuple]:
-            a = [x.ids for x in enc_a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-            b = enc_b.encode(texts, out_type=int, num_threads=1)
-            return [one(t.encode(), x, y) for t, x, y in zip(texts, a, b, strict=True)]
-
-        def lists(values: list, kind: pa.DataType) -> pa.Array:
-            off = np.cumsum([0, *(len(v) for v in values)]).astype(np.int32)
-            flat = np.concatenate([np.asarray(v, kind.to_pandas_dtype()) for v in values]) if values else []
-            return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, kind))
+        enc_a, enc_b = ByteLevelIds(raw_a, p.remembered), PieceIds(raw_b)
+        spell_a, spell_b = Spelling(V.byte_level_tokens(raw_a)), Spelling(V.piece_tokens(enc_b.library))
+        show = GroupText(max(len(spell_a.size), len(spell_b.size)))
+
+        def align(piece: W.Slice) -> list[pa.Array]:
+            (a, n_a), (b, n_b) = enc_a(piece), enc_b(piece)
+            good = _exact(piece, a, n_a, spell_a) & _exact(piece, b, n_b, spell_b) & (np.diff(piece.offsets) > 1)
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+            # both spell the same bytes, text after text, so ends are places in these bytes
+            _, at_a, at_b = np.intersect1d(np.cumsum(spell_a.size[a]), np.cumsum(spell_b.size[b]), True, True)
+            row = np.repeat(np.arange(piece.n_rows), n_a)[at_a]
+            groups = np.bincount(row, minlength=piece.n_rows)
+            text, begins = show(a, b, at_a, at_b)
+            cuts = begins[np.concatenate([[0], np.cumsum(groups)])].tolist()
+            shown = [hashlib.sha256(text[lo:hi - 1]).hexdigest() if hi > lo else ""
+                     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+            pair = a[at_a] * PAIR + b[at_b]
+            order = np.lexsort((pair, row))
+            pair, row = pair[order], row[order]
+            new = np.ones(len(pair), bool)
+            new[1:] = (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])
+            first = np.flatnonzero(new)
+            off = pa.array(np.searchsorted(row[first], np.arange(piece.n_rows + 1)).astype(np.int32), pa.int32())
+            times = np.diff(np.append(first, len(pair))).astype(np.int32)
+            return [pa.array(n_a), pa.array(n_b), pa.array(groups), pa.array(groups), pa.array(shown, pa.string()),
+                    pa.ListArray.from_arrays(off, pa.array(pair[first])), pa.ListArray.from_arrays(off, pa.array(times))]
 
         for batch in batches:
-            texts, copies = batch.column("text").to_pylist(), batch.column("copies")
-            size = np.cumsum([len(t) for t in texts]) // p.bytes_at_once
-            cuts = np.append(np.flatnonzero(np.diff(size, prepend=-1)), len(texts))
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                made = list(zip(*some(texts[lo:hi]), strict=True))
+            for piece in W.slices(batch.column("blank_text")):
+                kept = [batch.column(c).slice(piece.first_row, piece.n_rows) for c in ("code", "copies")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("code").slice(lo, hi - lo), copies.slice(lo, hi - lo),
-                     *(pa.array(v, pa.int64()) for v in made[:4]), pa.array(made[4], pa.string()),
-                     lists(made[5], pa.int64()), lists(made[6], pa.int32())],
+                    [*kept, *align(piece)],
                     ["code", "copies", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
     return run
 
@@ -126,7 +210,7 @@ def aligned_texts(documents: DataFrame, text: str = "text", params: AlignParams
     p = params or AlignParams()
     texts = documents.select(F.col(f"`{text}`").alias("text")).filter("text <> ''")
     distinct = texts.groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
-    coded = distinct.select("text", "copies", F.unhex(F.sha2("text", 256)).alias("code"))
+    coded = distinct.select(F.concat(F.lit(" "), "text").alias("blank_text"), "copies", F.unhex(F.sha2("text", 256)).alias("code"))
     return coded.mapInArrow(_aligner(V.read(p.a), V.read(p.b), p), _ALIGNED)
 
 
