@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphweft.llm import (alignment, chat, decontaminate, langid, licenses, lm, minhash, mixing, secrets,
-                           token_counts, toxicity, vectors)
+from graphweft.llm import (alignment, chat, decontaminate, langid, licenses, lm, minhash, mixing,
+                           prefix_trie, secrets, token_counts, toxicity, vectors)
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_chat_format": chat.query,
     "op10_source_mix": mixing.query,
+    "op11_prefix_trie": prefix_trie.query,
     "op12_cross_tokenizer_alignment": alignment.query,
     "op13_token_counts": token_counts.query,
 }
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op4_embedding_near_dedup": vectors.ORACLE,
     "op5_minhash_near_dedup": minhash.ORACLE,
     "op9_chat_format": chat.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
