@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from graphweft.session import cut_lineage
+from graphweft.session import cut_lineage, release
 
 #: the stars below need O(log^2 n) rounds; this many mean that something is wrong
 MAX_ROUNDS = 200
@@ -17,32 +17,45 @@ def _smaller_first(pairs: DataFrame, x: str, y: str) -> DataFrame:
             .filter(F.col("a") < F.col("b")).distinct())
 
 
+def _written(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+    """The pairs, written, and what tells them from other pairs."""
+    seen = Observation()
+    code = [F.bit_xor(F.xxhash64(F.lit(k), "a", "b")).alias(f"h{k}") for k in (1, 2)]
+    out = cut_lineage(pairs.observe(seen, F.count(F.lit(1)).alias("n"), *code))
+    found = seen.get
+    return out, (found["n"], found["h1"], found["h2"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (id, component) of every id in ``edges`` (a, b); component is the smallest id
     that can be reached.
 
     Alternating large and small stars (Kiveris et al., 2014). The least neighbour of each id
     is written before it is joined, so that both sides of the join are plain exchanges and
-    Spark can split those of an id with very many neighbours.
+    Spark can split those of an id with very many neighbours. Whether a round changed the edges
+    is told by a count and hashes of them, observed while they are written; tables of a round
+    are deleted when the next one has read them.
     """
-    e = cut_lineage(_smaller_first(edges, "a", "b"))
+    e, seen = _written(_smaller_first(edges, "a", "b"))
     for _ in range(MAX_ROUNDS):
         # large star: larger neighbours of u go to the least of u and its neighbours
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut_lineage(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m")))
         larger = e.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("x"), F.col("m").alias("y"))
         large = cut_lineage(larger.distinct())
+        release(least)
         # small star: u and its smaller neighbours go to the least of these
         least = cut_lineage(large.groupBy(F.col("x").alias("u")).agg(F.min("y").alias("m")))
         joined = large.join(least, F.col("x") == F.col("u"))
         small = joined.select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(
             least.select(F.col("u").alias("x"), F.col("m").alias("y")))
-        new = cut_lineage(_smaller_first(small, "x", "y"))
-        left = new.unionByName(e).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n < 2").isEmpty()
+        new, now = _written(_smaller_first(small, "x", "y"))
+        release(e, large, least)
         e = new
-        if left:
+        if now == seen:
             roots = e.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
             return e.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(roots)
+        seen = now
     raise RuntimeError(f"components are not found after {MAX_ROUNDS} rounds")
 
 

@@ -379,7 +379,9 @@ def near_duplicates(documents: DataFrame, params: MinHashParams | None = None) -
     label = cut_lineage(components(links))
     clusters = cut_lineage(_clusters(shared.select("class_id", "band"), first, label, p))
     if not clusters.isEmpty():
-        label = cut_lineage(components(links.unionByName(_across(clusters, first, label, documents, p))))
+        # the components so far, as stars, and the links between them
+        stars = label.filter("component <> id").select(F.col("component").alias("a"), F.col("id").alias("b"))
+        label = cut_lineage(components(stars.unionByName(_across(clusters, first, label, documents, p))))
     named = cut_lineage(classes.join(label, F.col("class_id") == F.col("id"), "left")
                         .select(F.col("k1").alias("c1"), F.col("k2").alias("c2"),
                                 F.coalesce("component", "class_id").alias("component")))
