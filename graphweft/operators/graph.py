@@ -12,13 +12,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from graphweft.functions import vectors as vec
 from graphweft.functions.random import uniform
 from graphweft.operators import aggregates as agg
-from graphweft.session import cut_lineage
+from graphweft.session import cut_lineage, release
 
 
 @dataclass
@@ -380,89 +380,134 @@ def modularity(ew: DataFrame, communities: DataFrame, resolution: float = 1.0) -
     return (t["l"] or 0.0) / m - resolution * (t["kk"] or 0.0) / (m * m)
 
 
-#: rounds in a row without a gain after which a level is settled; each of them moves half as
-#: many nodes at once as the one before, as moves at once can spoil each other's gains
+#: rounds in a row that lose modularity after which a level is settled; each of them moves half
+#: as many nodes at once as the one before, as moves at once can spoil each other's gains
 IDLE_ROUNDS = 3
 
 
-def _local_moving(nodes: DataFrame, ew: DataFrame, m: float, resolution: float, seed: int,
-                  level: int, threshold: float, q: float):
-    """One Louvain level: synchronous moves of a random half of the nodes per round (md5
-    draws), each node to the neighbouring community of best directed modularity gain (ties:
-    smallest community id). A round that does not raise modularity by ``threshold`` is undone;
-    the level ends after ``IDLE_ROUNDS`` of those in a row, however many rounds that takes.
-    Two jobs per round: the moves, written, and their modularity. Returns (node -> community,
-    Q)."""
-    kout = ew.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("kout"))
-    kin = ew.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("kin"))
-    deg = nodes.join(kout, "id", "left").join(kin, "id", "left").fillna({"kout": 0.0, "kin": 0.0})
+def _move_round(state: DataFrame, nb: DataFrame, m: float, resolution: float, up: bool, share: Column) -> tuple[DataFrame, Row]:
+    """One round of moves from ``state`` (id, community, before, kout, kin, waiting).
+
+    Looked at are nodes that wait, nodes that moved in the round before and their neighbours.
+    Each goes to the neighbouring community of best directed modularity gain (ties: smallest
+    id), but to larger community ids only (``up``) or to smaller ones only, so that two nodes
+    do not just change places; a node that gains only the other way, or is not in the
+    ``share``, waits. Returns the written state after the round and its figures: ``moved``,
+    ``waits``, ``product`` (the sum of kout * kin over communities) and ``inside``, the weight
+    within communities that the moves of the round *before* added.
+    """
+    state = state.drop("inside")
+    changed = state.where(F.col("community") != F.col("before")).select(F.col("id").alias("j"))
+    look = (state.where("waiting").select("id").unionByName(changed.select(F.col("j").alias("id")))
+            .unionByName(nb.join(changed, "j", "left_semi").select(F.col("i").alias("id"))).distinct())
+    node = ["i", "own", "was", "kout", "kin"]
+    active = state.join(look, "id").select(F.col("id").alias("i"), F.col("community").alias("own"),
+                                           F.col("before").alias("was"), "kout", "kin")
+    other = state.select(F.col("id").alias("j"), F.col("community").alias("c"), F.col("before").alias("c_was"))
+    ends = nb.join(active, "i").join(other, "j")
+    # an edge whose ends both moved is met from both of them
+    half = F.when(F.col("c") != F.col("c_was"), 0.5).otherwise(1.0)
+    more = (F.col("own") == F.col("c")).cast("double") - (F.col("was") == F.col("c_was")).cast("double")
+    inside = F.when(F.col("own") != F.col("was"), F.col("w") * more * half).otherwise(0.0)
+    links = (ends.select(*node, "c", "w", inside.alias("inside"))
+             .unionByName(active.select(*node, F.col("own").alias("c"), F.lit(0.0).alias("w"), F.lit(0.0).alias("inside")))
+             .groupBy(*node, "c").agg(F.sum("w").alias("w_ic"), F.sum("inside").alias("inside")))
+    tot = state.groupBy(F.col("community").alias("c")).agg(F.sum("kout").alias("t_out"), F.sum("kin").alias("t_in"))
+    cand = links.join(tot, "c")
+    is_own = F.col("c") == F.col("own")
+    t_out = F.col("t_out") - F.when(is_own, F.col("kout")).otherwise(F.lit(0.0))
+    t_in = F.col("t_in") - F.when(is_own, F.col("kin")).otherwise(F.lit(0.0))
+    gain = F.col("w_ic") / F.lit(m) - F.lit(resolution) * (F.col("kout") * t_in + F.col("kin") * t_out) / F.lit(m * m)
+    allowed = (F.col("c") > F.col("own") if up else F.col("c") < F.col("own")) & share
+    choice = F.struct((-gain).alias("loss"), F.col("c"))
+    # best gain of a node, of its ties the smallest community: one partial aggregate
+    best = cand.groupBy("i").agg(F.max(F.when(is_own, gain)).alias("g0"), F.min(choice).alias("any"),
+                                 F.min(F.when(allowed, choice)).alias("ok"), F.sum("inside").alias("inside"))
+    least = F.col("g0") + F.lit(1e-12)
+    goes, waits = F.coalesce(-F.col("ok.loss") > least, F.lit(False)), -F.col("any.loss") > least
+    marks = best.select("i", F.when(goes, F.col("ok.c")).alias("new_c"), (waits & ~goes).alias("waits"), "inside")
+    after = cut_lineage(state.join(marks, F.col("id") == F.col("i"), "left").select(
+        "id", F.coalesce("new_c", "community").alias("community"), F.col("community").alias("before"), "kout", "kin",
+        F.coalesce("waits", F.lit(False)).alias("waiting"), "inside"))
+    per = after.groupBy("community").agg(
+        (F.sum("kout") * F.sum("kin")).alias("product"), F.sum("inside").alias("inside"),
+        F.count(F.when(F.col("community") != F.col("before"), 1)).alias("moved"), F.count(F.when(F.col("waiting"), 1)).alias("waits"))
+    figures = per.agg(*[F.sum(c).alias(c) for c in ("product", "inside", "moved", "waits")]).first()
+    return after, figures
+
+
+def _local_moving(ew: DataFrame, m: float, resolution: float, seed: int, level: int, threshold: float) -> tuple[DataFrame, float]:
+    """One Louvain level: rounds of moves until no node is left to look at.
+
+    What a round gained is known after the next one. Moves that did not gain ``threshold``
+    together are undone, and the round is done again with half the share of nodes (md5 draws);
+    the level also ends after ``IDLE_ROUNDS`` of those in a row. Returns the written (id,
+    community) of all ends of edges, and the modularity gained.
+    """
+    ends = ew.select(F.col("src").alias("id"), F.col("w").alias("o"), F.lit(0.0).alias("i")).unionByName(
+        ew.select(F.col("dst").alias("id"), F.lit(0.0).alias("o"), F.col("w").alias("i")))
+    degree = ends.groupBy("id").agg(F.sum("o").alias("kout"), F.sum("i").alias("kin"))
     # undirected neighbour weights, self-loops excluded (they move with the node)
-    ends = ew.where(F.col("src") != F.col("dst"))
-    nb = cut_lineage(ends.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
-                     .unionByName(ends.select(F.col("dst").alias("i"), F.col("src").alias("j"), "w"))
+    arcs = ew.where(F.col("src") != F.col("dst"))
+    nb = cut_lineage(arcs.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
+                     .unionByName(arcs.select(F.col("dst").alias("i"), F.col("src").alias("j"), "w"))
                      .groupBy("i", "j").agg(F.sum("w").alias("w")))
-    state = cut_lineage(deg.select("id", F.col("id").alias("community"), "kout", "kin"))
-    idle, r = 0, 0
+    base = cut_lineage(degree.select("id", F.col("id").alias("community"), F.col("id").alias("before"), "kout", "kin",
+                                     F.lit(True).alias("waiting")))
+    product = base.agg(F.sum(F.col("kout") * F.col("kin"))).first()[0] or 0.0
+    state, reached, gained, idle, r = base, product, 0.0, 0, 0
     while idle < IDLE_ROUNDS:
-        tot = state.groupBy(F.col("community").alias("c")).agg(F.sum("kout").alias("t_out"), F.sum("kin").alias("t_in"))
-        draw = uniform(F.concat_ws(":", F.col("id"), F.lit(str(level)), F.lit(str(r))), seed)
-        active = state.where(draw < 0.5 ** (idle + 1)).select(
-            F.col("id").alias("i"), F.col("community").alias("own"), "kout", "kin")
-        links = (nb.join(active.select("i"), "i", "left_semi")
-                 .join(state.select(F.col("id").alias("j"), F.col("community").alias("c")), "j").select("i", "c", "w")
-                 .unionByName(active.select("i", F.col("own").alias("c"), F.lit(0.0).alias("w")))
-                 .groupBy("i", "c").agg(F.sum("w").alias("w_ic")))
-        cand = links.join(active, "i").join(tot, "c")
-        is_own = F.col("c") == F.col("own")
-        t_out = F.col("t_out") - F.when(is_own, F.col("kout")).otherwise(F.lit(0.0))
-        t_in = F.col("t_in") - F.when(is_own, F.col("kin")).otherwise(F.lit(0.0))
-        gain = F.col("w_ic") / F.lit(m) - F.lit(resolution) * (F.col("kout") * t_in + F.col("kin") * t_out) / F.lit(m * m)
-        # best gain of a node, of its ties the smallest community: one partial aggregate
-        best = (cand.groupBy("i").agg(F.min(F.struct((-gain).alias("loss"), F.col("c"))).alias("best"),
-                                      F.max(F.when(is_own, gain)).alias("g0"))
-                .where(-F.col("best.loss") > F.col("g0") + F.lit(1e-12))
-                .select(F.col("i").alias("id"), F.col("best.c").alias("new_c")))
-        moved = cut_lineage(state.join(best, "id", "left").select(
-            "id", F.coalesce("new_c", "community").alias("community"), "kout", "kin"))
+        draw = uniform(F.concat_ws(":", F.col("i"), F.lit(str(level)), F.lit(str(r))), seed)
+        after, now = _move_round(state, nb, m, resolution, r % 2 == 1, draw < 0.5 ** idle if idle else F.lit(True))
         r += 1
-        q_new = modularity(ew, moved, resolution)
-        if q_new > q + threshold:
-            state, q, idle = moved, q_new, 0
+        if state is not base:
+            gain = (now["inside"] or 0.0) / m - resolution * (reached - product) / (m * m)
+            if gain <= threshold:
+                release(state, after)
+                state, reached, idle = base, product, idle + 1
+                continue
+            release(base)
+            base, product, gained, idle = state, reached, gained + gain, 0
+        if now["moved"]:
+            state, reached = after, now["product"]
+        elif now["waits"]:  # the same communities, and other nodes to look at
+            release(base)
+            base = state = after
         else:
-            idle += 1
-    return state.select("id", "community"), q
+            release(after)
+            break
+    release(nb)
+    return base.select("id", "community"), gained
 
 
 def louvain(g: Graph, resolution: float = 1.0, seed: int = 42, threshold: float = 1e-7) -> DataFrame:
     """H3: Louvain communities of the directed multigraph (parallel edges add weight).
 
-    Parallel, not sequential: in each round part of the nodes (md5 draws) move at once to their
-    best neighbouring community; rounds that do not raise modularity are undone. Levels then
-    collapse communities into super-vertices (weights summed, self-loops kept) while modularity
-    rises by more than ``threshold``; there is no budget of rounds or levels. The visiting order
-    of a sequential implementation cannot be reproduced in parallel; the result is a disjoint
-    cover of all vertices. Returns id, community (community = smallest member id).
+    Parallel, not sequential: in each round part of the nodes next to the last moves (md5 draws)
+    go at once to their best neighbouring community; rounds that do not raise modularity are
+    undone. Levels then collapse communities into super-vertices (weights summed, self-loops
+    kept) while modularity rises by more than ``threshold``; there is no budget of rounds or
+    levels. The visiting order of a sequential implementation cannot be reproduced in parallel;
+    the result is a disjoint cover of all vertices. Returns id, community (community = smallest
+    member id).
     """
-    verts = g.all_vertices
+    mapping = cut_lineage(g.all_vertices.select("id", F.col("id").alias("community")))
     ew = cut_lineage(weighted_edges(g.edges))
     m = ew.agg(F.sum("w")).first()[0] or 0.0
-    mapping = cut_lineage(verts.select("id", F.col("id").alias("community")))
-    if m == 0:
-        return mapping
-    nodes, level = mapping.select("id"), 0
-    q = modularity(ew, mapping, resolution)
-    while True:
-        comm, q_new = _local_moving(nodes, ew, m, resolution, seed, level, threshold, q)
-        if q_new - q <= threshold:
+    level = 0
+    while m > 0:
+        comm, gained = _local_moving(ew, m, resolution, seed, level, threshold)
+        if gained <= threshold:
             break
-        mapping = cut_lineage(mapping.join(comm.select(F.col("id").alias("community"), F.col("community").alias("c2")), "community")
-                              .select("id", F.col("c2").alias("community")))
-        ew = cut_lineage(
+        named = comm.select(F.col("id").alias("community"), F.col("community").alias("c2"))
+        old, mapping = mapping, cut_lineage(mapping.join(named, "community", "left").select(
+            "id", F.coalesce("c2", "community").alias("community")))
+        old_ew, ew = ew, cut_lineage(
             ew.join(comm.select(F.col("id").alias("src"), F.col("community").alias("cs")), "src")
             .join(comm.select(F.col("id").alias("dst"), F.col("community").alias("cd")), "dst")
             .groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")))
-        nodes = cut_lineage(comm.select(F.col("community").alias("id")).distinct())
-        q, level = q_new, level + 1
+        release(old, old_ew)
+        level += 1
     # name each community by its smallest member
     named = mapping.groupBy("community").agg(F.min("id").alias("name"))
     return mapping.join(named, "community").select("id", F.col("name").alias("community"))
