@@ -33,14 +33,13 @@ from graphweft.llm.bitmaps import columns
 
 @dataclass(frozen=True)
 class LangIdParams:
-    """``train_per_lang`` bounds the labelled documents that the fit sees for each language
-    and ``max_langs`` the languages (the most frequent ones); scoring covers every row."""
+    """``train_per_lang`` bounds the labelled documents that the fit sees for each language;
+    every language that occurs is learnt, and scoring covers every row."""
 
     bits: int = 15
     dim: int = 16
     ngrams: tuple[int, ...] = (2, 3, 4)
     train_per_lang: int = 700
-    max_langs: int = 200
     epochs: int = 6
     rate: float = 4.0
     seed: int = 11
@@ -156,7 +155,7 @@ def fit(documents: DataFrame, params: LangIdParams | None = None, text: str = "t
     p = params or LangIdParams()
     rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(label).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull())
-    counts = (rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_langs).collect())
+    counts = (rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect())  # a row for each language
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return LangIdModel(p, [], np.zeros((1 << p.bits, 0), np.float32), np.zeros(0), 1.0, 0.0)

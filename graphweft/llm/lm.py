@@ -6,9 +6,11 @@ word's class. Words outside the model's vocabulary share one symbol of it, and g
 of that symbol's probability from their counts in the training documents, so that the score
 is a probability of the very text, whatever its words.
 
-Counts of words cover all training documents and every word. Weights are fitted in numpy by
-back-propagation through time, truncated to windows, on a bounded number of these documents;
-the state goes on from window to window, in fitting and in scoring.
+Counts of words cover all training documents and every word, and so does the fit of the
+weights. It goes in rounds, each over its share of the training documents: every task reads
+its whole documents and descends from the same weights, in numpy, by back-propagation through
+time, truncated to windows; then the tasks' weights are averaged by the words they have read.
+The state goes on from window to window, in fitting and in scoring.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, and every document
 has one end symbol, which counts as a word.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphweft.llm import words as W
-from graphweft.llm.langid import draw, in_fold
-from graphweft.session import cut_lineage
+from graphweft.llm.langid import in_fold
+from graphweft.session import cut_lineage, release
 
 #: symbols of the model besides its words, and the key of the end symbol among word hashes
 END, RARE = 0, 1
@@ -40,18 +42,19 @@ END_HASH = 1
 @dataclass(frozen=True)
 class LmParams:
     """At most ``head`` words, the most frequent ones, travel with every task, all others meet
-    their counts in a join; ``vocabulary`` of them are the model's. ``train_documents`` and ``train_words``
-    bound what the fit of the weights sees."""
+    their counts in a join; ``vocabulary`` of them are the model's. Every training document
+    belongs to one of ``rounds`` rounds, by a hash of its text, and a task reads its documents
+    of a round ``epochs`` times, ``buffer`` words or one document and more at a time."""
 
     head: int = 1 << 18
     vocabulary: int = 4094
     classes: int = 64
     hidden: int = 16
-    train_documents: int = 1500
-    train_words: int = 250_000
-    lanes: int = 32
+    rounds: int = 3
+    buffer: int = 1 << 17
+    lanes: int = 256
     window: int = 24
-    epochs: int = 2
+    epochs: int = 1
     rate: float = 0.08
     clip: float = 5.0
     seed: int = 3
@@ -284,27 +287,43 @@ def _backward(m: Gru, xs, hs, caches, targets, resets) -> dict[str, np.ndarray]:
     return g
 
 
-def train(docs: list[np.ndarray], counts: np.ndarray, p: LmParams) -> Gru:
-    """Fit the weights on symbol sequences by AdaGrad over windows of ``lanes`` streams."""
-    m = Gru(counts, p)
-    if not docs:
-        return m
-    stream = np.concatenate([np.append(d, END) for d in docs])[:p.train_words]
-    lanes = max(1, min(p.lanes, len(stream) // (2 * p.window) or 1))
-    steps = len(stream) // lanes
-    data = stream[:lanes * steps].reshape(lanes, steps)
-    square = {k: np.full(getattr(m, k).shape, 1e-6, np.float32) for k in ("inp", "rec", "cls", "cls_bias", "out", "out_bias")}
-
-    def update(name: str, grad: np.ndarray, at=slice(None)) -> None:
+_WEIGHTS = ("inp", "rec", "cls", "cls_bias", "out", "out_bias")
+
+
+class Descent:
+    """AdaGrad on the weights of a model, over windows of ``lanes`` streams."""
+
+    def __init__(self, m: Gru, p: LmParams, packed: np.ndarray | None = None):
+        self.m, self.p = m, p
+        self.square = {k: np.full(getattr(m, k).shape, 1e-6, np.float32) for k in _WEIGHTS}
+        if packed is not None:
+            at = 0
+            for name in _WEIGHTS:
+                for store in (getattr(m, name), self.square[name]):
+                    store[...] = packed[at:at + store.size].reshape(store.shape)
+                    at += store.size
+
+    def packed(self) -> np.ndarray:
+        """All weights and sums of squares in one array."""
+        return np.concatenate([x.ravel() for k in _WEIGHTS for x in (getattr(self.m, k), self.square[k])])
+
+    def _update(self, name: str, grad: np.ndarray, at=slice(None)) -> None:
         norm = float(np.sqrt((grad * grad).sum()))
-        if norm > p.clip:
-            grad = grad * np.float32(p.clip / norm)
-        s = square[name]
+        if norm > self.p.clip:
+            grad = grad * np.float32(self.p.clip / norm)
+        s = self.square[name]
         s[at] += grad * grad
-        w = getattr(m, name)
-        w[at] -= np.float32(p.rate) * grad / np.sqrt(s[at])
-
-    for _ in range(p.epochs):
+        w = getattr(self.m, name)
+        w[at] -= np.float32(self.p.rate) * grad / np.sqrt(s[at])
+
+    def run(self, stream: np.ndarray) -> None:
+        """One pass over documents that each end with the end symbol."""
+        p, m = self.p, self.m
+        lanes = max(1, min(p.lanes, len(stream) // (2 * p.window)))
+        steps = -(-len(stream) // lanes)
+        data = np.full(lanes * steps, END, np.int64)  # filled up with empty documents
+        data[:len(stream)] = stream
+        data = data.reshape(lanes, steps)
         h = np.zeros((lanes, p.hidden), np.float32)
         prev = np.full(lanes, END, np.int64)
         for lo in range(0, steps, p.window):
@@ -319,16 +338,90 @@ def train(docs: list[np.ndarray], counts: np.ndarray, p: LmParams) -> Gru:
                 prev = data[:, t]
                 targets.append(prev)
             g = _backward(m, xs, hs, caches, targets, resets)
-            update("cls", g["cls"])
-            update("cls_bias", g["cls_bias"])
-            update("rec", g["rec"])
+            self._update("cls", g["cls"])
+            self._update("cls_bias", g["cls_bias"])
+            self._update("rec", g["rec"])
             for k, (w, b) in g["out"].items():
-                update("out", w, k)
-                update("out_bias", b, k)
+                self._update("out", w, k)
+                self._update("out_bias", b, k)
             symbols, at = np.unique(g["inp"][0], return_inverse=True)
             rows = np.zeros((len(symbols), 3 * p.hidden), np.float32)
             np.add.at(rows, at, g["inp"][1])
-            update("inp", rows, symbols)
+            self._update("inp", rows, symbols)
+
+
+def train(docs: list[np.ndarray], counts: np.ndarray, p: LmParams) -> Gru:
+    """Fit the weights on symbol sequences in one place."""
+    m = Gru(counts, p)
+    descent = Descent(m, p)
+    for _ in range(p.epochs if docs else 0):
+        descent.run(np.concatenate([np.append(d, END) for d in docs]))
+    return m
+
+
+def _round(shared_head, shared_state, counts: np.ndarray, p: LmParams):
+    """A task's descent over its documents: the number of words and the packed weights."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        descent, held, words, size = None, [], 0, 0
+
+        def read() -> None:
+            for _ in range(p.epochs):
+                descent.run(np.concatenate(held))
+
+        for batch in batches:
+            if descent is None:
+                descent = Descent(Gru(counts, p), p, shared_state.value)
+            for piece in W.slices(batch.column("text")):
+                found, _, symbol = _symbols(shared_head.value, piece)
+                # an end symbol behind each document
+                held.append(np.insert(symbol.astype(np.int64), found.row_first[1:], END))
+                size += len(held[-1])
+                if size >= p.buffer:
+                    read()
+                    held, words, size = [], words + size, 0
+        if size:
+            read()
+        if words + size:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([words + size], pa.int64()), pa.array([descent.packed().tobytes()], pa.binary())], ["words", "weights"])
+    return run
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean of weights by words, one task's weights in memory at a time."""
+    words, mean = 0, None
+    for batch in batches:
+        for n, raw in zip(batch.column("words").to_pylist(), batch.column("weights"), strict=True):
+            own = np.frombuffer(raw.as_buffer(), np.float32)
+            words += n
+            mean = own.astype(np.float64) if mean is None else mean + (own - mean) * (n / words)
+    if mean is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())],
+                                         ["words", "weights"])
+
+
+#: parts of an average that reach the driver
+_PARTS = 8
+
+
+def fit(training: DataFrame, shared_head, counts: np.ndarray, text: str, p: LmParams) -> Gru:
+    """Weights from all training documents, in rounds. What a task has learnt is written, and
+    averaged in two steps, so that a few arrays reach the driver, however many tasks there are."""
+    spark = training.sparkSession
+    schema = "words bigint, weights binary"
+    rows = training.select(F.col(text).alias("text"))
+    turn = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(p.rounds))
+    state = Descent(Gru(counts, p), p).packed()
+    for k in range(p.rounds):
+        shared = spark.sparkContext.broadcast(state)
+        made = cut_lineage(rows.filter(turn == k).mapInArrow(_round(shared_head, shared, counts, p), schema))
+        some = made.mapInArrow(_average, schema).repartition(_PARTS).mapInArrow(_average, schema).toArrow()
+        release(made)
+        for batch in _average(iter(some.to_batches())):
+            state = np.frombuffer(batch.column("weights")[0].as_buffer(), np.float32)
+        shared.unpersist()
+    m = Gru(counts, p)
+    Descent(m, p, state)  # unpacks the weights into the model
     return m
 
 
@@ -340,18 +433,6 @@ def _symbols(head: Head, piece: W.Slice) -> tuple[W.Words, np.ndarray, np.ndarra
     return found, at, np.where(at >= 0, head.symbol[at], RARE) if len(head.hash) else np.full(len(at), RARE)
 
 
-def _sequences(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for piece in W.slices(batch.column("text")):
-                found, _, symbol = _symbols(shared.value, piece)
-                cut = found.row_first
-                out += [symbol[cut[r]:cut[r + 1]].astype(np.int32) for r in range(piece.n_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("u"), pa.array(out, pa.list_(pa.int32()))], ["u", "symbols"])
-    return run
-
-
 _PART = [("n_tokens", "bigint"), ("known", "bigint"), ("head_log", "double"), ("model_log", "double"),
          ("n_rare", "bigint"), ("rare_log", "double"), ("tail", "array<struct<word:bigint,n:bigint>>")]
 #: documents whose states are in memory side by side
@@ -409,7 +490,7 @@ def _scorer(shared_head, shared_model, end_log: float, end_known: int, columns:
     return run
 
 
-def score(documents: DataFrame, training: DataFrame, text: str = "text", doc_id: str = "doc_id",
+def score(documents: DataFrame, training: DataFrame, text: str = "text",
           keep: list[str] | None = None, params: LmParams | None = None) -> DataFrame:
     """Score every whole text of ``documents`` by a model of ``training`` (same columns).
 
@@ -428,13 +509,7 @@ def score(documents: DataFrame, training: DataFrame, text: str = "text", doc_id:
     rare_total = int(total - n_docs - top_n[:n_own].sum())
     rare_distinct = int(distinct - bool(n_docs) - n_own)
     shared_head = spark.sparkContext.broadcast(head)
-    share = min(1.0, p.train_documents / max(1, n_docs))
-    drawn = (training.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-             .withColumn("u", draw(F.col("id"), "lm")).filter(F.col("u") < share).select("u", "text").limit(2 * p.train_documents))
-    got = drawn.mapInArrow(_sequences(shared_head), "u double, symbols array<int>").toArrow()
-    docs = sorted(zip(got["u"].to_pylist(), got["symbols"], strict=True), key=lambda d: (d[0], len(d[1])))
-    model = train([np.asarray(s.values, dtype=np.int64) for _, s in docs],
-                  np.concatenate([[n_docs, rare_total], top_n[:n_own]]).astype(np.float64), p)
+    model = fit(training, shared_head, np.concatenate([[n_docs, rare_total], top_n[:n_own]]).astype(np.float64), text, p)
     shared_model = spark.sparkContext.broadcast(model)
 
     new = [name for name, _ in _PART]

@@ -20,6 +20,8 @@ are code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import bisect
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -112,10 +114,13 @@ def candidates(text: str, base: list[tuple], p: SecretParams) -> list[tuple[int,
     """Value spans that look live: those of base spans, and random-looking words elsewhere."""
     found = {(a, b) for _, _, _, a, b in base if _looks_live(text[a:b], p.least_entropy)}
     covered = sorted((s, e) for _, s, e, _, _ in base)
+    starts = [s for s, _ in covered]
+    reach = list(itertools.accumulate((e for _, e in covered), max))  # the furthest end so far
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % p.word_length, text):
         a, b = m.span()
         w = m.group()
-        if any(s < b and a < e for s, e in covered):
+        before = bisect.bisect_left(starts, b)  # spans that begin before the word ends
+        if before and reach[before - 1] > a:
             continue
         if re.search("[0-9]", w) and re.search("[A-Za-z]", w) and _looks_live(w, p.word_entropy):
             found.add((a, b))

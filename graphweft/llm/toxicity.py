@@ -7,13 +7,19 @@ or absent, known by 64-bit hashes. The score is the logistic of
 
 so that a pair of terms, such as an insult next to a group's name, can weigh what neither
 weighs alone. Weights are fitted by AdaGrad in numpy on a bounded number of labelled
-documents of each class; terms enter the model if enough of these documents have them and
-the classes differ in them (chi-square), so that the many other terms of a long text add no
-noise. Scoring covers the whole of every text.
+documents of each class. A term enters the model if it tells the classes apart, or if one of
+its pairs does: two words at most ``window`` words apart that are together in texts of one
+class, however little each tells alone. Both are judged by the likelihood ratio (G) of the
+classes against their shares in the sample, whose bar means the same at any class balance, so
+that the many other terms of a long text add no noise. Terms and pairs are counted on Spark.
+The cut of the score is placed on logits of documents by models that have not seen them.
+Scoring covers the whole of every text.
 
 Defined results: a null or empty text has no terms and gets the logistic of the intercept;
 without labelled rows of both classes every score is the share of toxic labels (0 without
-any). Labels other than 0 and 1, and null ones, are left out. Repeated rows score alike.
+any). Labels other than 0 and 1, and null ones, are left out. Repeated rows score alike; a
+score equal to the threshold is predicted 1, and of cuts that part documents equally well the
+lowest is taken. Columns with names of the result are left out of ``keep``.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from pyspark.sql import types as T
 
 from graphweft.llm import words as W
 from graphweft.llm.langid import draw, in_fold
+from graphweft.session import cut_lineage, release
 
 
 @dataclass(frozen=True)
@@ -38,9 +45,11 @@ class ToxicityParams:
 
     train_per_class: int = 1500
     prefixes: tuple[int, ...] = (4, 5, 6)
-    max_terms: int = 8192
+    window: int = 8
     min_documents: int = 4
-    min_chi_square: float = 25.0
+    term_bar: float = 16.0
+    pair_bar: float = 40.0
+    folds: int = 5
     factors: int = 6
     epochs: int = 20
     rate: float = 0.15
@@ -79,39 +88,75 @@ def _terms(piece: W.Slice, p: ToxicityParams) -> Iterator[tuple[np.ndarray, np.n
         yield h ^ np.uint64(0xA5A5A5A500000000 + n), rows[longer]
 
 
+def _near_pairs(hashes: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (a < b) of different words less than ``window`` words apart, and their row."""
+    found = []
+    for d in range(1, window):
+        same = (rows[:-d] == rows[d:]) & (hashes[:-d] != hashes[d:])
+        x, y = hashes[:-d][same], hashes[d:][same]
+        found.append((rows[:-d][same], np.minimum(x, y), np.maximum(x, y)))
+    row, a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((b, a, row))
+    row, a, b = row[order], a[order], b[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return row[new], a[new], b[new]
+
+
 def _document_terms(p: ToxicityParams):
+    def lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
+        off = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values.view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for piece in W.slices(pc.utf8_lower(batch.column("text"))):
                 parts = list(_terms(piece, p))
-                terms = np.concatenate([x[0] for x in parts])
-                rows = np.concatenate([x[1] for x in parts])
-                order = np.argsort(rows, kind="stable")
-                cut = np.searchsorted(rows[order], np.arange(piece.n_rows + 1))
-                terms = terms[order].view(np.int64)
-                out += [np.unique(terms[cut[r]:cut[r + 1]]) for r in range(piece.n_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.list_(pa.int64()))],
-                                             ["toxic", "terms"])
+                key = np.unique(np.stack([np.concatenate([x[1] for x in parts]).astype(np.uint64),
+                                          np.concatenate([x[0] for x in parts])]), axis=1)
+                row, a, b = _near_pairs(*parts[0], p.window)
+                n = piece.n_rows
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("toxic").slice(piece.first_row, n), lists(key[1], key[0].astype(np.int64), n),
+                     lists(a, row, n), lists(b, row, n)], ["toxic", "terms", "a", "b"])
     return run
 
 
-def _sigmoid(z):
-    return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
+def _selected(docs: DataFrame, n: dict[int, int], p: ToxicityParams) -> np.ndarray:
+    """Terms that tell the classes apart, alone or in a pair of words near each other."""
+    total, share = n[0] + n[1], n[1] / (n[0] + n[1])
+
+    def telling(rows: DataFrame, keys: list[str], bar: float) -> DataFrame:
+        c = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).filter(F.col("n") >= p.min_documents)
+
+        def part(seen, expected):
+            return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
+
+        # the classes of texts with it, and of those without
+        t, m, k = F.col("t"), F.col("n"), F.lit(float(total))
+        rest, rest_t = k - m, F.lit(float(n[1])) - t
+        g = (part(t, m * share) + part(m - t, m * (1 - share)) + part(rest_t, rest * share) + part(rest - rest_t, rest * (1 - share)))
+        return c.filter(2 * g >= bar).select(*keys)
+
+    one = telling(docs.select("toxic", F.explode("terms").alias("term")), ["term"], p.term_bar)
+    near = docs.select("toxic", F.explode(F.arrays_zip("a", "b")).alias("x")).select("toxic", "x.a", "x.b")
+    pair = telling(near, ["a", "b"], p.pair_bar)
+    both = one.unionByName(pair.select(F.col("a").alias("term"))).unionByName(pair.select(F.col("b").alias("term")))
+    return np.sort(np.asarray(both.distinct().toArrow()["term"]).view(np.uint64))  # of a bounded sample
 
 
-def _select(docs: list[np.ndarray], toxic: np.ndarray, p: ToxicityParams) -> np.ndarray:
-    """Terms of at least ``min_documents`` documents with the largest chi-square."""
-    every = np.concatenate(docs)
-    owner = np.repeat(toxic, [len(d) for d in docs])
-    terms, inverse, n = np.unique(every, return_inverse=True, return_counts=True)
-    pos = np.bincount(inverse, weights=owner, minlength=len(terms))
-    n_pos, total = toxic.sum(), len(toxic)
-    expected = n * n_pos / total
-    rest = (n - expected) * (1 - n / total)
-    chi = np.where((n >= p.min_documents) & (rest > 0), (pos - expected) ** 2 / np.maximum(expected * (1 - n / total), 1e-9), 0)
-    top = np.argsort(-chi, kind="stable")[:p.max_terms]
-    return np.sort(terms[top[chi[top] >= p.min_chi_square]])
+def _reduced(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        for batch in batches:
+            own = [np.asarray(t.values).view(np.uint64) for t in batch.column("terms")]
+            at = [np.searchsorted(terms, t[np.isin(t, terms)]) for t in own]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(at, pa.list_(pa.int64()))], ["toxic", "at"])
+    return run
+
+
+def _sigmoid(z):
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
 def _descend(docs: list[np.ndarray], toxic: np.ndarray, n_terms: int, p: ToxicityParams):
@@ -162,9 +207,9 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams | None =
     """Fit on documents (doc_id, text) that ``labels`` (doc_id, toxic) marks 0 or 1.
 
     Class counts cover all labelled rows; ``train_per_class`` documents of each class, drawn
-    by a hash of their id, reach the driver as hashed terms. The intercept is then moved so
-    that the score ``threshold`` falls on the best cut of these documents, each class weighted
-    by its share of all labelled rows.
+    by a hash of their id, reach the driver as their terms of the model. The intercept is then
+    moved so that the score ``threshold`` falls on the best cut of these documents' logits by
+    models of the other ``folds``, each class weighted by its share of all labelled rows.
     """
     p = params or ToxicityParams()
     marked = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -177,20 +222,27 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams | None =
     drawn = marked.filter(draw(F.col("doc_id"), "toxicity") < share).limit(4 * p.train_per_class)
     # at most 4 * train_per_class ids: small enough to send to every task
     rows = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "text")
-    schema = T.StructType([T.StructField("toxic", rows.schema["toxic"].dataType),
-                           T.StructField("terms", T.ArrayType(T.LongType()))])
-    got = rows.mapInArrow(_document_terms(p), schema).toArrow()
-    found = sorted(((int(y), np.asarray(t.values).view(np.uint64)) for y, t in
-                    zip(got["toxic"].to_pylist(), got["terms"], strict=True)),
-                   key=lambda f: (f[0], len(f[1]), f[1][:4].tolist()))
-    toxic = np.array([y for y, _ in found], dtype=np.float64)
-    if len(set(toxic.tolist())) < 2:
+    sample = cut_lineage(rows.select(F.col("toxic").cast("long"), "text").mapInArrow(
+        _document_terms(p), "toxic bigint, terms array<bigint>, a array<bigint>, b array<bigint>"))
+    seen = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(seen) < 2:
         return ToxicityModel(p, *none, float(np.log(n1 / n0)))
-    docs = [t for _, t in found]
-    terms = _select(docs, toxic, p)
-    at = [np.searchsorted(terms, d[np.isin(d, terms, assume_unique=True)]) for d in docs]
-    w, v, bias = _descend(at, toxic, len(terms), p)
-    z = _logits_of(at, w, v) + bias
+    terms = _selected(sample, seen, p)
+    shared = documents.sparkSession.sparkContext.broadcast(terms)
+    got = sample.select("toxic", "terms").mapInArrow(_reduced(shared), "toxic bigint, at array<bigint>").toArrow()
+    release(sample)
+    found = sorted((y, x) for y, x in zip(got["toxic"].to_pylist(), got["at"].to_pylist(), strict=True))
+    toxic = np.array([y for y, _ in found], dtype=np.float64)
+    docs = [np.array(x, np.int64) for _, x in found]
+    w, v, bias = _descend(docs, toxic, len(terms), p)
+    # logits of each document by a model of the other folds
+    fold = np.random.default_rng(p.seed).permutation(len(docs)) % p.folds
+    z = np.zeros(len(docs))
+    for k in range(p.folds):
+        own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        some = toxic[rest]
+        fitted = _descend([docs[i] for i in rest], some, len(terms), p) if 0 < some.sum() < len(some) else (w, v, bias)
+        z[own] = _logits_of([docs[i] for i in own], *fitted[:2]) + fitted[2]
     cut = _best_cut(z, toxic, n1 / toxic.sum(), n0 / (len(toxic) - toxic.sum()))
     bias += float(np.log(p.threshold / (1 - p.threshold))) - cut
     return ToxicityModel(p, terms, w, v, bias)

@@ -84,6 +84,35 @@ def test_toxicity_needs_pairs_and_keeps_clean_texts(spark, odd, empty, rng):
     assert {r.predicted for r in toxicity.score(odd, untrained, keep=["doc_id"]).collect()} == {0}
 
 
+def test_toxicity_of_pairs_whose_words_tell_nothing_alone(spark, rng):
+    docs, marks = [], []
+    for k in range(480):  # both or neither: each word is in as many toxic texts as in others
+        extra = [[], ["blargh"], ["zorgs"], ["blargh", "zorgs"]][k % 4]
+        docs.append((k, " ".join(sentence("en", 20, rng).split() + extra), "en", "s", 1))
+        marks.append((k, int(k % 4 in (0, 3))))
+    table, labels = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    model = toxicity.fit(table, labels.filter(~langid.in_fold(labels["doc_id"], 2, 4)), toxicity.ToxicityParams(epochs=40))
+    assert {W.word_hash("blargh"), W.word_hash("zorgs")} <= set(model.terms.tolist())
+    got = toxicity.score(table.filter(langid.in_fold(table["doc_id"], 2, 4)), model, keep=["doc_id"]).collect()
+    truth = dict(marks)
+    score = {v: np.mean([r.score for r in got if r.doc_id % 4 == v]) for v in range(4)}
+    assert score[3] > score[1] and score[3] > score[2]
+    both = [r for r in got if r.doc_id % 4 == 3]
+    assert sum(r.predicted == truth[r.doc_id] for r in both) / len(both) > 0.95
+
+
+def test_toxicity_of_rare_insults_in_a_balanced_sample(spark, rng):
+    texts = [sentence("en", 15, rng).split() for _ in range(2400)]
+    for k in range(1200):
+        texts[k].append(f"insult{'abcdefghijklmnopqrst'[k % 20]}")  # each in 5 % of the toxic texts
+    table = spark.createDataFrame([(k, " ".join(t), "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(k, int(k < 1200)) for k in range(2400)], "doc_id bigint, toxic int")
+    model = toxicity.fit(table, labels)
+    got = toxicity.score(spark.createDataFrame(rows_of([f"x insult{c}" for c in "abcdefghijklmnopqrst"] + ["x y"]), SCHEMA), model,
+                         keep=["doc_id"]).collect()
+    assert [r.predicted for r in sorted(got)] == [1] * 20 + [0]
+
+
 def test_factorization_machine_score_is_its_formula():
     rng = np.random.default_rng(1)
     words = ["aa", "bb", "cc"]
@@ -161,7 +190,7 @@ def test_secret_query_digest(spark, tmp_path):
 def test_language_model_base_score_and_total_probability(spark, odd, rng):
     docs = spark.createDataFrame(rows_of([sentence("en", rng.randint(1, 40), rng) for _ in range(60)]) + odd.collect(), SCHEMA)
     held = langid.in_fold(docs["doc_id"], 1, 5)
-    p = lm.LmParams(head=30, vocabulary=12, classes=4, hidden=4, train_documents=40, epochs=1)
+    p = lm.LmParams(head=30, vocabulary=12, classes=4, hidden=4, lanes=8)
     got = lm.score(docs.withColumn("held_out", held), docs.filter(~held), keep=["doc_id", "held_out", "text"], params=p).collect()
     assert len(got) == docs.count()
     words = {r.text: SPACED.findall((r.text or "").translate(ASCII_LOWER)) + ["\n"] for r in got}
@@ -190,6 +219,22 @@ def test_gru_probabilities_sum_to_one_and_do_not_depend_on_neighbours():
     assert together.sum() > untrained.score(docs).sum()  # descent helped
 
 
+def test_language_model_reads_every_training_document(spark, rng):
+    docs = spark.createDataFrame(rows_of([sentence("en", rng.randint(1, 60), rng) for _ in range(90)] + [None, ""]), SCHEMA).repartition(5)
+    words = sum(len(SPACED.findall((r.text or "").translate(ASCII_LOWER))) + 1 for r in docs.collect())
+    p = lm.LmParams(head=200, vocabulary=40, classes=4, hidden=4, lanes=4, buffer=64)
+    counts = lm.word_counts(docs)
+    head = lm.Head(*lm.most_frequent(counts.filter(counts["word"] != lm.END_HASH), p.head), p.vocabulary)
+    shared, each = spark.sparkContext.broadcast(head), np.ones(42)
+    start = spark.sparkContext.broadcast(lm.Descent(lm.Gru(each, p), p).packed())
+    made = docs.select("text").mapInArrow(lm._round(shared, start, each, p), "words bigint, weights binary").collect()
+    assert sum(r.words for r in made) == words and len(made) == 5
+    batch = pa.RecordBatch.from_arrays([pa.array([r.words for r in made], pa.int64()), pa.array([bytes(r.weights) for r in made])], ["words", "weights"])
+    mean = np.frombuffer(next(lm._average(iter([batch]))).column("weights")[0].as_buffer(), np.float32)
+    want = np.average([np.frombuffer(bytes(r.weights), np.float32) for r in made], axis=0, weights=[r.words for r in made])
+    assert mean == pytest.approx(want, rel=1e-4, abs=1e-5)
+
+
 def test_licences_by_place_and_key_phrase(spark, odd, empty):
     texts = ["x y Licensed under the Apache License, Version 2.0. z", "apache license of some version, under the under",
              "all rights\nreserved; CC-BY x, cc by", "This work is licensed under the GNU General Public License, version 2.",
