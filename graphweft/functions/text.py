@@ -1,9 +1,9 @@
 """Text embedding (I1): a built-in hashing embedder and a seam for real models.
 
 ``hashing_embed`` is the default model: signed feature hashing (Weinberger et al., 2009)
-of whitespace tokens, averaged over the text's tokens. It is written with built-in
-expressions only, so it runs inside the JVM and can be reproduced in SQL. The whole text
-is used (no token cap unless ``max_tokens`` is given); a missing text embeds as zeros.
+of whitespace tokens, averaged over the text's tokens. It is one expression of built-in
+functions, so a row is embedded where it is, without a shuffle, and the result can be
+reproduced in SQL. The whole text is used; a missing text embeds as zeros.
 
 ``model_embed`` plugs any batch model ``fn(list[str]) -> np.ndarray (n, dim)`` in through an
 iterator pandas UDF: the model is built once per Python worker and fed Arrow batches.
@@ -18,40 +18,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.functions import vectors as vec
 
 TOKEN_SPLIT = r"[ \t\n\r]+"
 
 
-def tokens(text: Column, max_tokens: int | None = None) -> Column:
+def tokens(text: Column) -> Column:
     """Lower-cased whitespace tokens; null/non-string text gives no tokens."""
-    t = F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), TOKEN_SPLIT),
-                 lambda x: x != "")
-    return F.slice(t, 1, max_tokens) if max_tokens else t
+    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), TOKEN_SPLIT), lambda x: x != "")
 
 
-def hashing_embed(df: DataFrame, key: str, text_col: str, dim: int = 64, seed: int = 0,
-                  max_tokens: int | None = None, out: str = "vec") -> DataFrame:
-    """key, vec: mean over tokens of a signed one-hot at md5-chosen positions.
+def hashing_vector(text: Column, dim: int = 64, seed: int = 0) -> Column:
+    """Mean over the tokens of a text of signed one-hot vectors at md5-chosen positions."""
+    def code(tok: Column) -> Column:  # twice the position, and 1 more for a negative sign
+        h = F.md5(F.concat(tok, F.lit(f":{seed}")))
+        pos = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+        return pos * 2 + F.pmod(F.conv(F.substring(h, 9, 1), 16, 10).cast("int"), F.lit(2))
 
-    Long form (key, pos) is the aggregation key; texts without tokens get zeros.
-    """
-    toks = df.select(key, F.explode(tokens(F.col(text_col), max_tokens)).alias("tok"))
-    h = F.md5(F.concat(F.col("tok"), F.lit(f":{seed}")))
-    pos = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    counted = toks.select(key, pos.alias("pos"), sign.alias("s"))
-    n_tok = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    per_pos = counted.groupBy(key, "pos").agg(F.sum("s").alias("_s"))
-    dense = (per_pos.join(n_tok, key)
-             .groupBy(key).agg(F.map_from_entries(F.collect_list(
-                 F.struct("pos", (F.col("_s") / F.col("_n")).alias("v")))).alias("_m"),
-                 F.first("_n").alias("_n")))
-    filled = dense.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                           lambda i: F.coalesce(F.element_at(F.col("_m"), i),
-                                                                F.lit(0.0))).alias(out))
-    return (df.select(key).join(filled, key, "left")
-            .select(key, F.coalesce(F.col(out), vec.zeros(dim)).alias(out)))
+    def times(codes: Column, k: Column) -> Column:
+        return F.size(codes) - F.size(F.array_remove(codes, k))
+
+    def value(codes: Column, i: Column) -> Column:
+        return (times(codes, i * 2) - times(codes, i * 2 + 1)) / F.greatest(F.size(codes), F.lit(1))
+
+    # the outer transform binds the codes, so that they are made once for all positions
+    every = F.sequence(F.lit(0), F.lit(dim - 1))
+    return F.transform(F.array(F.transform(tokens(text), code)), lambda codes: F.transform(every, lambda i: value(codes, i)))[0]
+
+
+def hashing_embed(df: DataFrame, key: str, text_col: str, dim: int = 64, seed: int = 0, out: str = "vec") -> DataFrame:
+    """key, vec: ``hashing_vector`` of each row's whole text."""
+    return df.select(key, hashing_vector(F.col(text_col), dim, seed).alias(out))
 
 
 def model_embed(df: DataFrame, text_col: str, model_factory: Callable[[], Callable], dim: int,

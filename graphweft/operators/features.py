@@ -199,12 +199,33 @@ def posted_vector_changes(snap: Snapshots, tweet_vecs: DataFrame) -> DataFrame:
     return vec.from_long(run, ["id", "snapshot_idx"], "value", "vec")
 
 
+def as_of(changes: DataFrame, requests: DataFrame, key: str = "id", at: str = "snapshot_idx") -> DataFrame:
+    """As-of merge: each distinct request (at, key) with the values of the key's last change
+    (at, key, ...) at or before it; nulls where there is none yet.
+
+    One union and one window over a key's changes and requests, of which there is one for each
+    snapshot at most; changes come before requests of the same snapshot.
+    """
+    values = [c for c in changes.columns if c not in (key, at)]
+    spot = F.col(at).cast("bigint").alias(at)
+    row = F.struct(*[F.col(c) for c in values])
+    both = changes.select(key, spot, F.lit(False).alias("_ask"), row.alias("_row")).unionByName(
+        requests.select(key, spot).distinct().select(key, at, F.lit(True).alias("_ask")), allowMissingColumns=True)
+    upto = Window.partitionBy(key).orderBy(at, "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    last = both.withColumn("_row", F.last("_row", ignorenulls=True).over(upto))
+    return last.where("_ask").select(key, at, *[F.col(f"_row.{c}").alias(c) for c in values])
+
+
+def vectors_as_of(changes: DataFrame, requests: DataFrame, dim: int) -> DataFrame:
+    """Change rows (``posted_vector_changes``, ``temporal_user_vectors``) read for many
+    (snapshot_idx, id) requests at once; zeros before the first change."""
+    return as_of(changes, requests).select("id", "snapshot_idx", F.coalesce("vec", vec.zeros(dim)).alias("vec"))
+
+
 def vectors_at(changes: DataFrame, snapshot_idx: int, users: DataFrame, dim: int) -> DataFrame:
-    """As-of read of ``posted_vector_changes`` at one snapshot for the given users."""
-    latest = (changes.where(F.col("snapshot_idx") <= snapshot_idx)
-              .groupBy("id").agg(F.max_by("vec", "snapshot_idx").alias("vec")))
-    return (users.select("id").join(latest, "id", "left")
-            .select("id", F.coalesce(F.col("vec"), vec.zeros(dim)).alias("vec")))
+    """The same at one snapshot for the given users: id, vec."""
+    asked = users.select("id", F.lit(snapshot_idx).alias("snapshot_idx"))
+    return vectors_as_of(changes, asked, dim).drop("snapshot_idx")
 
 
 def temporal_user_vectors(snap: Snapshots, static_vecs: DataFrame, tweet_vecs: DataFrame,

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from graphweft.functions.random import uniform
 from graphweft.operators import aggregates as agg
+from graphweft.session import cut_lineage
 
 # Fixed values of the reference's split and selection rules.
 STATIC_VAL_RATIO = 0.1
@@ -66,20 +67,42 @@ def static_split(nodes: DataFrame, in_test: str = "in_test", val_ratio: float =
 
 
 def snapshot_split(members: DataFrame, val_ratio: float = SNAPSHOT_VAL_RATIO,
-                   test_ratio: float = SNAPSHOT_TEST_RATIO, seed: int = 42) -> DataFrame:
+                   test_ratio: float = SNAPSHOT_TEST_RATIO, seed: int = 42, buckets: int = 256) -> DataFrame:
     """Per snapshot, ``round(val_ratio*n)`` validation and ``round(test_ratio*n)`` test
     nodes (round half to even), the rest training, in md5 order keyed by (snapshot, id).
-    ``members``: snapshot_idx, id. Returns snapshot_idx, id, split."""
-    n = members.groupBy("snapshot_idx").agg(F.count(F.lit(1)).alias("_n"))
-    n_max = n.agg(F.max("_n")).first()[0] or 0
-    buckets = max(1, n_max // ROWS_PER_BUCKET)
+    ``members``: snapshot_idx, id. Returns snapshot_idx, id, split.
+
+    Distributed selection: members are expanded once, with their key; counts of key ranges tell
+    in which range of a snapshot each of its two cuts lies, only these ranges are sorted, and
+    every row is then decided by its key against the two cuts of its snapshot.
+    """
     key = uniform(F.concat_ws(":", F.col("snapshot_idx").cast("string"), F.col("id")), seed)
-    ranked = rank_within(members, ["snapshot_idx"], key, buckets=buckets).join(n, "snapshot_idx")
-    n_val = F.bround(F.col("_n") * F.lit(val_ratio), 0)
-    n_test = F.bround(F.col("_n") * F.lit(test_ratio), 0)
-    split = (F.when(F.col("rank") < n_val, "val").when(F.col("rank") < n_val + n_test, "test")
-             .otherwise("train"))
-    return ranked.select("snapshot_idx", "id", split.alias("split"))
+    rows = cut_lineage(members.select("snapshot_idx", "id", key.alias("_k")))
+    bucket = F.least(F.floor(F.col("_k") * buckets).cast("int"), F.lit(buckets - 1))
+    held = rows.groupBy("snapshot_idx", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy("snapshot_idx")
+    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.select("snapshot_idx", "_b", "_c", F.sum("_c").over(upto).alias("_upto"), F.sum("_c").over(whole).alias("_n"))
+    n_val, n_test = F.bround(F.col("_n") * F.lit(val_ratio), 0), F.bround(F.col("_n") * F.lit(test_ratio), 0)
+    cuts = F.array(F.struct(F.lit("val").alias("cut"), n_val.cast("bigint").alias("place")),
+                   F.struct(F.lit("test").alias("cut"), (n_val + n_test).cast("bigint").alias("place")))
+    places = (held.select("snapshot_idx", F.col("_b").alias("_in"), (F.col("_upto") - F.col("_c")).alias("_before"), "_upto",
+                          F.explode(cuts).alias("x"))
+              .where((F.col("x.place") >= F.col("_before")) & (F.col("x.place") < F.col("_upto")))
+              .select("snapshot_idx", "_in", F.col("x.cut").alias("cut"), (F.col("x.place") - F.col("_before")).alias("_skip")))
+    near = rows.withColumn("_b", bucket).join(places.withColumnRenamed("snapshot_idx", "_s"),
+                                              (F.col("snapshot_idx") == F.col("_s")) & (F.col("_b") == F.col("_in")))
+    inside = Window.partitionBy("snapshot_idx", "cut").orderBy("_k", "id")
+    spot = F.struct(F.col("_k"), F.col("id"))
+    found = near.withColumn("_r", F.row_number().over(inside) - 1).where(F.col("_r") == F.col("_skip"))
+    at = cut_lineage(found.groupBy(F.col("snapshot_idx").alias("_s")).agg(
+        F.max(F.when(F.col("cut") == "val", spot)).alias("_val"), F.max(F.when(F.col("cut") == "test", spot)).alias("_test")))
+
+    def before(c: str) -> Column:  # no cut: all rows come before it
+        return F.col(c).isNull() | (spot < F.col(c))
+
+    split = F.when(before("_val"), "val").when(before("_test"), "test").otherwise("train")
+    return rows.join(at, F.col("snapshot_idx") == F.col("_s"), "left").select("snapshot_idx", "id", split.alias("split"))
 
 
 def binary_metrics(df: DataFrame, group: Sequence[str] = (), y: str = "y", pred: str = "pred") -> DataFrame:
@@ -157,6 +180,16 @@ def sequence_means(per_snapshot: DataFrame, sequences: DataFrame,
     return per_seq.agg(F.count(F.lit(1)).alias("num_sequences"), *[F.avg(c).alias(c) for c in cols])
 
 
+def sequence_evaluation(predictions: DataFrame, sequences: DataFrame, weights: tuple[float, float] | None = None) -> DataFrame:
+    """Loss, accuracy and bot F1 of per-snapshot predictions (snapshot_idx, y, logit),
+    averaged over the snapshots of a sequence and then over sequences. Class 1 is predicted
+    where the logit is positive; a snapshot's loss is the weighted cross entropy (I12)."""
+    p = predictions.withColumn("pred", (F.col("logit") > 0).cast("int"))
+    scores = binary_metrics(p, ["snapshot_idx"]).select("snapshot_idx", "accuracy", "f1_bot")
+    loss = weighted_cross_entropy(p, weights=weights, group=["snapshot_idx"], logit="logit")
+    return sequence_means(scores.join(loss, "snapshot_idx"), sequences, ["loss", "accuracy", "f1_bot"])
+
+
 # --- I8 / I13: classifier -------------------------------------------------------------------
 
 def _logreg(**kw):

@@ -232,6 +232,16 @@ def local_user_index(snap: Snapshots) -> DataFrame:
     return dense_index(snap.users, [F.col("first_snapshot"), F.col("id")], "local_idx")
 
 
+def degree_changes(snap: Snapshots, relations=SOCIAL_RELATIONS) -> DataFrame:
+    """Degrees of users in the graphs of all snapshots, as change rows: id, snapshot_idx,
+    degree (parallel edges and both ends counted), read with ``features.as_of``."""
+    e = snap.edges.where(F.col("relation").isin(list(relations)))
+    ends = e.select(F.explode(F.array("source_id", "target_id")).alias("id"), F.col("first_snapshot").cast("bigint").alias("snapshot_idx"))
+    new = ends.groupBy("id", "snapshot_idx").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("id").orderBy("snapshot_idx").rowsBetween(Window.unboundedPreceding, 0)
+    return new.select("id", "snapshot_idx", F.sum("n").over(upto).alias("degree"))
+
+
 def edge_lists(snap: Snapshots, relations=SOCIAL_RELATIONS) -> DataFrame:
     """D22 + C9: the typed edge lists of all snapshots as one interval-coded table:
     first_snapshot, relation, src_idx, dst_idx by the users' local indices (E7), which are the

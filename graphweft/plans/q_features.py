@@ -164,6 +164,24 @@ def i3(spark, sf):
     return ft.temporal_user_vectors(snap, user_vectors(spark, sf), tv, tweet_dim=128)
 
 
+@register("i3_vectors_as_of", with_views(
+    """SELECT g.snapshot_idx, u.id, round(coalesce(sum(p.total) / nullif(count(p.tweet_id), 0), 0.0), 5) AS total
+       FROM grid g JOIN ax_users u ON u.created_at <= g.ts
+       LEFT JOIN (SELECT ea.source_id AS id, ea.active_from, ea.target_id AS tweet_id, t.total FROM ea
+                  JOIN (SELECT tweet_id, sum(value) AS total FROM ptv GROUP BY tweet_id) t ON t.tweet_id = ea.target_id
+                  WHERE ea.relation = 'post') p ON p.id = u.id AND p.active_from <= g.ts
+       GROUP BY g.snapshot_idx, u.id""",
+    GRID_CTES + ",\n" + PROJ_CTES))
+def i3_as_of(spark, sf):
+    """Mean projected posts of every active user in every snapshot, read from change rows; a
+    vector is returned as the sum of its entries."""
+    snap = tp.build_snapshots(dt.users(spark, sf), dt.tweets(spark, sf), dt.edges(spark, sf))
+    changes = ft.posted_vector_changes(snap, projected_tweet_vectors(spark, sf))
+    asked = tp.memberships(snap, tp.snapshot_index(snap))
+    total = F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x)
+    return ft.vectors_as_of(changes, asked, 32).select("snapshot_idx", "id", F.round(total, 5).alias("total"))
+
+
 @register("i2_static_fuse")
 def i2(spark, sf):
     """Desc (hashing embedder), pooled tweets, numeric and categorical blocks fused to 128."""

@@ -274,6 +274,28 @@ def h3(spark, sf):
     return louvain_communities(spark, sf)
 
 
+@register("h3_louvain_checks", with_views(
+    """SELECT count(*) AS covered, count(*) AS vertices, TRUE AS disjoint, TRUE AS named_by_smallest, TRUE AS at_least_components
+       FROM (SELECT id FROM ax_users UNION SELECT source_id FROM ax_edges WHERE relation IN ('following','followers')
+             UNION SELECT target_id FROM ax_edges WHERE relation IN ('following','followers'))"""))
+def h3_checks(spark, sf):
+    """The communities cover every vertex once, are named by their smallest member, and their
+    modularity is not below that of the components."""
+    g = social_graph(spark, sf)
+    comm = louvain_communities(spark, sf)
+    ew = cut_lineage(gr.weighted_edges(g.edges))
+    comps = gr.connected_components(g).withColumnRenamed("component", "community")
+    better = gr.modularity(ew, comm) >= gr.modularity(ew, comps) - 1e-9
+    least = comm.groupBy("community").agg(F.min("id").alias("least"))
+    rows = comm.agg(F.count("id").alias("covered"), F.count_distinct("id").alias("ids"))
+    vertices = g.all_vertices.agg(F.count("id").alias("vertices"))
+    wrong = least.agg(F.count(F.when(F.col("least") != F.col("community"), 1)).alias("wrong"))
+    one = F.lit(1)
+    joined = (rows.withColumn("k", one).join(vertices.withColumn("k", one), "k").join(wrong.withColumn("k", one), "k"))
+    return joined.select("covered", "vertices", (F.col("ids") == F.col("covered")).alias("disjoint"),
+                         (F.col("wrong") == 0).alias("named_by_smallest"), F.lit(better).alias("at_least_components"))
+
+
 def _community_summary(spark, sf, top):
     """Largest communities with label shares, plus the partition's modularity next to that of
     the singletons and of the components."""

@@ -130,6 +130,57 @@ def a14(spark, sf):
     return sinks.create_if_absent(u.where(F.col("label") == "bot"), p)
 
 
+@register("a14_create_or_replace", with_views("SELECT id, label FROM ax_users WHERE label = 'bot'"))
+def a14_replace(spark, sf):
+    """A table that exists is replaced."""
+    p = _scratch(spark, "users-table")
+    u = dt.users(spark, sf).select("id", "label")
+    sinks.create_table(u, p)
+    return sinks.create_table(u.where(F.col("label") == "bot"), p, overwrite=True)
+
+
+@register("a14_c4_indexed_tables", with_views(
+    """SELECT u.id, u.label, count(*) AS n_edges FROM ax_users u JOIN ax_edges e ON e.source_id = u.id GROUP BY u.id, u.label"""))
+def a14_indexed(spark, sf):
+    """Users and edges as tables with an index on the user, joined and counted on it."""
+    users, edges = indexed_users_and_edges(spark, sf)
+    return users.join(edges, "id").groupBy("id", "label").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+def indexed_users_and_edges(spark, sf, buckets: int = 8):
+    made = []
+    for name, df in (("users", dt.users(spark, sf).select("id", "label")),
+                     ("edges", dt.edges(spark, sf).withColumnRenamed("source_id", "id"))):
+        table = f"{name}_{uuid.uuid4().hex[:12]}"
+        made.append(sinks.create_indexed_table(df, table, scratch_path(spark, table), "id", buckets))
+    return made
+
+
+@register("a18_run_log", with_views(
+    """SELECT 'v1' AS version_name, CAST((SELECT count(*) FROM ax_users) AS VARCHAR) AS users, CAST(NULL AS VARCHAR) AS corrupt
+       UNION ALL SELECT 'v2', CAST((SELECT count(*) FROM ax_tweets) AS VARCHAR), NULL
+       UNION ALL SELECT NULL, NULL, '{"version_name": "v'"""))
+def a18(spark, sf):
+    """Two runs logged, with a broken entry between them that is kept apart."""
+    p = _scratch(spark, "run-log")
+    sinks.append_run_log(spark, p, "v1", {"n": dt.users(spark, sf).count()})
+    spark.createDataFrame([('{"version_name": "v',)], "value string").coalesce(1).write.mode("append").text(p)
+    sinks.append_run_log(spark, p, "v2", {"n": dt.tweets(spark, sf).count()})
+    good, corrupt = sinks.read_run_log(spark, p)
+    return good.select("version_name", F.col("config")["n"].alias("users"), F.lit(None).cast("string").alias("corrupt")).unionByName(
+        corrupt.select(F.lit(None).cast("string").alias("version_name"), F.lit(None).cast("string").alias("users"),
+                       F.col("entry").alias("corrupt")))
+
+
+@register("a20_rebuilt_stage", with_views("SELECT id, label FROM ax_users"))
+def a20(spark, sf):
+    """A stored stage whose ids are not the table's is built again."""
+    p = _scratch(spark, "stage-labels")
+    users = dt.users(spark, sf).select("id", "label")
+    sinks.stage(spark, p, lambda: users.where(F.col("label") == "bot"))
+    return sinks.validated_stage(spark, p, lambda: users, users.select("id"))
+
+
 @register("a15_a10_stored_snapshot_100", with_views(
     f"SELECT num_users, num_tweets, num_edges FROM ({COUNTS_SQL}) WHERE snapshot_idx = 100", GRID_CTES))
 def a15(spark, sf):
@@ -137,8 +188,9 @@ def a15(spark, sf):
     snap = tp.build_snapshots(dt.users(spark, sf), dt.tweets(spark, sf), dt.edges(spark, sf))
     sinks.write_snapshot_store(snap, p)
     s = tp.snapshot_at(sinks.read_snapshot_store(spark, p), 100)
-    n_u, n_t, n_e = s.users.count(), s.tweets.count(), s.edges.count()
-    return spark.createDataFrame([(n_u, n_t, n_e)], "num_users bigint, num_tweets bigint, num_edges bigint")
+    kinds = {"num_users": s.users, "num_tweets": s.tweets, "num_edges": s.edges}
+    counts = [df.agg(*[(F.count(F.lit(1)) if c == own else F.lit(0)).cast("bigint").alias(c) for c in kinds]) for own, df in kinds.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).agg(*[F.sum(c).alias(c) for c in kinds])
 
 
 @register("a16_feature_store_lookup", with_views(

@@ -121,36 +121,36 @@ def i12(spark, sf):
 
 
 @register("i11_e10_sequence_metrics", with_views(
-    """SELECT count(*) AS num_sequences, round(avg(accuracy), 6) AS accuracy, round(avg(f1_bot), 6) AS f1_bot FROM (
-         SELECT sequence_id, avg(accuracy) AS accuracy, avg(f1_bot) AS f1_bot FROM (
-           SELECT snapshot_idx,
+    """SELECT count(*) AS num_sequences, round(avg(loss), 6) AS loss, round(avg(accuracy), 6) AS accuracy, round(avg(f1_bot), 6) AS f1_bot FROM (
+         SELECT sequence_id, avg(loss) AS loss, avg(accuracy) AS accuracy, avg(f1_bot) AS f1_bot FROM (
+           SELECT snapshot_idx, loss,
              (tp + tn) / (tp + fp + fn + tn) AS accuracy,
              CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1_bot
            FROM (SELECT s.snapshot_idx,
-                   count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,
-                   count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn
-                 FROM spl s JOIN yp ON yp.id = s.id WHERE s.split = 'val' GROUP BY s.snapshot_idx)) m
+                   avg(greatest(z, 0) + ln(1 + exp(-abs(z))) - y * z) AS loss,
+                   count(*) FILTER (WHERE y = 1 AND z > 0) AS tp, count(*) FILTER (WHERE y = 0 AND z > 0) AS fp,
+                   count(*) FILTER (WHERE y = 1 AND z <= 0) AS fn, count(*) FILTER (WHERE y = 0 AND z <= 0) AS tn
+                 FROM spl s JOIN yp ON yp.id = s.id AND yp.snapshot_idx = s.snapshot_idx
+                 WHERE s.split = 'val' GROUP BY s.snapshot_idx)) m
          JOIN seq USING (snapshot_idx) GROUP BY sequence_id)""",
     SPLIT_CTES + """,
-    yp AS (SELECT u.id, CASE WHEN u.label = 'bot' THEN 1 ELSE 0 END AS y,
-                  CASE WHEN d.id IS NULL THEN 1 ELSE 0 END AS pred FROM ax_users u
-           LEFT JOIN (SELECT DISTINCT source_id AS id FROM ax_edges WHERE relation IN ('following','followers')
-                      UNION SELECT target_id FROM ax_edges WHERE relation IN ('following','followers')) d ON d.id = u.id),
-    seq AS (SELECT snapshot_idx, floor((row_number() OVER (ORDER BY snapshot_idx) - 1) / 11) AS sequence_id FROM kept)"""))
+    ends AS (SELECT source_id AS id, active_from FROM ea WHERE relation IN ('following','followers')
+             UNION ALL SELECT target_id, active_from FROM ea WHERE relation IN ('following','followers')),
+    yp AS (SELECT m.snapshot_idx, u.id, CASE WHEN u.label = 'bot' THEN 1 ELSE 0 END AS y, 1 - 1.5 * ln(1 + count(e.id)) AS z
+           FROM mem m JOIN grid g ON g.snapshot_idx = m.snapshot_idx JOIN ax_users u ON u.id = m.id
+           LEFT JOIN ends e ON e.id = m.id AND e.active_from <= g.ts GROUP BY m.snapshot_idx, u.id, u.label),
+    seq AS (SELECT snapshot_idx, CAST(floor((row_number() OVER (ORDER BY snapshot_idx) - 1) / 11) AS INTEGER) AS sequence_id
+            FROM kept)"""))
 def i11(spark, sf):
-    """Per-snapshot validation metrics of a baseline predictor (no social edge -> bot),
-    averaged per sequence and then over sequences."""
+    """Loss and metrics of per-snapshot predictions on the validation rows: a logit falls with
+    the degree that a user has in the snapshot's graph, read as of the snapshot."""
     snap, kept, mem = _kept_members(spark, sf)
     split = ml.snapshot_split(mem).where(F.col("split") == "val")
-    users = dt.users(spark, sf)
-    deg = agg.users_with_degree(users.select("id", "label"), dt.edges(spark, sf))
-    yp = deg.select("id", F.when(F.col("label") == "bot", 1).otherwise(0).alias("y"),
-                    F.when(F.col("degree") == 0, 1).otherwise(0).alias("pred"))
-    per = ml.binary_metrics(split.join(yp, "id"), ["snapshot_idx"])
-    seq = tp.sequences(kept)
-    out = ml.sequence_means(per, seq)
-    return out.select("num_sequences", F.round("accuracy", 6).alias("accuracy"),
-                      F.round("f1_bot", 6).alias("f1_bot"))
+    degree = ft.as_of(tp.degree_changes(snap), split)
+    y = dt.users(spark, sf).select("id", F.when(F.col("label") == "bot", 1).otherwise(0).alias("y"))
+    logit = F.lit(1.0) - F.lit(1.5) * F.log1p(F.coalesce("degree", F.lit(0)))
+    out = ml.sequence_evaluation(degree.join(y, "id").select("snapshot_idx", "y", logit.alias("logit")), tp.sequences(kept))
+    return out.select("num_sequences", *[F.round(c, 6).alias(c) for c in ("loss", "accuracy", "f1_bot")])
 
 
 def classifier_scores(spark, sf):

@@ -64,10 +64,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+#: column with the name of the file that a record of a JSON array came from
+FILE = "_file"
+
+
 def read_json_array(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = USER_SCHEMA) -> DataFrame:
-    """A1/A2: files that each hold one JSON array of records (one task per file: convert
-    large inputs to JSON lines or Parquet once, then read those)."""
-    return spark.read.schema(schema).option("multiLine", True).json(paths if isinstance(paths, str) else list(paths))
+    """A1/A2: files that each hold one JSON array of records.
+
+    Where each record stands on a line of its own (as ``sinks.write_json_array`` writes them; a
+    line break inside a JSON string is escaped, so a line is a whole record), files are read in
+    splits of ``spark.sql.files.maxPartitionBytes``, each by a task of its own. Whether that is
+    so is checked on all lines; files of any other layout are read whole, a task for each file.
+    """
+    paths = paths if isinstance(paths, str) else list(paths)
+    lines = spark.read.text(paths).select(F.trim(F.regexp_replace("value", r"[\r\t]", " ")).alias("line"), F.input_file_name().alias("_file"))
+    # brackets of the array and commas between records
+    item = F.regexp_replace(F.regexp_replace("line", r"^[\[,]\s*", ""), r"\s*[,\]]$", "")
+    items = lines.select(F.trim(item).alias("item"), "_file").where("item <> ''")
+    record = F.from_json("item", "struct<_corrupt_record string>", {"mode": "PERMISSIVE"})
+    whole = F.col("item").startswith("{") & F.col("item").endswith("}") & record["_corrupt_record"].isNull()
+    if items.where(~whole).isEmpty():
+        return items.select(F.from_json("item", schema).alias("r"), "_file").select("r.*", F.col("_file").alias(FILE))
+    return spark.read.schema(schema).option("multiLine", True).json(paths).withColumn(FILE, F.input_file_name())
 
 
 def read_sharded_json_array(spark: SparkSession, base: str, pattern: str = "tweet_{i}.json",
@@ -79,7 +97,7 @@ def read_sharded_json_array(spark: SparkSession, base: str, pattern: str = "twee
     if not present:
         return spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("shard", T.StringType())]))
     return (read_json_array(spark, present, schema)
-            .withColumn("shard", F.element_at(F.split(F.input_file_name(), "/"), -1)))
+            .withColumn("shard", F.element_at(F.split(F.col(FILE), "/"), -1)).drop(FILE))
 
 
 def read_user_lines(spark: SparkSession, path: str, schema: T.StructType = USER_SCHEMA) -> DataFrame:
@@ -119,11 +137,10 @@ def ordered(df: DataFrame, *cols: str) -> DataFrame:
 def batched_apply(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
                   batch_rows: int | None = None) -> DataFrame:
     """Feed a batch function Arrow batches of rows (replaces LIMIT/OFFSET paging: one
-    scan, no re-sort per page). ``batch_rows`` sets ``maxRecordsPerBatch`` for this session."""
-    if batch_rows:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-
+    scan, no re-sort per page), of ``batch_rows`` rows at most if that is given."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield fn(pdf)
+            step = batch_rows or max(len(pdf), 1)
+            for lo in range(0, len(pdf), step):
+                yield fn(pdf.iloc[lo:lo + step])
     return df.mapInPandas(run, schema)

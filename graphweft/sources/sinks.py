@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,21 +29,39 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write each partition as one JSON-array file (the reference's input layout).
-
-    Each file holds exactly one partition's rows, so a file never exceeds a partition.
-    """
-    recs = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
-    arr = (recs.groupBy(F.spark_partition_id().alias("p"))
-           .agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("value")))
-    arr.select("value").write.mode(mode).text(path)
+    """Write each partition as one JSON-array file (the reference's input layout), a record on
+    a line. Rows stream through: no task holds more than a batch of them."""
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            rows = batch.column("j").to_pylist()
+            marked = [("[" if first and k == 0 else ",") + r for k, r in enumerate(rows)]
+            first = first and not rows
+            yield pa.RecordBatch.from_arrays([pa.array(marked, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"], pa.string())], ["value"])
+
+    records = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
+    records.mapInArrow(lines, "value string").write.mode(mode).text(path)
+
+
+def create_table(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
+    """Create a table from ``df`` unless it exists, or replace it (the reference's
+    ``CREATE TABLE IF NOT EXISTS`` and ``CREATE OR REPLACE TABLE``); returns what is stored."""
+    df.write.mode("overwrite" if overwrite else "ignore").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def create_if_absent(df: DataFrame, path: str) -> DataFrame:
-    """Create a table from ``df`` unless it exists (the reference's
-    ``CREATE TABLE IF NOT EXISTS``); returns what is stored."""
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return create_table(df, path)
+
+
+def create_indexed_table(df: DataFrame, name: str, path: str, key: str, buckets: int, overwrite: bool = False) -> DataFrame:
+    """The same as a catalogue table with an index on ``key``: rows are hashed into
+    ``buckets`` by the key and sorted by it within each, so that lookups read one bucket, and
+    joins and aggregates on the key need no shuffle of the table."""
+    (df.repartition(buckets, key).write.mode("overwrite" if overwrite else "ignore").option("path", path)
+     .bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name))
+    return df.sparkSession.table(name)
 
 
 def write_snapshot_store(snap, path: str, mode: str = "overwrite") -> None:
@@ -84,8 +103,22 @@ def append_run_log(spark: SparkSession, path: str, version_name: str, config: di
     read-modify-write of one file, so a corrupt or concurrent entry cannot lose others."""
     flat = {k: json.dumps(v) if not isinstance(v, str) else v for k, v in config.items()}
     row = [(version_name, dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S"), flat)]
-    spark.createDataFrame(row, "version_name string, timestamp string, config map<string,string>") \
-        .write.mode("append").parquet(path)
+    spark.createDataFrame(row, RUN_LOG).coalesce(1).write.mode("append").json(path)
+
+
+#: an entry of the run log
+RUN_LOG = "version_name string, timestamp string, config map<string,string>"
+
+
+def read_run_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The entries of a run log, and the texts of those that are corrupt (``entry``), which
+    do not keep the others from being read."""
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    entry = F.from_json("value", RUN_LOG + ", _corrupt_record string", {"mode": "PERMISSIVE"})
+    parsed = rows.select("value", entry.alias("e"))
+    corrupt = F.col("e._corrupt_record").isNotNull() | F.col("e.version_name").isNull()
+    return (parsed.where(~corrupt).select("e.version_name", "e.timestamp", "e.config"),
+            parsed.where(corrupt).select(F.col("value").alias("entry")))
 
 
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
