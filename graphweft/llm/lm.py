@@ -252,21 +252,26 @@ def _backward(m: Gru, xs, hs, caches, targets, resets) -> dict[str, np.ndarray]:
     place = m.place[np.concatenate(targets)]
     cls, rank = place // m.size, place % m.size
     n = len(cls)
-    logits = states @ m.cls + m.cls_bias
-    prob = np.exp(logits - logits.max(axis=1, keepdims=True))
-    prob /= prob.sum(axis=1, keepdims=True)
-    prob[np.arange(n), cls] -= 1
-    prob /= n
+    prob = states @ m.cls
+    prob += m.cls_bias
+    prob -= prob.max(axis=1, keepdims=True)
+    np.exp(prob, out=prob)
+    prob /= prob.sum(axis=1, keepdims=True) * np.float32(n)
+    prob[np.arange(n), cls] -= np.float32(1 / n)
     g = {"cls": states.T @ prob, "cls_bias": prob.sum(axis=0), "out": {}, "inp": None}
     back = prob @ m.cls.T
-    for k in np.unique(cls):
-        at = np.flatnonzero(cls == k)
-        own = states[at] @ m.out[k] + m.out_bias[k]
-        own = np.exp(own - own.max(axis=1, keepdims=True))
-        own /= own.sum(axis=1, keepdims=True)
-        own[np.arange(len(at)), rank[at]] -= 1
-        own /= n
-        g["out"][k] = (states[at].T @ own, own.sum(axis=0))
+    order = np.argsort(cls, kind="stable")
+    cut = np.searchsorted(cls[order], np.arange(m.n_classes + 1))
+    for k in np.flatnonzero(np.diff(cut)):
+        at = order[cut[k]:cut[k + 1]]
+        mine = states[at]
+        own = mine @ m.out[k]
+        own += m.out_bias[k]
+        own -= own.max(axis=1, keepdims=True)
+        np.exp(own, out=own)
+        own /= own.sum(axis=1, keepdims=True) * np.float32(n)
+        own[np.arange(len(at)), rank[at]] -= np.float32(1 / n)
+        g["out"][k] = (mine.T @ own, own.sum(axis=0))
         back[at] += own @ m.out[k].T
     back = back.reshape(steps, lanes, d)
     g["rec"] = np.zeros_like(m.rec)
@@ -344,10 +349,9 @@ class Descent:
             for k, (w, b) in g["out"].items():
                 self._update("out", w, k)
                 self._update("out_bias", b, k)
-            symbols, at = np.unique(g["inp"][0], return_inverse=True)
-            rows = np.zeros((len(symbols), 3 * p.hidden), np.float32)
-            np.add.at(rows, at, g["inp"][1])
-            self._update("inp", rows, symbols)
+            order = np.argsort(g["inp"][0], kind="stable")
+            symbols, first = np.unique(g["inp"][0][order], return_index=True)
+            self._update("inp", np.add.reduceat(g["inp"][1][order], first, axis=0), symbols)
 
 
 def train(docs: list[np.ndarray], counts: np.ndarray, p: LmParams) -> Gru:
