@@ -81,8 +81,9 @@ def read_json_array(spark: SparkSession, paths: str | Sequence[str], schema: T.S
     # brackets of the array and commas between records
     item = F.regexp_replace(F.regexp_replace("line", r"^[\[,]\s*", ""), r"\s*[,\]]$", "")
     items = lines.select(F.trim(item).alias("item"), "_file").where("item <> ''")
-    record = F.from_json("item", "struct<_corrupt_record string>", {"mode": "PERMISSIVE"})
-    whole = F.col("item").startswith("{") & F.col("item").endswith("}") & record["_corrupt_record"].isNull()
+    # exactly one record: neither a part of one nor several
+    held = F.size(F.from_json(F.concat(F.lit("["), "item", F.lit("]")), "array<struct<_none: string>>"))
+    whole = F.col("item").startswith("{") & F.col("item").endswith("}") & F.coalesce(held == 1, F.lit(False))
     if items.where(~whole).isEmpty():
         return items.select(F.from_json("item", schema).alias("r"), "_file").select("r.*", F.col("_file").alias(FILE))
     return spark.read.schema(schema).option("multiLine", True).json(paths).withColumn(FILE, F.input_file_name())
