@@ -8,7 +8,9 @@ template.
 
 A state is the exclusive-or of 2 x 64-bit hashes of (turn, role, text), which is a running
 sum: it needs no turn list, so a conversation of any length is hashed in blocks of turns
-that are put together by a window over blocks. Only DataFrame functions are used.
+that are put together by a window over blocks. What is rendered together is a bounded number
+of *rows*: rows are numbered within their conversation by ranges, whatever their turn numbers
+are. Only DataFrame functions are used.
 
 Defined results: a null role is ``unknown``, a null text is empty, a null turn comes after
 all others, a null conv_id is an id of its own, the largest. Repeated rows of a conversation
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from graphweft.llm.running import numbered
 from graphweft.session import cut_lineage
 
 _LAST = 9223372036854775807
@@ -32,8 +35,8 @@ _LAST = 9223372036854775807
 
 @dataclass(frozen=True)
 class ChatParams:
-    """``block`` turns are hashed, and rendered into one row, together; a conversation with
-    higher turn numbers has several parts, in order."""
+    """``block`` turn numbers are hashed together, and ``block`` rows of a conversation at most
+    are rendered into one row; a longer conversation has several parts, in order."""
 
     block: int = 1024
     begin: str = "<|im_start|>"
@@ -86,12 +89,14 @@ def maximal(turns: DataFrame, params: ChatParams | None = None) -> DataFrame:
 
 
 def render(turns: DataFrame, kept: DataFrame, params: ChatParams | None = None) -> DataFrame:
-    """Text of the conversations in ``kept`` (conv_id), in parts of ``block`` turn numbers:
-    conv_id, part, n_turns, text."""
+    """Text of the conversations in ``kept`` (conv_id), in parts of ``block`` rows: conv_id,
+    part, n_turns, text."""
     p = params or ChatParams()
     chosen = kept.select(F.col("conv_id").alias("c"))
-    rows = _normal(turns, p)
+    rows = _normal(turns, p).drop("part")
     rows = rows.join(chosen, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi").distinct()
+    rows = numbered(rows, "conv_id", ["turn", "role", "text"], "row")
+    rows = rows.withColumn("part", F.floor(F.col("row") / p.block).cast("long"))
 
     def plain(name: str) -> F.Column:
         c = F.col(name)
@@ -101,7 +106,7 @@ def render(turns: DataFrame, kept: DataFrame, params: ChatParams | None = None)
 
     line = F.concat(F.lit(p.begin), plain("role"), F.lit("\n"), plain("text"), F.lit(p.end), F.lit("\n"))
     listed = rows.groupBy("conv_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))).alias("turns"))
+        F.array_sort(F.collect_list(F.struct("row", line.alias("line")))).alias("turns"))
     return listed.select("conv_id", "part", F.size("turns").cast("long").alias("n_turns"),
                          F.array_join(F.col("turns.line"), "").alias("text"))
 
@@ -135,8 +140,8 @@ finals AS (SELECT state, min(conv_id) AS conv_id FROM s WHERE back = 1 GROUP BY
 kept AS (
   SELECT conv_id FROM finals
   WHERE state NOT IN (SELECT state FROM s WHERE turn < conv_last AND next_turn > turn))
-SELECT w.conv_id, CAST(floor(w.turn / 1024.0) AS BIGINT) AS part, count(*) AS n_turns,
-       string_agg(w.line, '' ORDER BY w.turn, w.role, w.text) AS text
-FROM w JOIN kept ON w.conv_id IS NOT DISTINCT FROM kept.conv_id
+SELECT conv_id, CAST(floor((k - 1) / 1024.0) AS BIGINT) AS part, count(*) AS n_turns, string_agg(line, '' ORDER BY k) AS text
+FROM (SELECT w.conv_id, w.line, row_number() OVER (PARTITION BY w.conv_id ORDER BY w.turn, w.role, w.text) AS k
+      FROM w JOIN kept ON w.conv_id IS NOT DISTINCT FROM kept.conv_id)
 GROUP BY 1, 2
 """

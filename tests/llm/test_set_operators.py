@@ -258,3 +258,17 @@ def test_pipeline_applies_every_stage(spark, tmp_path, rng):
     for s in {r.source for r in mix}:
         own = [r for r in mix if r.source == s]
         assert abs(sum(r.size for r in own) - own[0].target) <= max(r.size for r in own)
+
+
+def test_rendering_is_cut_by_rows_whatever_the_turn_numbers(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    rows = [(None, None, "user", f"text {k:04d}") for k in range(500)]  # a third of the rows, all with one null turn
+    rows += [(7, 0, "user", f"same turn {k:04d}") for k in range(500)] + [(10 + k, k % 3, "user", f"t{k}") for k in range(500)]
+    turns = spark.createDataFrame(rows, schema).repartition(5)
+    kept = turns.select("conv_id").distinct()
+    got = chat.render(turns, kept, chat.ChatParams(block=64)).collect()
+    assert max(r.n_turns for r in got) == 64 and sum(r.n_turns for r in got) == len(rows)
+    for conv, first in ((None, "text"), (7, "same turn")):
+        own = sorted((r.part, r.text) for r in got if r.conv_id == conv)
+        assert [p for p, _ in own] == list(range(8))
+        assert re.findall(rf"{first} (\d+)", "".join(t for _, t in own)) == [f"{k:04d}" for k in range(500)]
