@@ -61,7 +61,11 @@ def interaction_matrix(edges: DataFrame, labels: DataFrame) -> DataFrame:
                   .join(src, "source_id")
                   .groupBy("relation", "target_id", "source_label")
                   .agg(F.count(F.lit(1)).alias("n")))
-    pairs = per_target.join(tgt, "target_id")
+    return label_cells(per_target.join(tgt, "target_id"))
+
+
+def label_cells(pairs: DataFrame) -> DataFrame:
+    """Counts ``n`` by relation, source_label and target_label in the wide form of D4."""
     cells = []
     for s in LABELS:
         for t in LABELS:

@@ -44,9 +44,9 @@ SOC_CTES = """soc AS (SELECT * FROM ax_edges WHERE relation IN ('following','fol
 verts AS (SELECT id FROM ax_users UNION SELECT source_id FROM soc UNION SELECT target_id FROM soc)"""
 
 
-def pagerank_sql(rounds: int, alpha: float = 0.85) -> str:
+def pagerank_sql(rounds: int, alpha: float = 0.85, ctes: str = SOC_CTES) -> str:
     """The unrolled PageRank rounds as materialised CTEs (generated text)."""
-    parts = [SOC_CTES,
+    parts = [ctes,
              "nv AS (SELECT count(*)::DOUBLE AS n FROM verts)",
              "w AS (SELECT source_id AS src, target_id AS dst, count(*) AS w FROM soc GROUP BY 1, 2)",
              "ow AS (SELECT src, sum(w) AS ow FROM w GROUP BY src)",

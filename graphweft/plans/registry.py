@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import importlib
 
-GROUPS = ("q_relational", "q_temporal", "q_features", "q_graph", "q_sampling", "q_ml", "q_io")
+GROUPS = ("q_relational", "q_temporal", "q_features", "q_graph", "q_hubs", "q_sampling", "q_ml", "q_io")
 
 
 def _modules():

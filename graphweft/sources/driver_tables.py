@@ -120,6 +120,24 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(contain).unionByName(discuss))
 
 
+def hub_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dense social graph with a hub: source_id, relation, target_id.
+
+    Each order links its customer to the next order's customer, at every price; orders whose
+    key divides by three link to user ``u1`` instead, and those whose key leaves 1 by six come
+    from ``u1``, so that one node stands on half of all edges.
+    """
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    a = orders.select((key + 1).alias("next_key"), key, "o_custkey", "o_orderstatus")
+    b = orders.select(key.alias("next_key"), F.col("o_custkey").alias("b_cust"))
+    hub = F.lit("u1")
+    return (a.join(b, "next_key")
+            .select(F.when(F.pmod(key, F.lit(6)) == 1, hub).otherwise(_prefixed("u", "o_custkey")).alias("source_id"),
+                    F.when(F.col("o_orderstatus") == "F", "followers").otherwise("following").alias("relation"),
+                    F.when(F.pmod(key, F.lit(3)) == 0, hub).otherwise(_prefixed("u", "b_cust")).alias("target_id")))
+
+
 def user_records(spark: SparkSession, sf_dir: str, edges_df: DataFrame | None = None) -> DataFrame:
     """Full user records in the reference's JSON shape.
 
