@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from graphweft.functions import vectors as vec
 from graphweft.functions.random import uniform
 from graphweft.operators import aggregates as agg
+from graphweft.operators import hubs
 from graphweft.session import cut_lineage, release
 
 
@@ -53,6 +54,13 @@ def _persist(df: DataFrame) -> DataFrame:
 
 # --- H1 PageRank ------------------------------------------------------------------------
 
+def _dealt_by_source(w: DataFrame, hot: DataFrame, tasks: int) -> DataFrame:
+    """Weights of edges in the partitions of their source's copies: id, _copy, target_id, w."""
+    return (hubs.deal(w, hot, "source_id", ["target_id"])
+            .select(F.col("source_id").alias("id"), "_copy", "target_id", "w")
+            .repartition(tasks, "id", "_copy"))
+
+
 def pagerank(g: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6,
              checkpoint_interval: int = 5, fail_on_no_convergence: bool = True) -> DataFrame:
     """H1: PageRank of the directed multigraph (parallel edges add weight).
@@ -61,44 +69,48 @@ def pagerank(g: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float | No
     raises if ``max_iter`` rounds do not get there (``tol=None`` runs exactly ``max_iter``
     rounds). Returns id, pagerank.
 
-    Plan: multi-edges are collapsed once into transition probabilities, partitioned by
-    source and persisted; per round one join with the ranks on the source and one
-    aggregation by target. Only two scalars per round reach the driver (dangling mass and
-    the L1 change).
+    Plan: multi-edges are collapsed once into weights and dealt by source, hot sources over
+    copies (``hubs``), and stay where they are; a round moves only the ranks: a node sends each
+    of its copies its rank over its out-weight, one join meets them with the weights, one
+    aggregation by target sums up. Only two scalars per round reach the driver (dangling mass
+    and the L1 change). Tables of superseded rounds are deleted.
     """
-    verts = _persist(g.all_vertices)
-    n = verts.count()
+    spark = g.edges.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    w = cut_lineage(g.edges.where(F.col("source_id").isNotNull())
+                    .groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("w")))
+    hot = F.broadcast(hubs.hot_nodes(w, "source_id", tasks))
+    trans = _persist(_dealt_by_source(w, hot, tasks))
+    out_w = w.groupBy(F.col("source_id").alias("id")).agg(F.sum("w").alias("out_w"))
+    verts = cut_lineage(g.all_vertices.join(out_w, "id", "left")
+                        .join(hot.withColumnRenamed("source_id", "id"), "id", "left")
+                        .select("id", "out_w", "_copies"))
+    n, dangling = verts.agg(F.count(F.lit(1)), F.count(F.when(F.col("out_w").isNull(), 1))).first()
     if n == 0:
-        return verts.withColumn("pagerank", F.lit(0.0))
-    w = g.edges.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("w"))
-    out_w = w.groupBy("source_id").agg(F.sum("w").alias("out_w"))
-    trans = cut_lineage(w.join(out_w, "source_id")
-                        .select(F.col("source_id").alias("id"), "target_id",
-                                (F.col("w") / F.col("out_w")).alias("p")))
-    state = (verts.join(out_w.select(F.col("source_id").alias("id"), F.lit(False).alias("_nd")),
-                        "id", "left")
-             .select("id", F.col("_nd").isNull().alias("dangling"),
-                     F.lit(1.0 / n).alias("pagerank")))
-    state = cut_lineage(state)
-    verts.unpersist()
-    dangling_mass = state.where("dangling").agg(F.sum("pagerank")).first()[0] or 0.0
-    previous = None
+        trans.unpersist()
+        return verts.select("id", F.lit(0.0).alias("pagerank"))
+    state, dangling_mass = verts.withColumn("pagerank", F.lit(1.0 / n)), dangling / n
+    previous, written = None, verts
     for it in range(1, max_iter + 1):
-        contrib = (trans.join(state.select("id", "pagerank"), "id")
+        sent = hubs.copies_of(state.where(F.col("out_w").isNotNull())
+                              .select("id", "_copies", (F.col("pagerank") / F.col("out_w")).alias("_s")))
+        contrib = (trans.join(sent, ["id", "_copy"])
                    .groupBy(F.col("target_id").alias("id"))
-                   .agg(F.sum(F.col("pagerank") * F.col("p")).alias("c")))
+                   .agg(F.sum(F.col("_s") * F.col("w")).alias("c")))
         base = (1.0 - alpha) / n + alpha * dangling_mass / n
-        new = (state.select("id", "dangling", F.col("pagerank").alias("_old"))
-               .join(contrib, "id", "left")
-               .select("id", "dangling", "_old",
+        new = (state.withColumnRenamed("pagerank", "_old").join(contrib, "id", "left")
+               .select("id", "out_w", "_copies", "_old",
                        (F.lit(alpha) * F.coalesce(F.col("c"), F.lit(0.0)) + F.lit(base)).alias("pagerank")))
-        new = cut_lineage(new) if it % checkpoint_interval == 0 else _persist(new)
+        cut = it % checkpoint_interval == 0
+        new = cut_lineage(new) if cut else _persist(new)
         stats = new.agg(F.sum(F.abs(F.col("pagerank") - F.col("_old"))).alias("err"),
-                        F.sum(F.when(F.col("dangling"), F.col("pagerank"))).alias("dm")).first()
+                        F.sum(F.when(F.col("out_w").isNull(), F.col("pagerank"))).alias("dm")).first()
         if previous is not None:
             previous.unpersist()
-        previous = new
-        state = new.drop("_old")
+        if cut:
+            release(written)
+            written = new
+        previous, state = new, new.drop("_old")
         dangling_mass = stats["dm"] or 0.0
         if tol is not None and stats["err"] < n * tol:
             break
@@ -108,6 +120,8 @@ def pagerank(g: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float | No
     result = cut_lineage(state.select("id", "pagerank"))
     if previous is not None:
         previous.unpersist()
+    trans.unpersist()
+    release(w, written)
     return result
 
 

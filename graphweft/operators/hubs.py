@@ -63,8 +63,13 @@ def deal(edges: DataFrame, hot: DataFrame, end: str, spread: Sequence[str]) -> D
 
 def copy(nodes: DataFrame, hot: DataFrame, end: str) -> DataFrame:
     """``nodes`` with a row for each of a node's copies (``_copy``)."""
+    return copies_of(nodes.join(hot, end, "left"))
+
+
+def copies_of(nodes: DataFrame) -> DataFrame:
+    """Rows with their number of copies (``_copies``, null: one) as a row for each copy (``_copy``)."""
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1)
-    return nodes.join(hot, end, "left").withColumn("_copy", F.explode(copies)).drop("_copies")
+    return nodes.withColumn("_copy", F.explode(copies)).drop("_copies")
 
 
 def relational_mean(edges: DataFrame, features: DataFrame, vec_col: str = "vec",

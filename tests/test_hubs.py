@@ -1,9 +1,11 @@
 """The vertex cut: same rows as the plain operators, bounded copies, no hot task."""
 
 import random
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as ent
 from graphweft.operators import aggregates as agg
@@ -13,6 +15,7 @@ from graphweft.plans import q_hubs
 from graphweft.sources import driver_tables as dt
 from graphweft.sources.driver_tables import TABLES
 from tests.conftest import SF_SMOKE
+from tests.test_plans import plan
 from tools.compare import canon
 
 EDGES = "source_id string, relation string, target_id string"
@@ -66,6 +69,44 @@ def test_hot_nodes_are_few_and_their_copies_take_fair_shares(spark):
     assert uncut > 2 * total / tasks and largest <= 2 * total / tasks
 
 
+def test_pagerank_keeps_its_edges_in_place(spark):
+    """A round's join meets the cached edges without another exchange of theirs."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    w = hubs.collapse(spark.createDataFrame(hub_rows(), EDGES)).select("source_id", "target_id", F.col("n").alias("w"))
+    trans = gr._dealt_by_source(w, F.broadcast(hubs.hot_nodes(w, "source_id", tasks)), tasks).persist()
+    trans.count()
+    sent = hubs.copies_of(spark.range(60).select(F.concat(F.lit("n"), "id").alias("id"), F.lit(None).cast("int").alias("_copies"),
+                                                 F.lit(1.0).alias("_s")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(trans.join(sent, ["id", "_copy"])).split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        trans.unpersist()
+    depth = next(x.index("InMemoryRelation") for x in lines if "InMemoryRelation" in x)
+    outside = [x for x in lines if "Exchange hashpartitioning" in x and x.index("Exchange") <= depth]
+    assert len(outside) == 1 and any("SortMergeJoin" in x for x in lines)
+
+
+@pytest.mark.parametrize("interval", [1, 2, 5])
+def test_pagerank_is_that_of_a_plain_loop(spark, interval):
+    """Hot, dangling and isolated nodes, parallel edges, self-loops; any number of rounds between written tables."""
+    rows = [*[r for r in hub_rows(200) if r[0] and r[2]], ("a", "following", "a"), ("n1", "following", "sink")]
+    vertices = sorted({x for r in rows for x in (r[0], r[2])} | {"alone"})
+    out = Counter(r[0] for r in rows)
+    rank = {v: 1 / len(vertices) for v in vertices}
+    for _ in range(7):
+        lost = sum(rank[v] for v in vertices if not out[v])
+        new = {v: 0.15 / len(vertices) + 0.85 * lost / len(vertices) for v in vertices}
+        for s, _, t in rows:
+            new[t] += 0.85 * rank[s] / out[s]
+        rank = new
+    g = gr.Graph(spark.createDataFrame([("alone",)], "id string"), spark.createDataFrame(rows, EDGES))
+    got = {r.id: r.pagerank for r in gr.pagerank(g, max_iter=7, tol=None, checkpoint_interval=interval).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[v] - rank[v]) < 1e-12 for v in rank)
+
+
 def test_clashing_columns_of_edges_stay(spark):
     edges = spark.createDataFrame([(r[0], r[1], r[2], 7, "x") for r in hub_rows()], EDGES + ", copies int, label string")
     nodes = spark.createDataFrame([("a", 1.0), ("n1", 2.0)], "source_id string, weight double")
