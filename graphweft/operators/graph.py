@@ -398,6 +398,9 @@ def modularity(ew: DataFrame, communities: DataFrame, resolution: float = 1.0) -
 #: as many nodes at once as the one before, as moves at once can spoil each other's gains
 IDLE_ROUNDS = 3
 
+#: a level is settled, too, after two rounds that gained less than this share of what it has gained
+SETTLED = 0.03
+
 
 def _move_round(state: DataFrame, nb: DataFrame, m: float, resolution: float, up: bool, share: Column) -> tuple[DataFrame, Row]:
     """One round of moves from ``state`` (id, community, before, kout, kin, waiting).
@@ -450,8 +453,10 @@ def _move_round(state: DataFrame, nb: DataFrame, m: float, resolution: float, up
     return after, figures
 
 
-def _local_moving(ew: DataFrame, m: float, resolution: float, seed: int, level: int, threshold: float) -> tuple[DataFrame, float]:
-    """One Louvain level: rounds of moves until no node is left to look at.
+def _local_moving(ew: DataFrame, m: float, resolution: float, seed: int, level: int, threshold: float,
+                  settled: float) -> tuple[DataFrame, float]:
+    """One Louvain level: rounds of moves until no node is left to look at, or until two rounds in
+    a row (one to each side) gain less than the share ``settled`` of what the level has gained.
 
     What a round gained is known after the next one. Moves that did not gain ``threshold``
     together are undone, and the round is done again with half the share of nodes (md5 draws);
@@ -469,7 +474,7 @@ def _local_moving(ew: DataFrame, m: float, resolution: float, seed: int, level:
     base = cut_lineage(degree.select("id", F.col("id").alias("community"), F.col("id").alias("before"), "kout", "kin",
                                      F.lit(True).alias("waiting")))
     product = base.agg(F.sum(F.col("kout") * F.col("kin"))).first()[0] or 0.0
-    state, reached, gained, idle, r = base, product, 0.0, 0, 0
+    state, reached, gained, idle, small, r = base, product, 0.0, 0, 0, 0
     while idle < IDLE_ROUNDS:
         draw = uniform(F.concat_ws(":", F.col("i"), F.lit(str(level)), F.lit(str(r))), seed)
         after, now = _move_round(state, nb, m, resolution, r % 2 == 1, draw < 0.5 ** idle if idle else F.lit(True))
@@ -482,6 +487,10 @@ def _local_moving(ew: DataFrame, m: float, resolution: float, seed: int, level:
                 continue
             release(base)
             base, product, gained, idle = state, reached, gained + gain, 0
+            small = small + 1 if gain < settled * gained else 0
+            if small > 1:
+                release(after)
+                break
         if now["moved"]:
             state, reached = after, now["product"]
         elif now["waits"]:  # the same communities, and other nodes to look at
@@ -494,14 +503,16 @@ def _local_moving(ew: DataFrame, m: float, resolution: float, seed: int, level:
     return base.select("id", "community"), gained
 
 
-def louvain(g: Graph, resolution: float = 1.0, seed: int = 42, threshold: float = 1e-7) -> DataFrame:
+def louvain(g: Graph, resolution: float = 1.0, seed: int = 42, threshold: float = 1e-7,
+            settled: float = SETTLED) -> DataFrame:
     """H3: Louvain communities of the directed multigraph (parallel edges add weight).
 
-    Parallel, not sequential: in each round part of the nodes next to the last moves (md5 draws)
-    go at once to their best neighbouring community; rounds that do not raise modularity are
-    undone. Levels then collapse communities into super-vertices (weights summed, self-loops
-    kept) while modularity rises by more than ``threshold``; there is no budget of rounds or
-    levels. The visiting order of a sequential implementation cannot be reproduced in parallel;
+    Parallel, not sequential: in each round the nodes next to the last moves go at once to their
+    best neighbouring community; rounds that do not raise modularity are undone. A level ends
+    when no node is left to move, or earlier when two rounds in a row gain less than the share
+    ``settled`` of what the level has gained (0: never earlier). Levels then collapse communities
+    into super-vertices (weights summed, self-loops kept) while modularity rises by more than
+    ``threshold``; there is no budget of rounds or levels. The visiting order of a sequential implementation cannot be reproduced in parallel;
     the result is a disjoint cover of all vertices. Returns id, community (community = smallest
     member id).
     """
@@ -510,7 +521,7 @@ def louvain(g: Graph, resolution: float = 1.0, seed: int = 42, threshold: float
     m = ew.agg(F.sum("w")).first()[0] or 0.0
     level = 0
     while m > 0:
-        comm, gained = _local_moving(ew, m, resolution, seed, level, threshold)
+        comm, gained = _local_moving(ew, m, resolution, seed, level, threshold, settled)
         if gained <= threshold:
             break
         named = comm.select(F.col("id").alias("community"), F.col("community").alias("c2"))
