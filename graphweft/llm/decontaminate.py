@@ -199,7 +199,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, params: DecontaminationPar
     p = params or DecontaminationParams()
     own_id = F.struct(*[F.col(c) for c in keep]).alias("row")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
-        _item_rows(p), "item_id bigint, item_words array<bigint>, seeds array<bigint>, times array<bigint>")
+        W.tidy(_item_rows(p)), "item_id bigint, item_words array<bigint>, seeds array<bigint>, times array<bigint>")
     items = cut_lineage(items.withColumn("item", F.monotonically_increasing_id()))
     item_seeds = (items.select("item", F.size("item_words").alias("n"), F.explode(F.arrays_zip("seeds", "times")).alias("s"))
                   .select("item", "n", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")))
@@ -207,7 +207,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, params: DecontaminationPar
     shared = documents.sparkSession.sparkContext.broadcast(filled)
     rows = documents.select(own_id, F.col("text").alias("__text"))
     words, seeds = (T.StructField(n, T.ArrayType(T.LongType())) for n in ("doc_words", "seeds"))
-    reduced = rows.mapInArrow(_reduced(shared, ["row"], p), T.StructType([rows.schema["row"], words, seeds]))
+    reduced = rows.mapInArrow(W.tidy(_reduced(shared, ["row"], p)), T.StructType([rows.schema["row"], words, seeds]))
     reduced = cut_lineage(reduced.withColumn("doc", F.monotonically_increasing_id()))
     doc_seeds = reduced.select("doc", F.explode("seeds").alias("own"))
     met = doc_seeds.join(item_seeds, F.col("own") == F.col("seed"))
@@ -222,7 +222,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, params: DecontaminationPar
             .select("row", "item_id", "item_words", "doc_words"))
     schema = T.StructType([both.schema["row"], both.schema["item_id"]]
                           + [T.StructField(n, T.LongType()) for n in ("item_words_n", "covered", "tiles")])
-    tiled = both.mapInArrow(_tiler(["row", "item_id"], p), schema)
+    tiled = both.mapInArrow(W.tidy(_tiler(["row", "item_id"], p)), schema)
     coverage = F.col("covered") / F.col("item_words_n")
     return tiled.filter(F.col("covered") >= F.col("item_words_n") * p.min_cover - 1e-9).select(
         "row.*", "item_id", F.col("item_words_n").alias("item_words"), F.col("covered").alias("covered_words"),

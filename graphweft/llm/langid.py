@@ -165,7 +165,7 @@ def fit(documents: DataFrame, params: LangIdParams | None = None, text: str = "t
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("u", T.DoubleType()),
                            T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("vals", T.ArrayType(T.FloatType()))])
-    got = picked.mapInArrow(_document_features(p, ["lang", "u"]), schema).toArrow()
+    got = picked.mapInArrow(W.tidy(_document_features(p, ["lang", "u"])), schema).toArrow()
     at = {x: k for k, x in enumerate(langs)}
     found = [(u, at[x], np.asarray(i.values), np.asarray(v.values)) for x, u, i, v in
              zip(got["lang"].to_pylist(), got["u"].to_pylist(), got["ids"], got["vals"], strict=True)]
@@ -227,7 +227,7 @@ def predict(documents: DataFrame, model: LangIdModel, text: str = "text", keep:
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
         T.StructField("rejected", T.BooleanType())])
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_scorer(shared, keep), schema)
+    return rows.mapInArrow(W.tidy(_scorer(shared, keep)), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

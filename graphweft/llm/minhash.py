@@ -156,7 +156,7 @@ def sketches(documents: DataFrame, params: MinHashParams | None = None) -> DataF
     p = params or MinHashParams()
     schema = "doc_id bigint, text_hash bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>"
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(_sketcher(p), schema)
+    return rows.mapInArrow(W.tidy(_sketcher(p)), schema)
 
 
 def _distance(a: str, b: str, p: MinHashParams) -> Column:
@@ -194,7 +194,7 @@ def shingle_sets(ids: DataFrame, documents: DataFrame, p: MinHashParams) -> Data
     wanted = bitmap(ids, F.col("id").bitwiseXOR(F.shiftright("id", 24)), p.filter_bits)
     shared = documents.sparkSession.sparkContext.broadcast(wanted)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    return cut_lineage(texts.mapInArrow(_set_rows(shared, p), "id bigint, members array<bigint>"))
+    return cut_lineage(texts.mapInArrow(W.tidy(_set_rows(shared, p)), "id bigint, members array<bigint>"))
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, params: MinHashParams | None = None) -> DataFrame:
@@ -335,7 +335,7 @@ def _clusters(banded: DataFrame, classes: DataFrame, label: DataFrame, p: MinHas
     sketch = classes.select(F.col("class_id").alias("id"), "sketch")
     members = (members.join(sketch, F.col("class_id") == F.col("id"))
                .withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")))
-    stars = _block_pairs(members, "band", ["component", "sketch"]).mapInArrow(_sketch_stars(p), "a bigint, b bigint")
+    stars = _block_pairs(members, "band", ["component", "sketch"]).mapInArrow(W.tidy(_sketch_stars(p)), "a bigint, b bigint")
     return components(stars).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
 
 
@@ -355,7 +355,7 @@ def _across(clusters: DataFrame, classes: DataFrame, label: DataFrame, documents
     sized = (whole.join(cut_lineage(totals), F.col("cluster") == F.col("k")).withColumn("blocks", blocks)
              .withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")))
     dealt = _block_pairs(sized, "cluster", ["component", "members"])
-    return dealt.mapInArrow(_set_stars(p), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(W.tidy(_set_stars(p)), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(documents: DataFrame, params: MinHashParams | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -255,3 +256,101 @@ def test_long_random_words_are_candidates():
     text = f"see {long} there"
     assert len(long) > 200 and not secrets.base_spans(text)
     assert secrets.candidates(text, [], secrets.SecretParams()) == [(4, 4 + len(long))]
+
+
+def _plain_tiles(item, doc, least):
+    """Greedy string tiling as its definition says: marks the longest common runs of unmarked words."""
+    free_i, free_d, lengths = [True] * len(item), [True] * len(doc), []
+    while True:
+        best, at = 0, []
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while (a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n]
+                       and free_i[a + n] and free_d[b + n]):
+                    n += 1
+                if n > best:
+                    best, at = n, []
+                if n == best:
+                    at.append((a, b))
+        if best < least:
+            return lengths
+        for a, b in at:
+            if all(free_i[a:a + best]) and all(free_d[b:b + best]):
+                free_i[a:a + best] = free_d[b:b + best] = [False] * best
+                lengths.append(best)
+
+
+def test_leaks_are_those_of_plain_tiling_over_all_pairs(spark):
+    rng = random.Random(11)
+    for size in (4, 40):  # words that repeat within texts, and words that seldom do
+        word = [f"w{k}" for k in range(size)]
+        items = [(k, " ".join(rng.choice(word) for _ in range(rng.randint(4, 24)))) for k in range(12)]
+        texts = []
+        for k in range(40):
+            parts = []
+            for _ in range(rng.randint(0, 3)):
+                w = rng.choice(items)[1].split()
+                a = rng.randint(0, len(w) // 2)
+                parts.append(w[a:a + rng.randint(4, 24)])
+                parts.append([rng.choice(word) for _ in range(rng.randint(0, 4))])
+            rng.shuffle(parts)
+            texts.append(" ".join(x for p in parts for x in p))
+        docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+        bench = spark.createDataFrame(items, "item_id bigint, text string")
+        got = {(r.doc_id, r.item_id): (r.covered_words, r.tiles) for r in decontaminate.leaks(docs, bench).collect()}
+        want = {}
+        for d, text in enumerate(texts, 1):
+            for k, item in items:
+                lengths = _plain_tiles(item.split(), text.split(), 5)
+                if sum(lengths) >= 0.8 * len(item.split()) - 1e-9:
+                    want[d, k] = (sum(lengths), len(lengths))
+        assert want and got == want
+
+
+def _plain_licences(text, templates, slack, least):
+    """Labels of the templates that stand at some place of the text, every place tried."""
+    words = ALNUM.findall(text.translate(ASCII_LOWER))
+    found = set()
+    for t in templates:
+        want = ALNUM.findall(t.text.translate(ASCII_LOWER))
+        for begin in range(-slack, len(words)):
+            hit = [any(0 <= begin + k + d < len(words) and words[begin + k + d] == w for d in range(-slack, slack + 1))
+                   for k, w in enumerate(want)]
+            near = " " + " ".join(words[max(0, begin - slack):begin + len(want) + slack]) + " "
+            if sum(hit) >= least * len(want) and all(f" {key} " in near for key in t.key_phrases):
+                found.add(t.label)
+    return found
+
+
+def _plain_phrases(text):
+    words = ALNUM.findall(text.translate(ASCII_LOWER))
+    places = [(k, label) for phrase, label in licenses.BASE_PHRASES for k in range(len(words))
+              if words[k:k + len(phrase.split())] == phrase.split()]
+    return len(words), places
+
+
+def test_licences_are_those_of_every_template_at_every_place(spark):
+    rng = random.Random(5)
+    p, filler, texts = licenses.LicenseParams(), [f"f{k}" for k in range(30)] + ["the", "of", "license", "under"], []
+    for k in range(150):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(licenses.TEMPLATES).text.split()
+            if rng.random() < 0.4 and len(w) > 8:  # one word in place of another
+                w[rng.randrange(len(w))] = "other"
+            parts += [" ".join(w).swapcase() if rng.random() < 0.3 else " ".join(w), rng.choice(["", "CC-BY", "All rights, reserved!"]),
+                      " ".join(rng.choice(filler) for _ in range(rng.randint(0, 9)))]
+        texts.append("\n".join(parts))
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    some = 0
+    for r in licenses.scan(docs, keep=["doc_id"]).collect():
+        text = texts[r.doc_id - 1]
+        n, places = _plain_phrases(text)
+        base = {label for _, label in places}
+        at = sorted(k for k, _ in places)
+        assert (r.n_words, r.n_base, r.base_labels) == (n, len(places), ",".join(sorted(base)))
+        assert (r.first_word, r.last_word) == ((at[0], at[-1]) if at else (None, None))
+        assert set(r.labels.split(",")) - {""} == base | _plain_licences(text, licenses.TEMPLATES, p.slack, p.min_cover)
+        some += bool(r.labels)
+    assert some > 50
