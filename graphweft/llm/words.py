@@ -12,7 +12,6 @@ hash with probability below 10^-5.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,18 +71,6 @@ class Slice:
     offsets: np.ndarray  # int64, n_rows + 1
 
 
-def tidy(run):
-    """The batch function ``run``, which gives memory that its allocators keep back to the system
-    after its last batch: the Python worker goes on living, idle or for tasks of other kinds."""
-    def tidied(batches):
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; others give back by themselves
-        if trim:
-            trim(0)
-    return tidied
-
-
 def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
     """Cut an Arrow string column into slices of whole texts (null counts as empty)."""
     if isinstance(column, pa.ChunkedArray):
