@@ -1,9 +1,9 @@
 """Text embedding (I1): a built-in hashing embedder and a seam for real models.
 
 ``hashing_embed`` is the default model: signed feature hashing (Weinberger et al., 2009)
-of whitespace tokens, averaged over the text's tokens. It is one expression of built-in
-functions, so a row is embedded where it is, without a shuffle, and the result can be
-reproduced in SQL. The whole text is used; a missing text embeds as zeros.
+of whitespace tokens, averaged over the text's tokens. A row is embedded where it is, without
+a shuffle, by numpy on Arrow batches, and the result can be reproduced in SQL. The whole text
+is used; a missing text embeds as zeros.
 
 ``model_embed`` plugs any batch model ``fn(list[str]) -> np.ndarray (n, dim)`` in through an
 iterator pandas UDF: the model is built once per Python worker and fed Arrow batches.
@@ -11,10 +11,12 @@ iterator pandas UDF: the model is built once per Python worker and fed Arrow bat
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +30,26 @@ def tokens(text: Column) -> Column:
 
 
 def hashing_vector(text: Column, dim: int = 64, seed: int = 0) -> Column:
-    """Mean over the tokens of a text of signed one-hot vectors at md5-chosen positions."""
-    def code(tok: Column) -> Column:  # twice the position, and 1 more for a negative sign
-        h = F.md5(F.concat(tok, F.lit(f":{seed}")))
-        pos = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
-        return pos * 2 + F.pmod(F.conv(F.substring(h, 9, 1), 16, 10).cast("int"), F.lit(2))
+    """Mean over the tokens of a text of signed one-hot vectors at md5-chosen positions.
 
-    def times(codes: Column, k: Column) -> Column:
-        return F.size(codes) - F.size(F.array_remove(codes, k))
-
-    def value(codes: Column, i: Column) -> Column:
-        return (times(codes, i * 2) - times(codes, i * 2 + 1)) / F.greatest(F.size(codes), F.lit(1))
-
-    # the outer transform binds the codes, so that they are made once for all positions
-    every = F.sequence(F.lit(0), F.lit(dim - 1))
-    return F.transform(F.array(F.transform(tokens(text), code)), lambda codes: F.transform(every, lambda i: value(codes, i)))[0]
+    Texts are split by Spark; a batch's distinct tokens are hashed once each and its
+    vectors counted in one pass over the batch's tokens, whatever the dimension.
+    """
+    @F.arrow_udf("array<double>")
+    def _vectors(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        salt = f":{seed}".encode()
+        for lists in it:
+            words = lists.flatten().cast(pa.binary()).dictionary_encode()
+            digests = [hashlib.md5(w + salt).hexdigest() for w in words.dictionary.to_pylist()]
+            pos = np.array([int(h[:8], 16) % dim for h in digests], dtype="int64")
+            sign = np.array([1.0 - 2.0 * (int(h[8], 16) % 2) for h in digests])
+            which = words.indices.to_numpy()
+            n = np.diff(lists.offsets.to_numpy())
+            cell = np.repeat(np.arange(len(n)) * dim, n) + pos[which]
+            total = np.bincount(cell, weights=sign[which], minlength=len(n) * dim)
+            mean = (total.reshape(len(n), dim) / np.maximum(n, 1)[:, None]).ravel()
+            yield pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype="int32") * dim, pa.array(mean))
+    return _vectors(tokens(text))
 
 
 def hashing_embed(df: DataFrame, key: str, text_col: str, dim: int = 64, seed: int = 0, out: str = "vec") -> DataFrame:

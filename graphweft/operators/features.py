@@ -136,17 +136,20 @@ def projection_weights(name: str, in_dim: int, out_dim: int, seed: int = 42):
     return w, b
 
 
-def project(c: Column, name: str, in_dim: int, out_dim: int, seed: int = 42,
+def project(c: Column, name: str, in_dim: int | None, out_dim: int, seed: int = 42,
             activation: str = "leaky_relu") -> Column:
-    """I2 building block: activation(W x + b) per row, numpy on Arrow batches."""
+    """I2 building block: activation(W x + b) per row, numpy on Arrow batches. Without
+    ``in_dim`` it is the length of the vectors."""
     @F.pandas_udf("array<double>")
     def _proj(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        w, b = projection_weights(name, in_dim, out_dim, seed)
+        weights = None
         for s in it:
             if len(s) == 0:
                 yield pd.Series([], dtype=object)
                 continue
             x = np.stack([np.asarray(v, dtype="float64") for v in s.tolist()])
+            weights = weights or projection_weights(name, in_dim or x.shape[1], out_dim, seed)
+            w, b = weights
             y = x @ w.T + b
             if activation == "leaky_relu":
                 y = np.where(y > 0, y, LEAKY_SLOPE * y)
@@ -162,15 +165,12 @@ def static_fuse(desc: DataFrame, numeric: DataFrame, categorical: DataFrame,
     desc, tweet, numeric, categorical; with the tweet block a final dim x dim layer follows,
     without it the result has 3*dim/4 entries. Inputs: (id, vec|numeric|categorical)."""
     q = dim // 4
-
-    def dim_of(df, c):
-        return df.select(F.size(c).alias("d")).first()["d"]
     blocks = [("desc", desc, "vec")] + ([("tweet", tweet, "vec")] if tweet is not None else []) + [
         ("numeric", numeric, "numeric"), ("categorical", categorical, "categorical")]
     out = None
     names = []
     for name, df, c in blocks:
-        p = df.select("id", project(F.col(c), f"{name}_proj", dim_of(df, c), q, seed).alias(name))
+        p = df.select("id", project(F.col(c), f"{name}_proj", None, q, seed).alias(name))
         out = p if out is None else out.join(p, "id")
         names.append(name)
     fused = out.select("id", F.concat(*[F.col(n) for n in names]).alias("vec"))

@@ -41,3 +41,13 @@ def test_sharded_reader_skips_missing_shards(spark, tmp_path):
     assert [r.id for r in df.collect()] == ["t1"]
     empty = files.read_sharded_json_array(spark, base + "/none", "tweet_{i}.json", shards=2)
     assert empty.count() == 0 and "shard" not in files.TWEET_SCHEMA.fieldNames()
+
+
+def test_hashing_embed_feeds_a_projection(spark):
+    """The embedder's result goes into a Python projection; I2 failed on it at run time."""
+    df = spark.createDataFrame([("a", "x y x"), ("b", None)], "id string, t string")
+    desc = text.hashing_embed(df, "id", "t", dim=8)
+    one = df.select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    fused = ft.static_fuse(desc, one.withColumnRenamed("v", "numeric"), one.withColumnRenamed("v", "categorical"),
+                           tweet=one.withColumnRenamed("v", "vec"), dim=8)
+    assert sorted((r.id, len(r.vec)) for r in fused.collect()) == [("a", 8), ("b", 8)]
