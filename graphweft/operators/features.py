@@ -58,13 +58,14 @@ def recent_tweet_vector(users: DataFrame, tweets: DataFrame, tweet_vecs: DataFra
     (C15: tweets without one are skipped); zeros when there is none.
 
     A user's group holds at most k vectors (the top-k is limited before the shuffle), so the
-    vectors are summed element-wise inside the group instead of exploding to long form.
+    vectors are summed element-wise inside the group instead of exploding to long form. They
+    travel in the type they come in and are summed as doubles.
     """
     r = recent_tweets(users, tweets, k)
-    tv = tweet_vecs.select(F.col("id").alias("tweet_id"), F.col("vec").cast("array<double>").alias("vec"))
+    tv = tweet_vecs.select(F.col("id").alias("tweet_id"), "vec")
     summed = (r.select("id", "tweet_id").join(tv, "tweet_id")
               .groupBy("id").agg(F.collect_list("vec").alias("_vs")))
-    total = F.aggregate(F.col("_vs"), vec.zeros(dim), lambda acc, x: vec.add(acc, x))
+    total = F.aggregate(F.col("_vs"), vec.zeros(dim), lambda acc, x: vec.add(acc, x.cast("array<double>")))
     pooled = summed.select("id", vec.scale(total, 1.0 / F.size("_vs")).alias("vec"))
     return (users.select("id").join(pooled, "id", "left")
             .select("id", F.coalesce(F.col("vec"), vec.zeros(dim)).alias("vec")))
@@ -184,19 +185,14 @@ def posted_vector_changes(snap: Snapshots, tweet_vecs: DataFrame) -> DataFrame:
     snapshot where it changes: id, snapshot_idx, vec.
 
     The value for snapshot i is the row with the largest snapshot_idx <= i (as-of read, see
-    ``vectors_at``); users with no post yet have zeros. Whole vectors are summed per (user,
-    snapshot), partially before the shuffle; only these sums, one for each change, are taken
-    apart by position for the running sum.
+    ``vectors_at``); users with no post yet have zeros. Vectors stay whole: they meet the posts,
+    are dealt by user once and averaged along the user's posts (``vectors.running_mean``).
     """
     posts = snap.edges.where(F.col("relation") == "post").select(
         F.col("source_id").alias("id"), F.col("target_id").alias("tweet_id"),
         F.col("first_snapshot").cast("bigint").alias("snapshot_idx"))
     tv = tweet_vecs.select(F.col("id").alias("tweet_id"), "vec")
-    sums = vec.sum_by(posts.join(tv, "tweet_id"), ["id", "snapshot_idx"], "vec", count="n")
-    per = sums.select("id", "snapshot_idx", "n", F.posexplode("vec").alias("pos", "s"))
-    w = Window.partitionBy("id", "pos").orderBy("snapshot_idx").rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select("id", "snapshot_idx", "pos", (F.sum("s").over(w) / F.sum("n").over(w)).alias("value"))
-    return vec.from_long(run, ["id", "snapshot_idx"], "value", "vec")
+    return vec.running_mean(posts.join(tv, "tweet_id"), ["id"], "snapshot_idx", "vec")
 
 
 def as_of(changes: DataFrame, requests: DataFrame, key: str = "id", at: str = "snapshot_idx") -> DataFrame:
@@ -204,16 +200,20 @@ def as_of(changes: DataFrame, requests: DataFrame, key: str = "id", at: str = "s
     (at, key, ...) at or before it; nulls where there is none yet.
 
     One union and one window over a key's changes and requests, of which there is one for each
-    snapshot at most; changes come before requests of the same snapshot.
+    snapshot at most; changes come before requests of the same snapshot, and of equal requests,
+    which the window's order puts side by side, the first is kept.
     """
     values = [c for c in changes.columns if c not in (key, at)]
     spot = F.col(at).cast("bigint").alias(at)
     row = F.struct(*[F.col(c) for c in values])
     both = changes.select(key, spot, F.lit(False).alias("_ask"), row.alias("_row")).unionByName(
-        requests.select(key, spot).distinct().select(key, at, F.lit(True).alias("_ask")), allowMissingColumns=True)
-    upto = Window.partitionBy(key).orderBy(at, "_ask").rowsBetween(Window.unboundedPreceding, 0)
-    last = both.withColumn("_row", F.last("_row", ignorenulls=True).over(upto))
-    return last.where("_ask").select(key, at, *[F.col(f"_row.{c}").alias(c) for c in values])
+        requests.select(key, spot, F.lit(True).alias("_ask")), allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy(at, "_ask")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    last = both.select(key, at, "_ask", F.last("_row", ignorenulls=True).over(upto).alias("_row"),
+                       F.lag(F.struct(at, "_ask")).over(order).alias("_prev"))
+    asked = F.col("_ask") & ~F.col("_prev").eqNullSafe(F.struct(at, "_ask"))
+    return last.where(asked).select(key, at, *[F.col(f"_row.{c}").alias(c) for c in values])
 
 
 def vectors_as_of(changes: DataFrame, requests: DataFrame, dim: int) -> DataFrame:
@@ -235,17 +235,19 @@ def temporal_user_vectors(snap: Snapshots, static_vecs: DataFrame, tweet_vecs: D
     Stored as changes only: one row per user at its first snapshot and at every snapshot
     where its post mean changes: id, snapshot_idx, vec. Read with ``vectors_at``.
     """
-    in_dim = tweet_vecs.select(F.size("vec").alias("d")).first()["d"]
     q = tweet_dim // 4
-    proj = tweet_vecs.select("id", project(F.col("vec"), "tweet_proj", in_dim, q, seed).alias("vec"))
+    proj = tweet_vecs.select("id", project(F.col("vec"), "tweet_proj", None, q, seed).alias("vec"))
     ch = posted_vector_changes(snap, proj)
     first = snap.users.select("id", F.col("first_snapshot").cast("bigint").alias("snapshot_idx"))
-    keys = first.unionByName(ch.select("id", "snapshot_idx")).distinct()
-    w = Window.partitionBy("id").orderBy("snapshot_idx").rowsBetween(Window.unboundedPreceding, 0)
-    filled = (keys.join(ch, ["id", "snapshot_idx"], "left")
-              .withColumn("post_vec", F.last("vec", ignorenulls=True).over(w))
-              .join(first.select("id", F.col("snapshot_idx").alias("fs")), "id")
-              .where(F.col("snapshot_idx") >= F.col("fs")))
+    both = (ch.withColumn("fs", F.lit(None).cast("bigint"))
+            .unionByName(first.withColumn("fs", F.col("snapshot_idx")), allowMissingColumns=True))
+    # a user's first row comes before a change in the same snapshot, and the change stands for both
+    order = Window.partitionBy("id").orderBy("snapshot_idx", F.col("vec").isNotNull())
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.select("id", "snapshot_idx", F.last("vec", ignorenulls=True).over(upto).alias("post_vec"),
+                         F.last("fs", ignorenulls=True).over(upto).alias("fs"),
+                         F.lead("snapshot_idx").over(order).alias("_next"))
+    filled = filled.where(F.col("fs").isNotNull() & ~F.col("_next").eqNullSafe(F.col("snapshot_idx")))
     return (filled.join(static_vecs.select("id", F.col("vec").alias("static_vec")), "id")
             .select("id", "snapshot_idx",
                     F.concat("static_vec", F.coalesce("post_vec", vec.zeros(q))).alias("vec")))
@@ -258,7 +260,7 @@ def scorer_vector(dim: int, seed: int = 42) -> np.ndarray:
     return np.array([(2.0 * _u(f"topk:{i}:{seed}") - 1.0) * bound for i in range(dim)])
 
 
-def topk_per_snapshot(snap: Snapshots, node_vecs: DataFrame, k: int, seed: int = 42) -> DataFrame:
+def topk_per_snapshot(snap: Snapshots, node_vecs: DataFrame, k: int, seed: int = 42, dim: int | None = None) -> DataFrame:
     """Per snapshot the k active users with the highest ``x . p / (|p| + 1e-8)``.
 
     Returns snapshot_idx, rank (1..k), id, score, weight = tanh(score), vec = x * weight.
@@ -268,9 +270,10 @@ def topk_per_snapshot(snap: Snapshots, node_vecs: DataFrame, k: int, seed: int =
     never is later: only the top k of each arrival week are candidates (at most k per
     week), and each candidate is expanded to the weeks from its arrival on. The final window
     runs over at most k * (weeks so far) rows per snapshot, independent of the user count.
-    Ids and scores alone are expanded; vectors meet the chosen rows at the end.
+    Ids and scores alone are expanded; vectors meet the chosen rows at the end. Without ``dim``
+    a first job looks the vectors' length up.
     """
-    dim = node_vecs.select(F.size("vec").alias("d")).first()["d"]
+    dim = dim or node_vecs.select(F.size("vec").alias("d")).first()["d"]
     p = scorer_vector(dim, seed)
     pn = float(np.linalg.norm(p))
     score = vec.dot(F.col("vec"), F.array(*[F.lit(float(v)) for v in p])) / F.lit(pn + 1e-8)

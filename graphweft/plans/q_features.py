@@ -213,7 +213,7 @@ slots AS (SELECT g.snapshot_idx, r.rank, least(r.rank, coalesce(c.n, 0)) AS src
     GRID_CTES + ",\n" + UV_CTES + ",\n" + _P_CTES))
 def e12(spark, sf):
     snap = tp.build_snapshots(dt.users(spark, sf), dt.tweets(spark, sf), dt.edges(spark, sf))
-    top = ft.topk_per_snapshot(snap, user_vectors(spark, sf), k=5)
+    top = ft.topk_per_snapshot(snap, user_vectors(spark, sf), k=5, dim=64)
     total = F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x)
     return top.select("snapshot_idx", "rank", "id", F.round("score", 8).alias("score"), F.round("weight", 6).alias("weight"),
                       F.round(total, 6).alias("vec_total"))

@@ -123,6 +123,17 @@ def test_tables_with_an_index_join_without_a_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_change_rows_keep_vectors_whole(spark, micro):
+    """Running means take no vector apart, and as-of reads need no aggregate of the requests."""
+    snap = tp.build_snapshots(micro["users"], micro["tweets"], micro["edges"])
+    vecs = micro["tweets"].select("id", F.array(F.lit(1.0), F.unix_micros("created_at") % 7).alias("vec"))
+    changes = ft.posted_vector_changes(snap, vecs)
+    assert "Generate" not in plan(changes)
+    asked = snap.users.select("id", F.lit(3).alias("snapshot_idx"))
+    both = ft.as_of(cut_lineage(changes), cut_lineage(asked.unionByName(asked)))
+    assert "Aggregate" not in plan(both) and both.count() == asked.count()
+
+
 def test_text_is_embedded_in_its_row(spark):
     df = dt.table(spark, SF_SMOKE, "documents").select("doc_id", "text")
     assert "Exchange" not in plan(text.hashing_embed(df, "doc_id", "text"))
