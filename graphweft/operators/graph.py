@@ -19,7 +19,7 @@ from graphweft.functions import vectors as vec
 from graphweft.functions.random import uniform
 from graphweft.operators import aggregates as agg
 from graphweft.operators import hubs
-from graphweft.session import cut_lineage, release
+from graphweft.session import cut_lineage, release, shuffle_partitions
 
 
 @dataclass
@@ -54,6 +54,10 @@ def _persist(df: DataFrame) -> DataFrame:
 
 # --- H1 PageRank ------------------------------------------------------------------------
 
+#: edges or vertices that a task of a round holds at least, unless the session has fewer partitions
+ROWS_PER_TASK = 100_000
+
+
 def _dealt_by_source(w: DataFrame, hot: DataFrame, tasks: int) -> DataFrame:
     """Weights of edges in the partitions of their source's copies: id, _copy, target_id, w."""
     return (hubs.deal(w, hot, "source_id", ["target_id"])
@@ -72,23 +76,36 @@ def pagerank(g: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float | No
     Plan: multi-edges are collapsed once into weights and dealt by source, hot sources over
     copies (``hubs``), and stay where they are; a round moves only the ranks: a node sends each
     of its copies its rank over its out-weight, one join meets them with the weights, one
-    aggregation by target sums up. Only two scalars per round reach the driver (dangling mass
-    and the L1 change). Tables of superseded rounds are deleted.
+    aggregation by target sums up. Rounds run on as many partitions as the graph fills with
+    ``ROWS_PER_TASK``, at most the session's, so that a small graph's many rounds do not consist of
+    starting tasks. Only two scalars per round reach the driver (dangling mass and the L1 change).
+    Tables of superseded rounds are deleted.
     """
     spark = g.edges.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = cut_lineage(g.edges.where(F.col("source_id").isNotNull())
                     .groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("w")))
-    hot = F.broadcast(hubs.hot_nodes(w, "source_id", tasks))
+    nodes = cut_lineage(g.all_vertices)
+    rows = max(w.count(), nodes.count())
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK) or 1)
+    with shuffle_partitions(spark, tasks):
+        result = _pagerank_rounds(w, nodes, tasks, alpha, max_iter, tol, checkpoint_interval, fail_on_no_convergence)
+    release(w, nodes)
+    return result
+
+
+def _pagerank_rounds(w: DataFrame, nodes: DataFrame, tasks: int, alpha: float, max_iter: int, tol: float | None,
+                     checkpoint_interval: int, fail_on_no_convergence: bool) -> DataFrame:
+    """The rounds of ``pagerank`` over collapsed edges (source_id, target_id, w) and vertices (id)."""
+    hot = F.broadcast(cut_lineage(hubs.hot_nodes(w, "source_id", tasks)))
     trans = _persist(_dealt_by_source(w, hot, tasks))
     out_w = w.groupBy(F.col("source_id").alias("id")).agg(F.sum("w").alias("out_w"))
-    verts = cut_lineage(g.all_vertices.join(out_w, "id", "left")
+    verts = cut_lineage(nodes.join(out_w, "id", "left")
                         .join(hot.withColumnRenamed("source_id", "id"), "id", "left")
                         .select("id", "out_w", "_copies"))
     n, dangling = verts.agg(F.count(F.lit(1)), F.count(F.when(F.col("out_w").isNull(), 1))).first()
     if n == 0:
         trans.unpersist()
-        return verts.select("id", F.lit(0.0).alias("pagerank"))
+        return cut_lineage(verts.select("id", F.lit(0.0).alias("pagerank")))
     state, dangling_mass = verts.withColumn("pagerank", F.lit(1.0 / n)), dangling / n
     previous, written = None, verts
     for it in range(1, max_iter + 1):
@@ -121,7 +138,7 @@ def pagerank(g: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float | No
     if previous is not None:
         previous.unpersist()
     trans.unpersist()
-    release(w, written)
+    release(written)
     return result
 
 
@@ -319,27 +336,29 @@ def relational_sum_changes(edges: DataFrame, features: DataFrame, nodes: DataFra
     return every.select("id", "snapshot_idx", "pos", F.sum("v").over(upto("id", "pos")).alias("value"))
 
 
-def _relation_blocks(edges: DataFrame, cur: DataFrame, relations: Sequence[str], dim: int) -> DataFrame:
-    """id, one mean-of-sources vector per relation (zeros where a node has no in-edge)."""
-    m = relational_mean(edges, cur, "vec")
-    out = cur.select("id")
-    for r in relations:
-        out = out.join(m.where(F.col("relation") == r).select("id", F.col("vec").alias(f"r_{r}")),
-                       "id", "left")
-    return out.select("id", *[F.coalesce(F.col(f"r_{r}"), vec.zeros(dim)).alias(f"r_{r}")
-                              for r in relations])
+def _relation_blocks(edges: DataFrame, cur: DataFrame, relations: Sequence[str]) -> DataFrame:
+    """id, vec and one mean-of-sources vector per relation, ``r_<relation>`` (zeros where a node
+    has no in-edge)."""
+    m = relational_mean(edges.where(F.col("relation").isin(list(relations))), cur, "vec")
+    wide = m.groupBy("id").agg(*[F.first(F.when(F.col("relation") == r, F.col("vec")), ignorenulls=True).alias(f"r_{r}")
+                                 for r in relations])
+    none = F.transform("vec", lambda x: F.lit(0.0))
+    return cur.join(wide, "id", "left").select(
+        "id", "vec", *[F.coalesce(F.col(f"r_{r}"), none).alias(f"r_{r}") for r in relations])
+
+
+def _root_sum(relations: Sequence[str]) -> Column:
+    """A node's own vector plus its relation blocks."""
+    return F.aggregate(F.array(*[F.col(f"r_{r}") for r in relations]), F.col("vec"), lambda acc, x: vec.add(acc, x))
 
 
 def rgcn_propagate(features: DataFrame, edges: DataFrame, relations: Sequence[str],
                    vec_col: str = "vec") -> DataFrame:
-    """H7 with identity weights: h_v = x_v + sum_r mean_{u -> v in r} x_u. Returns id, vec."""
-    dim = features.select(F.size(vec_col).alias("d")).first()["d"]
-    cur = features.select("id", F.col(vec_col).cast("array<double>").alias("vec"))
-    blocks = _relation_blocks(edges, cur, relations, dim)
-    j = cur.join(blocks, "id")
-    total = F.aggregate(F.array(*[F.col(f"r_{r}") for r in relations]), F.col("vec"),
-                        lambda acc, x: vec.add(acc, x))
-    return j.select("id", total.alias("vec"))
+    """H7 with identity weights: h_v = x_v + sum_r mean_{u -> v in r} x_u. Returns id, vec.
+
+    The features are written once, because both the messages and a node's own term read them."""
+    cur = cut_lineage(features.select("id", F.col(vec_col).cast("array<double>").alias("vec")))
+    return _relation_blocks(edges, cur, relations).select("id", _root_sum(relations).alias("vec"))
 
 
 def stacked_neighbour_features(features: DataFrame, edges: DataFrame, relations: Sequence[str],
@@ -348,20 +367,17 @@ def stacked_neighbour_features(features: DataFrame, edges: DataFrame, relations:
 
     features = [x, mean_r(x) for r, mean_r(h1) for r, ...] with h1 = rgcn_propagate(x):
     what a two-layer relational GCN sees, computed once as Spark joins so that any Spark ML
-    classifier can be trained on it. Returns id, features (array<double>).
+    classifier can be trained on it. Each hop reads the written blocks of the hop before.
+    Returns id, features (array<double>).
     """
-    dim = features.select(F.size(vec_col).alias("d")).first()["d"]
-    cur = features.select("id", F.col(vec_col).cast("array<double>").alias("vec"))
+    edges = cut_lineage(edges.select("source_id", "relation", "target_id"))
+    cur = cut_lineage(features.select("id", F.col(vec_col).cast("array<double>").alias("vec")))
     out = cur.select("id", F.col("vec").alias("features"))
     for h in range(1, hops + 1):
-        blocks = cut_lineage(_relation_blocks(edges, cur, relations, dim))
-        out = out.join(blocks, "id").select(
+        blocks = cut_lineage(_relation_blocks(edges, cur, relations))
+        out = out.join(blocks.drop("vec"), "id").select(
             "id", F.concat(F.col("features"), *[F.col(f"r_{r}") for r in relations]).alias("features"))
-        if h < hops:
-            j = cur.join(blocks, "id")
-            total = F.aggregate(F.array(*[F.col(f"r_{r}") for r in relations]), F.col("vec"),
-                                lambda acc, x: vec.add(acc, x))
-            cur = cut_lineage(j.select("id", total.alias("vec")))
+        cur = blocks.select("id", _root_sum(relations).alias("vec"))
     return out
 
 

@@ -128,3 +128,24 @@ def test_query_matches_oracle(spark, name):
     df = ent.queries()[name](spark, SF_SMOKE)
     res = duck.execute(ent.oracle_sql()[name])
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon([d[0] for d in res.description], res.fetchall())
+
+
+def test_pagerank_rounds_run_on_as_many_partitions_as_the_graph_fills(spark, micro, monkeypatch):
+    seen, deal = [], gr._dealt_by_source
+
+    def dealt(w, hot, tasks):
+        seen.append(tasks)
+        return deal(w, hot, tasks)
+
+    monkeypatch.setattr(gr, "_dealt_by_source", dealt)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    g = gr.build_graph(micro["users"], micro["edges"], ["following", "followers"])
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        one = {r.id: r.pagerank for r in gr.pagerank(g, max_iter=3, tol=None).collect()}
+        assert seen == [1] and spark.conf.get("spark.sql.shuffle.partitions") == "40"
+        monkeypatch.setattr(gr, "ROWS_PER_TASK", 1)
+        many = {r.id: r.pagerank for r in gr.pagerank(g, max_iter=3, tol=None).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[1] > 1 and many == pytest.approx(one)
