@@ -222,11 +222,12 @@ def train_and_score(features: DataFrame, labels: DataFrame, splits: DataFrame,
     """I8 + I10 + I13: fit one model per grid point on the training split with D20 class
     weights, pick the best by the I10 score on validation, score every node.
 
-    ``features``: id, features (array); ``labels``: id, y; ``splits``: id, split.
+    The joined rows are written once: every fit, the validation of every grid point and the
+    scoring read them. ``features``: id, features (array); ``labels``: id, y; ``splits``: id, split.
     Returns (scores: id, y, split, prediction, p_bot, logits; validation metrics per grid point).
     """
-    data = (features.join(labels, "id").join(splits, "id")
-            .withColumn("features_vec", array_to_vector("features")))
+    data = cut_lineage(features.join(labels, "id").join(splits, "id"))
+    data = data.withColumn("features_vec", array_to_vector("features"))
     w = agg.class_weights(data.where(F.col("split") == "train"), "y").first()
     data = data.withColumn("weight", F.when(F.col("y") == 1, F.lit(w["w_bot"]))
                            .otherwise(F.lit(w["w_human"])))

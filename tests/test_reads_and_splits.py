@@ -147,3 +147,12 @@ def test_run_log_keeps_corrupt_entries_apart(spark):
     good, corrupt = sinks.read_run_log(spark, path)
     assert sorted((r.version_name, r.config["k"]) for r in good.collect()) == [("v0", "0"), ("v1", "1"), ("v2", "2")]
     assert sorted(r.entry for r in corrupt.collect()) == ["not json", '{"config": {}}']
+
+
+def test_classifier_reads_written_rows(spark):
+    """Fits, validation and scoring read one written table, not the joins behind it."""
+    rows = [(f"u{k}", [float(k % 3), float(k % 2)], k % 2, "val" if k % 5 == 0 else "train") for k in range(40)]
+    df = spark.createDataFrame(rows, "id string, features array<double>, y int, split string")
+    scored, metrics = ml.train_and_score(df.select("id", "features"), df.select("id", "y"), df.select("id", "split"), grid=[{"reg": 0.1}])
+    assert "Join" not in plan(scored) and "Exchange" not in plan(scored)
+    assert scored.count() == 40 and all(r.prediction == r.y for r in scored.collect()) and metrics.count() == 1
