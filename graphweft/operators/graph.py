@@ -19,7 +19,7 @@ from graphweft.functions import vectors as vec
 from graphweft.functions.random import uniform
 from graphweft.operators import aggregates as agg
 from graphweft.operators import hubs
-from graphweft.session import cut_lineage, release, shuffle_partitions
+from graphweft.session import ROWS_PER_TASK, cut_lineage, release, rounds_on, shuffle_partitions, tasks_for
 
 
 @dataclass
@@ -54,10 +54,6 @@ def _persist(df: DataFrame) -> DataFrame:
 
 # --- H1 PageRank ------------------------------------------------------------------------
 
-#: edges or vertices that a task of a round holds at least, unless the session has fewer partitions
-ROWS_PER_TASK = 100_000
-
-
 def _dealt_by_source(w: DataFrame, hot: DataFrame, tasks: int) -> DataFrame:
     """Weights of edges in the partitions of their source's copies: id, _copy, target_id, w."""
     return (hubs.deal(w, hot, "source_id", ["target_id"])
@@ -85,8 +81,7 @@ def pagerank(g: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float | No
     w = cut_lineage(g.edges.where(F.col("source_id").isNotNull())
                     .groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("w")))
     nodes = cut_lineage(g.all_vertices)
-    rows = max(w.count(), nodes.count())
-    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK) or 1)
+    tasks = tasks_for(spark, max(w.count(), nodes.count()), ROWS_PER_TASK)
     with shuffle_partitions(spark, tasks):
         result = _pagerank_rounds(w, nodes, tasks, alpha, max_iter, tol, checkpoint_interval, fail_on_no_convergence)
     release(w, nodes)
@@ -171,8 +166,16 @@ def connected_components(g: Graph, max_iter: int = 200, checkpoint_interval: int
     when a round leaves the edge set unchanged (count and order-free hash). Isolated
     vertices are their own component. Returns id, component.
     """
-    e = _persist(g.undirected())
+    spark, e = g.edges.sparkSession, _persist(g.undirected())
     last = _checksum(e)
+    with rounds_on(spark, tasks_for(spark, 2 * last[0])):
+        labelled = _star_rounds(e, last, max_iter, checkpoint_interval)
+    return (g.all_vertices.join(labelled, "id", "left")
+            .select("id", F.coalesce(F.col("component"), F.col("id")).alias("component")))
+
+
+def _star_rounds(e: DataFrame, last: tuple, max_iter: int, checkpoint_interval: int) -> DataFrame:
+    """The rounds of ``connected_components`` over persisted edges (a, b), a < b, and their checksum."""
     for it in range(1, max_iter + 1):
         # large star: every neighbour larger than u links to min(N(u) + u)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -203,8 +206,7 @@ def connected_components(g: Graph, max_iter: int = 200, checkpoint_interval: int
     roots = e.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
     labelled = cut_lineage(comp.unionByName(roots).groupBy("id").agg(F.min("component").alias("component")))
     e.unpersist()
-    return (g.all_vertices.join(labelled, "id", "left")
-            .select("id", F.coalesce(F.col("component"), F.col("id")).alias("component")))
+    return labelled
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
@@ -410,6 +412,9 @@ def modularity(ew: DataFrame, communities: DataFrame, resolution: float = 1.0) -
     return (t["l"] or 0.0) / m - resolution * (t["kk"] or 0.0) / (m * m)
 
 
+#: rows that a task of Louvain's rounds holds at least: each task's figures go to the driver, in every round
+MOVED_ROWS_PER_TASK = 250_000
+
 #: rounds in a row that lose modularity after which a level is settled; each of them moves half
 #: as many nodes at once as the one before, as moves at once can spoil each other's gains
 IDLE_ROUNDS = 3
@@ -421,6 +426,9 @@ SETTLED = 0.03
 def _move_round(state: DataFrame, nb: DataFrame, m: float, resolution: float, up: bool, share: Column) -> tuple[DataFrame, Row]:
     """One round of moves from ``state`` (id, community, before, kout, kin, waiting).
 
+    ``nb`` (i, j, w) lies in partitions by i and stays there: nodes meet their edges, and moved
+    nodes their neighbours, in place, by hash tables of the nodes of a partition.
+
     Looked at are nodes that wait, nodes that moved in the round before and their neighbours.
     Each goes to the neighbouring community of best directed modularity gain (ties: smallest
     id), but to larger community ids only (``up``) or to smaller ones only, so that two nodes
@@ -429,15 +437,18 @@ def _move_round(state: DataFrame, nb: DataFrame, m: float, resolution: float, up
     ``waits``, ``product`` (the sum of kout * kin over communities) and ``inside``, the weight
     within communities that the moves of the round *before* added.
     """
+    def by_hash(rows: DataFrame) -> DataFrame:  # one row for each key: no side has to be sorted
+        return rows.hint("shuffle_hash")
+
     state = state.drop("inside")
-    changed = state.where(F.col("community") != F.col("before")).select(F.col("id").alias("j"))
-    look = (state.where("waiting").select("id").unionByName(changed.select(F.col("j").alias("id")))
-            .unionByName(nb.join(changed, "j", "left_semi").select(F.col("i").alias("id"))).distinct())
+    changed = state.where(F.col("community") != F.col("before")).select(F.col("id").alias("i"))
+    look = (state.where("waiting").select("id").unionByName(changed.select(F.col("i").alias("id")))
+            .unionByName(nb.join(by_hash(changed), "i", "left_semi").select(F.col("j").alias("id"))).distinct())
     node = ["i", "own", "was", "kout", "kin"]
-    active = state.join(look, "id").select(F.col("id").alias("i"), F.col("community").alias("own"),
+    active = state.join(by_hash(look), "id").select(F.col("id").alias("i"), F.col("community").alias("own"),
                                            F.col("before").alias("was"), "kout", "kin")
     other = state.select(F.col("id").alias("j"), F.col("community").alias("c"), F.col("before").alias("c_was"))
-    ends = nb.join(active, "i").join(other, "j")
+    ends = nb.join(by_hash(active), "i").join(by_hash(other), "j")
     # an edge whose ends both moved is met from both of them
     half = F.when(F.col("c") != F.col("c_was"), 0.5).otherwise(1.0)
     more = (F.col("own") == F.col("c")).cast("double") - (F.col("was") == F.col("c_was")).cast("double")
@@ -446,7 +457,7 @@ def _move_round(state: DataFrame, nb: DataFrame, m: float, resolution: float, up
              .unionByName(active.select(*node, F.col("own").alias("c"), F.lit(0.0).alias("w"), F.lit(0.0).alias("inside")))
              .groupBy(*node, "c").agg(F.sum("w").alias("w_ic"), F.sum("inside").alias("inside")))
     tot = state.groupBy(F.col("community").alias("c")).agg(F.sum("kout").alias("t_out"), F.sum("kin").alias("t_in"))
-    cand = links.join(tot, "c")
+    cand = links.join(by_hash(tot), "c")
     is_own = F.col("c") == F.col("own")
     t_out = F.col("t_out") - F.when(is_own, F.col("kout")).otherwise(F.lit(0.0))
     t_in = F.col("t_in") - F.when(is_own, F.col("kin")).otherwise(F.lit(0.0))
@@ -459,7 +470,7 @@ def _move_round(state: DataFrame, nb: DataFrame, m: float, resolution: float, up
     least = F.col("g0") + F.lit(1e-12)
     goes, waits = F.coalesce(-F.col("ok.loss") > least, F.lit(False)), -F.col("any.loss") > least
     marks = best.select("i", F.when(goes, F.col("ok.c")).alias("new_c"), (waits & ~goes).alias("waits"), "inside")
-    after = cut_lineage(state.join(marks, F.col("id") == F.col("i"), "left").select(
+    after = cut_lineage(state.join(by_hash(marks), F.col("id") == F.col("i"), "left").select(
         "id", F.coalesce("new_c", "community").alias("community"), F.col("community").alias("before"), "kout", "kin",
         F.coalesce("waits", F.lit(False)).alias("waiting"), "inside"))
     per = after.groupBy("community").agg(
@@ -470,7 +481,7 @@ def _move_round(state: DataFrame, nb: DataFrame, m: float, resolution: float, up
 
 
 def _local_moving(ew: DataFrame, m: float, resolution: float, seed: int, level: int, threshold: float,
-                  settled: float) -> tuple[DataFrame, float]:
+                  settled: float, tasks: int) -> tuple[DataFrame, float]:
     """One Louvain level: rounds of moves until no node is left to look at, or until two rounds in
     a row (one to each side) gain less than the share ``settled`` of what the level has gained.
 
@@ -484,9 +495,11 @@ def _local_moving(ew: DataFrame, m: float, resolution: float, seed: int, level:
     degree = ends.groupBy("id").agg(F.sum("o").alias("kout"), F.sum("i").alias("kin"))
     # undirected neighbour weights, self-loops excluded (they move with the node)
     arcs = ew.where(F.col("src") != F.col("dst"))
-    nb = cut_lineage(arcs.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
-                     .unionByName(arcs.select(F.col("dst").alias("i"), F.col("src").alias("j"), "w"))
-                     .groupBy("i", "j").agg(F.sum("w").alias("w")))
+    both = cut_lineage(arcs.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
+                       .unionByName(arcs.select(F.col("dst").alias("i"), F.col("src").alias("j"), "w"))
+                       .groupBy("i", "j").agg(F.sum("w").alias("w")))
+    nb = _persist(both.repartition(tasks, "i"))
+    nb.count()  # where its rows lie is known to plans once they are there
     base = cut_lineage(degree.select("id", F.col("id").alias("community"), F.col("id").alias("before"), "kout", "kin",
                                      F.lit(True).alias("waiting")))
     product = base.agg(F.sum(F.col("kout") * F.col("kin"))).first()[0] or 0.0
@@ -515,7 +528,8 @@ def _local_moving(ew: DataFrame, m: float, resolution: float, seed: int, level:
         else:
             release(after)
             break
-    release(nb)
+    nb.unpersist()
+    release(both)
     return base.select("id", "community"), gained
 
 
@@ -535,18 +549,21 @@ def louvain(g: Graph, resolution: float = 1.0, seed: int = 42, threshold: float
     mapping = cut_lineage(g.all_vertices.select("id", F.col("id").alias("community")))
     ew = cut_lineage(weighted_edges(g.edges))
     m = ew.agg(F.sum("w")).first()[0] or 0.0
-    level = 0
+    spark, nodes, level = ew.sparkSession, mapping.count(), 0
     while m > 0:
-        comm, gained = _local_moving(ew, m, resolution, seed, level, threshold, settled)
-        if gained <= threshold:
-            break
-        named = comm.select(F.col("id").alias("community"), F.col("community").alias("c2"))
-        old, mapping = mapping, cut_lineage(mapping.join(named, "community", "left").select(
-            "id", F.coalesce("c2", "community").alias("community")))
-        old_ew, ew = ew, cut_lineage(
-            ew.join(comm.select(F.col("id").alias("src"), F.col("community").alias("cs")), "src")
-            .join(comm.select(F.col("id").alias("dst"), F.col("community").alias("cd")), "dst")
-            .groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")))
+        tasks = tasks_for(spark, max(nodes, 2 * ew.count()), MOVED_ROWS_PER_TASK)
+        with rounds_on(spark, tasks):
+            comm, gained = _local_moving(ew, m, resolution, seed, level, threshold, settled, tasks)
+            if gained <= threshold:
+                break
+            named = comm.select(F.col("id").alias("community"), F.col("community").alias("c2"))
+            old, mapping = mapping, cut_lineage(mapping.join(named, "community", "left").select(
+                "id", F.coalesce("c2", "community").alias("community")))
+            old_ew, ew = ew, cut_lineage(
+                ew.join(comm.select(F.col("id").alias("src"), F.col("community").alias("cs")), "src")
+                .join(comm.select(F.col("id").alias("dst"), F.col("community").alias("cd")), "dst")
+                .groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")))
+            nodes = comm.select("community").distinct().count()
         release(old, old_ew)
         level += 1
     # name each community by its smallest member

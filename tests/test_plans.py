@@ -2,6 +2,7 @@
 
 from graphweft.operators import aggregates as agg
 from graphweft.operators import features as ft
+from graphweft.operators import graph as gr
 from graphweft.operators import relational as rel
 from graphweft.sources import driver_tables as dt
 from tests.conftest import SF_SMOKE
@@ -27,3 +28,20 @@ def test_relation_filter_reaches_the_parquet_scan(spark, tmp_path):
     dt.edges(spark, SF_SMOKE).write.parquet(path)
     p = plan(rel.relation_filter(spark.read.parquet(path), ["following", "followers"]))
     assert "PushedFilters" in p and "In(relation, [followers,following])" in p
+
+
+def test_rounds_of_louvain_and_components_send_the_driver_no_tables(spark, monkeypatch):
+    seen = []
+
+    def recorded(df, write=gr.cut_lineage):
+        seen.append(plan(df))
+        return write(df)
+
+    edges = spark.createDataFrame([(f"n{k}", "r", f"n{k // 2}") for k in range(40)], "source_id string, relation string, target_id string")
+    g = gr.Graph(spark.createDataFrame([(f"n{k}",) for k in range(41)], "id string"), edges)
+    monkeypatch.setattr(gr, "cut_lineage", recorded)
+    conf = dict(spark.sparkContext._conf.getAll()), spark.conf.get("spark.sql.adaptive.enabled")
+    assert gr.louvain(g).count() == gr.connected_components(g).count() == 41
+    assert sum("Join" in p for p in seen) > 5 and not any("Broadcast" in p for p in seen)
+    assert conf == (dict(spark.sparkContext._conf.getAll()), spark.conf.get("spark.sql.adaptive.enabled"))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
