@@ -4,6 +4,7 @@ from graphweft.operators import aggregates as agg
 from graphweft.operators import features as ft
 from graphweft.operators import graph as gr
 from graphweft.operators import relational as rel
+from graphweft.operators import sampling as sp
 from graphweft.sources import driver_tables as dt
 from tests.conftest import SF_SMOKE
 
@@ -45,3 +46,19 @@ def test_rounds_of_louvain_and_components_send_the_driver_no_tables(spark, monke
     assert sum("Join" in p for p in seen) > 5 and not any("Broadcast" in p for p in seen)
     assert conf == (dict(spark.sparkContext._conf.getAll()), spark.conf.get("spark.sql.adaptive.enabled"))
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+
+
+def test_levels_of_the_snowball_send_the_driver_no_tables(spark, monkeypatch):
+    seen = []
+
+    def recorded(df, write=sp.cut_lineage):
+        seen.append(plan(df))
+        return write(df)
+
+    edges = spark.createDataFrame([(f"n{k}", "following", f"n{k // 2}") for k in range(40)], "source_id string, relation string, target_id string")
+    users = spark.createDataFrame([(f"n{k}", "bot" if k % 5 == 0 else "human", k % 4) for k in range(40)], "id string, label string, degree int")
+    monkeypatch.setattr(sp, "cut_lineage", recorded)
+    sample = sp.snowball(users.where("id = 'n0'").select("id"), users, edges, 30, max_per_node=2)
+    assert sample.count() == len({r.id for r in sample.collect()}) > 10
+    levels = [p for p in seen if "Window" in p]
+    assert len(levels) > 2 and not any("Broadcast" in p for p in levels)
