@@ -56,6 +56,15 @@ def to_long(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
     return df.select(*keys, F.posexplode(vec).alias("pos", "value"))
 
 
+def flat_columns(dim: int) -> list[str]:
+    return [f"_e{k}" for k in range(dim)]
+
+
+def flat(df: DataFrame, keys: Sequence[str], vec: str, dim: int) -> DataFrame:
+    """(keys..., vec) -> (keys..., a double column for each of ``dim`` elements)."""
+    return df.select(*keys, *[F.get(F.col(vec), F.lit(k)).cast("double").alias(c) for k, c in enumerate(flat_columns(dim))])
+
+
 def from_long(df: DataFrame, keys: Sequence[str], value: str = "value", out: str = "vec") -> DataFrame:
     """(keys..., pos, value) -> (keys..., vec) with elements in pos order."""
     return (df.groupBy(*keys)

@@ -298,7 +298,10 @@ def relational_sum_changes(edges: DataFrame, features: DataFrame, nodes: DataFra
 
     ``edges`` (source_id, relation, target_id, first_snapshot), ``features`` (id, vec of ``dim``),
     ``nodes`` (id, first_snapshot). A pair sends its scaled vector only when its weight changes.
+    Running sums are taken of whole rows, with a column for each element, and only the result has a
+    row for each, so that no sort or hash table of a task holds ``dim`` rows for a vector.
     """
+    at_pos = vec.flat_columns(dim)
     at = F.col("first_snapshot").cast("bigint").alias("snapshot_idx")
     e = edges.where(F.col("first_snapshot").isNotNull()).select(
         F.col("source_id").alias("row"), "relation", F.col("target_id").alias("col"), at)
@@ -325,17 +328,18 @@ def relational_sum_changes(edges: DataFrame, features: DataFrame, nodes: DataFra
     x = features.select(F.col("id").alias("col"), F.col(vec_col).alias("x"))
     sent = steps.join(x, "col").select("row", "relation", "snapshot_idx", vec.scale(F.col("x"), F.col("w")).alias("vec"))
     sums = vec.sum_by(sent, ["row", "relation", "snapshot_idx"], "vec").withColumn("d", F.lit(None).cast("bigint"))
-    key, long = ["row", "relation", "pos"], ["row", "relation", "snapshot_idx", "d"]
+    key, long = ["row", "relation"], ["row", "relation", "snapshot_idx", "d"]
     both = sums.select(*long, "vec").unionByName(degree.select(*long, vec.zeros(dim).alias("vec")))
-    both = (both.select(*long, F.posexplode("vec").alias("pos", "s"))
-            .groupBy(*key, "snapshot_idx").agg(F.sum("s").alias("s"), F.max("d").alias("d")))
-    total = F.sum("s").over(upto(*key)) * F.coalesce(F.pow(F.last("d", True).over(upto(*key)), -0.5), F.lit(0.0))
-    both = both.select(*key, "snapshot_idx", total.alias("v"))
-    both = both.select(F.col("row").alias("id"), "snapshot_idx", "pos", change(F.col("v"), *key).alias("v"))
-    own = (nodes.where(F.col("first_snapshot").isNotNull()).select("id", at).join(features, "id")
-           .select("id", "snapshot_idx", F.posexplode(F.col(vec_col).cast("array<double>")).alias("pos", "v")))
-    every = own.unionByName(both).groupBy("id", "snapshot_idx", "pos").agg(F.sum("v").alias("v"))
-    return every.select("id", "snapshot_idx", "pos", F.sum("v").over(upto("id", "pos")).alias("value"))
+    both = (vec.flat(both, long, "vec", dim).groupBy(*key, "snapshot_idx")
+            .agg(*[F.sum(c).alias(c) for c in at_pos], F.max("d").alias("d")))
+    root = F.coalesce(F.pow(F.last("d", True).over(upto(*key)), -0.5), F.lit(0.0))
+    both = both.select(*key, "snapshot_idx", *[(F.sum(c).over(upto(*key)) * root).alias(c) for c in at_pos])
+    both = both.select(F.col("row").alias("id"), "snapshot_idx", *[change(F.col(c), *key).alias(c) for c in at_pos])
+    born = nodes.where(F.col("first_snapshot").isNotNull()).select("id", at)
+    own = vec.flat(born.join(features.where(F.col(vec_col).isNotNull()), "id"), ["id", "snapshot_idx"], vec_col, dim)
+    every = own.unionByName(both).groupBy("id", "snapshot_idx").agg(*[F.sum(c).alias(c) for c in at_pos])
+    total = every.select("id", "snapshot_idx", *[F.sum(c).over(upto("id")).alias(c) for c in at_pos])
+    return total.select("id", "snapshot_idx", F.posexplode(F.array(*at_pos)).alias("pos", "value"))
 
 
 def _relation_blocks(edges: DataFrame, cur: DataFrame, relations: Sequence[str]) -> DataFrame:

@@ -62,3 +62,12 @@ def test_levels_of_the_snowball_send_the_driver_no_tables(spark, monkeypatch):
     assert sample.count() == len({r.id for r in sample.collect()}) > 10
     levels = [p for p in seen if "Window" in p]
     assert len(levels) > 2 and not any("Broadcast" in p for p in levels)
+
+
+def test_running_sums_of_all_snapshots_keep_vectors_whole(spark):
+    edges = spark.createDataFrame([("a", "r", "b", 1), ("b", "r", "a", 2)], "source_id string, relation string, target_id string, first_snapshot int")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "id string, vec array<double>")
+    nodes = spark.createDataFrame([("a", 0), ("b", 0)], "id string, first_snapshot int")
+    p = plan(gr.relational_sum_changes(edges, vectors, nodes, dim=2))
+    # one row for each element only at the very end, above all sorts and shuffles
+    assert p.count("Generate posexplode") == 1 and p.index("Generate posexplode") < min(p.index("Sort ["), p.index("Exchange"))
