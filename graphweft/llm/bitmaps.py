@@ -6,7 +6,6 @@ through that was put in; what else passes is found out by the join that follows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,16 +50,14 @@ def columns(rows: DataFrame) -> list[Column]:
 
 def split(rows: DataFrame, keys: DataFrame, on: list[str], bits: int = 24) -> tuple[DataFrame, DataFrame]:
     """Rows whose columns ``on`` are certainly not among ``keys``' columns of those names, and
-    all others, which a join with ``keys`` has to tell apart. So the first need not be moved."""
+    all others, which a join with ``keys`` has to tell apart. So the first need not be moved, and
+    Python sees a hash of each row's key only."""
     code = F.xxhash64(*[F.struct(c) for c in on])
     shared = rows.sparkSession.sparkContext.broadcast(bitmap(keys, code, bits))
 
-    def part(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = shared.value.has(batch.column("__key").to_numpy(zero_copy_only=False))
-                yield batch.filter(pa.array(hit == want))
-        return run
+    @F.arrow_udf("boolean")
+    def maybe(key: pa.Array) -> pa.Array:
+        return pa.array(shared.value.has(key.to_numpy(zero_copy_only=False)))
 
-    marked = rows.select(code.alias("__key"), F.struct(*columns(rows)).alias("__row"))
-    return tuple(marked.mapInArrow(part(want), marked.schema).select("__row.*") for want in (False, True))
+    hit = maybe(code)
+    return rows.filter(~hit), rows.filter(hit)

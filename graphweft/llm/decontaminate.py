@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from graphweft.llm import words as W
 from graphweft.llm.bitmaps import bitmap, columns, split
-from graphweft.session import cut_lineage
+from graphweft.session import cut_lineage, text_batches
 
 
 @dataclass(frozen=True)
@@ -208,7 +208,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, params: DecontaminationPar
     rows = documents.select(own_id, F.col("text").alias("__text"))
     words, seeds = (T.StructField(n, T.ArrayType(T.LongType())) for n in ("doc_words", "seeds"))
     reduced = rows.mapInArrow(_reduced(shared, ["row"], p), T.StructType([rows.schema["row"], words, seeds]))
-    reduced = cut_lineage(reduced.withColumn("doc", F.monotonically_increasing_id()))
+    with text_batches(documents.sparkSession):
+        reduced = cut_lineage(reduced.withColumn("doc", F.monotonically_increasing_id()))
     doc_seeds = reduced.select("doc", F.explode("seeds").alias("own"))
     met = doc_seeds.join(item_seeds, F.col("own") == F.col("seed"))
     # t tiles that cover m words hold m - t (min_match - 1) of the item's seeds, which is

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphweft.llm import words as W
-from graphweft.llm.bitmaps import columns
+from graphweft.llm.bitmaps import columns, split
+from graphweft.session import cut_lineage, text_batches
 
 
 @dataclass(frozen=True)
@@ -239,7 +240,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language is rejected go, all others stay unchanged."""
+    """Pipeline stage: documents whose language is rejected go, all others stay unchanged.
+
+    Tasks send Python the texts alone, and only rows that a fixed-size filter of the rejected ids
+    lets through are moved to meet them.
+    """
     model = fit(docs)
-    rows = docs.select(F.struct(*columns(docs)).alias("__row"), "text")
-    return predict(rows, model, keep=["__row"]).filter(~F.col("rejected")).select("__row.*")
+    keyed = docs.select(F.xxhash64("text").alias("__hash"), *columns(docs))
+    scored = predict(keyed, model, keep=["doc_id", "__hash"])
+    with text_batches(spark):
+        rejected = cut_lineage(scored.filter("rejected").select("doc_id", "__hash").distinct())
+    rest, some = split(keyed, rejected, ["doc_id", "__hash"])
+    gone = rejected.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h"))
+    some = some.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_anti")
+    return rest.unionByName(some).select(*columns(docs))

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from graphweft.llm import words as W
 from graphweft.llm.bitmaps import bitmap, columns, split
 from graphweft.llm.components import components, spanning_stars
-from graphweft.session import cut_lineage
+from graphweft.session import cut_lineage, text_batches
 
 
 @dataclass(frozen=True)
@@ -194,7 +194,8 @@ def shingle_sets(ids: DataFrame, documents: DataFrame, p: MinHashParams) -> Data
     wanted = bitmap(ids, F.col("id").bitwiseXOR(F.shiftright("id", 24)), p.filter_bits)
     shared = documents.sparkSession.sparkContext.broadcast(wanted)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    return cut_lineage(texts.mapInArrow(_set_rows(shared, p), "id bigint, members array<bigint>"))
+    with text_batches(documents.sparkSession):
+        return cut_lineage(texts.mapInArrow(_set_rows(shared, p), "id bigint, members array<bigint>"))
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, params: MinHashParams | None = None) -> DataFrame:
@@ -362,7 +363,8 @@ def near_duplicates(documents: DataFrame, params: MinHashParams | None = None) -
     """doc_id, n_shingles, component_id, kept and text_hash of every row of ``documents``
     (doc_id, text)."""
     p = params or MinHashParams()
-    every = cut_lineage(sketches(documents, p))
+    with text_batches(documents.sparkSession):
+        every = cut_lineage(sketches(documents, p))
     full = every.filter("n_shingles > 0")
     classes = cut_lineage(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")))
     own = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "class_id")

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from graphweft.llm import words as W
 from graphweft.llm.bitmaps import columns, split
-from graphweft.session import cut_lineage
+from graphweft.session import cut_lineage, text_batches
 
 # Kinds in the order of results, the patterns of the base kinds, the least
 # length of what counts, and words that only examples hold.
@@ -178,7 +178,8 @@ def scan(documents: DataFrame, owner: str, repo: str, text: str = "text", keep:
     schema = T.StructType([rows.schema[c] for c in columns] + [
         T.StructField("base", T._parse_datatype_string(_SPAN)), T.StructField("values", T._parse_datatype_string(_VALUE))])
     # written once, with a number for each row: spans are put back to rows by it
-    scanned = cut_lineage(rows.mapInArrow(_scanner(columns, p), schema).withColumn("__row", F.monotonically_increasing_id()))
+    with text_batches(documents.sparkSession):
+        scanned = cut_lineage(rows.mapInArrow(_scanner(columns, p), schema).withColumn("__row", F.monotonically_increasing_id()))
     each = scanned.select("__row", "__owner", "__repo", F.explode("values").alias("v")).select(
         "__row", F.col("__owner").alias("owner"), F.col("__repo").alias("repo"), F.col("v.hash").alias("hash"),
         F.col("v.start").alias("start"), F.col("v.end").alias("end"))

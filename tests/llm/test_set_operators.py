@@ -5,10 +5,12 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphweft.llm import bitmaps, chat, components, minhash, mixing, vectors
+from graphweft.llm import bitmaps, chat, components, decontaminate, langid, minhash, mixing, vectors
+from graphweft.session import text_batches
 
 from .helpers import SCHEMA, rows_of, sentence
 
@@ -110,6 +112,29 @@ def test_pipeline_stage_links_from_080(spark, rng):
     assert left == {2 * k for k in range(30)} | {2 * k + 1 for k, x in enumerate(share) if x < 80}
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stages_send_python_no_whole_rows(spark, odd, tmp_path):
+    spark.createDataFrame([(1, "a benchmark item of some nine or ten words")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (langid.stage, minhash.stage, decontaminate.stage):
+        assert "MapInArrow" not in _plan(stage(spark, odd, str(tmp_path)))
+
+
+def test_text_batches_are_small_whatever_the_texts(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    texts = spark.range(0, 40, numPartitions=1).select(F.expr("repeat('x', 1000000)").alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with text_batches(spark):
+        found = [r.n for r in texts.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) == 40 and max(found) <= 6
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(4)
     p = minhash.MinHashParams()
