@@ -155,6 +155,45 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
 
 
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """States with a last column of ones, which the biases are the weights of."""
+    out = np.ones((len(states), states.shape[1] + 1), np.float32)
+    out[:, :-1] = states
+    return out
+
+
+#: the logits of a softmax may go so far apart that exp still has them in single precision
+_SPREAD = 60
+
+
+def _logit_table(w: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (softmax, input, symbol) with their biases as a last input, less a bound that no
+    logit exceeds, as states are within -1 and 1; and whether the largest logit of any state is
+    near enough to it, so that exp needs no maximum of each row."""
+    reach = np.abs(w).sum(axis=1)
+    top = (bias + reach).max(axis=1, keepdims=True)
+    safe = top - (bias - reach).max(axis=1, keepdims=True) < _SPREAD
+    return np.concatenate([w, (bias - top)[:, None]], axis=1), safe[:, 0]
+
+
+def _logits(states: np.ndarray, table: np.ndarray, safe: bool) -> np.ndarray:
+    x = states @ table
+    if not safe:
+        x -= x.max(axis=1, keepdims=True)
+    return x
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _log_prob(states: np.ndarray, table: np.ndarray, safe: bool, target: np.ndarray) -> np.ndarray:
+    x = _logits(states, table, safe)
+    own = x[np.arange(len(target)), target]
+    np.exp(x, out=x)
+    return own - np.log(_row_sums(x))
+
+
 class Gru:
     """GRU with one-hot input and class-factored output; symbols are ordered by frequency
     within the vocabulary, and a class is a run of symbols."""
@@ -192,20 +231,18 @@ class Gru:
         """Natural log-probability of each target after its state."""
         place = self.place[targets]
         cls, rank = place // self.size, place % self.size
-        logits = states @ self.cls + self.cls_bias
-        top = logits.max(axis=1)
-        out = logits[np.arange(len(cls)), cls] - top
-        np.exp(logits - top[:, None], out=logits)
-        out -= np.log(logits.sum(axis=1))
         order = np.argsort(cls, kind="stable")
         cut = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
-        for k in range(self.n_classes):
-            at = order[cut[k]:cut[k + 1]]
-            if len(at):
-                own = states[at] @ self.out[k] + self.out_bias[k]
-                top = own.max(axis=1)
-                out[at] += own[np.arange(len(at)), rank[at]] - top
-                out[at] -= np.log(np.exp(own - top[:, None]).sum(axis=1))
+        mine, rank = _with_one(states[order]), rank[order]
+        own = np.empty(len(cls), np.float32)
+        table, safe = _logit_table(self.cls[None], self.cls_bias[None])
+        for lo in range(0, len(cls), 2048):  # logits of so many rows stay in a core's cache
+            own[lo:lo + 2048] = _log_prob(mine[lo:lo + 2048], table[0], safe[0], cls[order[lo:lo + 2048]])
+        tables, safe = _logit_table(self.out, self.out_bias)
+        for k in np.flatnonzero(np.diff(cut)):
+            own[cut[k]:cut[k + 1]] += _log_prob(mine[cut[k]:cut[k + 1]], tables[k], safe[k], rank[cut[k]:cut[k + 1]])
+        out = np.empty_like(own)
+        out[order] = own
         return out
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -248,46 +285,58 @@ class Gru:
 def _backward(m: Gru, xs, hs, caches, targets, resets) -> dict[str, np.ndarray]:
     """Gradients of the mean loss of one window (states are cut at its beginning)."""
     steps, lanes, d = len(xs), len(xs[0]), m.rec.shape[0]
-    states = np.concatenate(hs[1:])
+    states = _with_one(np.concatenate(hs[1:]))
     place = m.place[np.concatenate(targets)]
     cls, rank = place // m.size, place % m.size
     n = len(cls)
-    prob = states @ m.cls
-    prob += m.cls_bias
-    prob -= prob.max(axis=1, keepdims=True)
-    np.exp(prob, out=prob)
-    prob /= prob.sum(axis=1, keepdims=True) * np.float32(n)
-    prob[np.arange(n), cls] -= np.float32(1 / n)
-    g = {"cls": states.T @ prob, "cls_bias": prob.sum(axis=0), "out": {}, "inp": None}
-    back = prob @ m.cls.T
     order = np.argsort(cls, kind="stable")
     cut = np.searchsorted(cls[order], np.arange(m.n_classes + 1))
+    states, cls, rank = states[order], cls[order], rank[order]
+
+    def softmax(lo: int, hi: int, table: np.ndarray, safe: bool, target: np.ndarray) -> np.ndarray:
+        """Gradient of the mean loss by the logits."""
+        x = _logits(states[lo:hi], table, safe)
+        np.exp(x, out=x)
+        x /= (_row_sums(x) * np.float32(n))[:, None]
+        x[np.arange(hi - lo), target[lo:hi]] -= np.float32(1 / n)
+        return x
+
+    sorted_back = np.empty((n, d), np.float32)
+    by_class = np.zeros((d + 1, m.n_classes), np.float32)
+    table, safe = _logit_table(m.cls[None], m.cls_bias[None])
+    for lo in range(0, n, 2048):  # logits of so many rows stay in a core's cache
+        hi = min(n, lo + 2048)
+        x = softmax(lo, hi, table[0], safe[0], cls)
+        by_class += states[lo:hi].T @ x
+        np.matmul(x, m.cls.T, out=sorted_back[lo:hi])
+    tables, safe = _logit_table(m.out, m.out_bias)
+    within = np.zeros((m.n_classes, d + 1, m.size), np.float32)
     for k in np.flatnonzero(np.diff(cut)):
-        at = order[cut[k]:cut[k + 1]]
-        mine = states[at]
-        own = mine @ m.out[k]
-        own += m.out_bias[k]
-        own -= own.max(axis=1, keepdims=True)
-        np.exp(own, out=own)
-        own /= own.sum(axis=1, keepdims=True) * np.float32(n)
-        own[np.arange(len(at)), rank[at]] -= np.float32(1 / n)
-        g["out"][k] = (mine.T @ own, own.sum(axis=0))
-        back[at] += own @ m.out[k].T
+        lo, hi = cut[k], cut[k + 1]
+        x = softmax(lo, hi, tables[k], safe[k], rank)
+        np.matmul(states[lo:hi].T, x, out=within[k])
+        sorted_back[lo:hi] += x @ m.out[k].T
+    g = {"cls": by_class[:d], "cls_bias": by_class[d], "out": within[:, :d], "out_bias": within[:, d]}
+    back = np.empty_like(sorted_back)
+    back[order] = sorted_back
     back = back.reshape(steps, lanes, d)
-    g["rec"] = np.zeros_like(m.rec)
-    gate = np.zeros((steps, lanes, 3 * d), np.float32)
+    z, r, c, gc = (np.stack(x) for x in zip(*caches, strict=True))
+    h0 = np.stack(hs[:-1]) * np.stack(resets)[:, :, None]
+    to_c, to_z, to_r = (1 - z) * (1 - c * c), (h0 - c) * z * (1 - z), gc * r * (1 - r)
+    gate = np.empty((steps, lanes, 3 * d), np.float32)
+    through = np.empty_like(gate)  # what goes on to the previous state by the recurrent weights
     dh = np.zeros((lanes, d), np.float32)
+    rec_t = np.ascontiguousarray(m.rec.T)
     for t in range(steps - 1, -1, -1):
-        z, r, c, gc = caches[t]
-        h0 = hs[t] * resets[t][:, None]
-        dh = dh + back[t]
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (h0 - c) * z * (1 - z)
-        dr = dc * gc * r * (1 - r)
-        dg = np.concatenate([dz, dr, dc * r], axis=1)
-        gate[t] = np.concatenate([dz, dr, dc], axis=1)
-        g["rec"] += h0.T @ dg
-        dh = (dh * z + dg @ m.rec.T) * resets[t][:, None]
+        dh += back[t]
+        dc = dh * to_c[t]
+        gate[t, :, :d] = dh * to_z[t]
+        gate[t, :, d:2 * d] = dc * to_r[t]
+        gate[t, :, 2 * d:] = dc
+        through[t, :, :2 * d] = gate[t, :, :2 * d]
+        through[t, :, 2 * d:] = dc * r[t]
+        dh = (dh * z[t] + through[t] @ rec_t) * resets[t][:, None]
+    g["rec"] = h0.reshape(-1, d).T @ through.reshape(-1, 3 * d)
     g["inp"] = (np.concatenate(xs), gate.reshape(-1, 3 * d))
     return g
 
@@ -321,6 +370,16 @@ class Descent:
         w = getattr(self.m, name)
         w[at] -= np.float32(self.p.rate) * grad / np.sqrt(s[at])
 
+    def _update_each(self, name: str, grad: np.ndarray) -> None:
+        """The same for the weights of each class of its own; a gradient of 0 changes nothing."""
+        norm = np.sqrt((grad * grad).reshape(len(grad), -1).sum(axis=1, dtype=np.float64))
+        much = np.flatnonzero(norm > self.p.clip)
+        grad[much] *= (self.p.clip / norm[much]).astype(np.float32).reshape(-1, *[1] * (grad.ndim - 1))
+        s = self.square[name]
+        s += grad * grad
+        w = getattr(self.m, name)
+        w -= np.float32(self.p.rate) * grad / np.sqrt(s)
+
     def run(self, stream: np.ndarray) -> None:
         """One pass over documents that each end with the end symbol."""
         p, m = self.p, self.m
@@ -346,9 +405,8 @@ class Descent:
             self._update("cls", g["cls"])
             self._update("cls_bias", g["cls_bias"])
             self._update("rec", g["rec"])
-            for k, (w, b) in g["out"].items():
-                self._update("out", w, k)
-                self._update("out_bias", b, k)
+            self._update_each("out", g["out"])
+            self._update_each("out_bias", g["out_bias"])
             order = np.argsort(g["inp"][0], kind="stable")
             symbols, first = np.unique(g["inp"][0][order], return_index=True)
             self._update("inp", np.add.reduceat(g["inp"][1][order], first, axis=0), symbols)

@@ -220,6 +220,50 @@ def test_gru_probabilities_sum_to_one_and_do_not_depend_on_neighbours():
     assert together.sum() > untrained.score(docs).sum()  # descent helped
 
 
+@pytest.mark.parametrize("wide", [1, 400])
+def test_gru_softmax_needs_no_row_maximum_and_gradients_are_those_of_the_loss(wide):
+    p = lm.LmParams(hidden=3, classes=3, lanes=2)
+    m = lm.Gru(np.array([9.0, 5, 4, 3, 2, 2, 1, 1]), p)
+    m.cls *= wide  # at 400 logits go too far apart for one bound
+    m.out *= wide
+    tables, safe = lm._logit_table(m.out, m.out_bias)
+    assert (tables.shape, safe.all()) == ((3, 4, 3), wide == 1)
+    rng = np.random.default_rng(5)
+    for name in lm._WEIGHTS:
+        setattr(m, name, getattr(m, name).astype(np.float64))
+    xs, targets, keep = rng.integers(0, 8, (4, 2)), rng.integers(0, 8, (4, 2)), np.ones((4, 2))
+
+    def loss():
+        hs, caches = [np.zeros((2, 3))], []
+        for x in xs:
+            h, cache = m.step(x, hs[-1])
+            hs.append(h)
+            caches.append(cache)
+        states = np.concatenate(hs[1:])
+        return -m.log_probs(states, np.concatenate(targets)).mean(dtype=np.float64), (hs, caches)
+
+    hs, caches = loss()[1]
+    place = m.place[np.concatenate(targets)]
+    plain = 0.0
+    for state, at in zip(np.concatenate(hs[1:]), place, strict=True):
+        for x, own in ((state @ m.cls + m.cls_bias, at // m.size), (state @ m.out[at // m.size] + m.out_bias[at // m.size], at % m.size)):
+            plain += x.max() + np.log(np.exp(x - x.max()).sum()) - x[own]
+    assert loss()[0] == pytest.approx(plain / len(place), rel=1e-5)
+    if wide == 1:
+        g = lm._backward(m, xs, hs, caches, targets, keep)
+        for name in ("rec", "cls", "cls_bias", "out", "out_bias"):
+            w = getattr(m, name)
+            for at in [tuple(rng.integers(0, k) for k in w.shape) for _ in range(6)]:
+                if w[at] < -100:  # padding
+                    continue
+                w[at] += 0.02
+                up = loss()[0]
+                w[at] -= 0.04
+                down = loss()[0]
+                w[at] += 0.02
+                assert g[name][at] == pytest.approx((up - down) / 0.04, abs=2e-4)
+
+
 def test_language_model_reads_every_training_document(spark, rng):
     docs = spark.createDataFrame(rows_of([sentence("en", rng.randint(1, 60), rng) for _ in range(90)] + [None, ""]), SCHEMA).repartition(5)
     words = sum(len(SPACED.findall((r.text or "").translate(ASCII_LOWER))) + 1 for r in docs.collect())
