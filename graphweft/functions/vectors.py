@@ -100,15 +100,16 @@ def sum_by(df: DataFrame, keys: Sequence[str], vec: str, out: str = "vec", count
 def running_mean(df: DataFrame, keys: Sequence[str], at: str, vec: str, out: str = "vec") -> DataFrame:
     """Mean of ``vec`` over a key's rows up to ``at``, a row for each ``at`` of a key: keys, at, out.
 
-    Whole vectors meet in one shuffle by ``keys`` and one sort, and Spark ML's summarizer runs
-    over the sorted rows, rows of the same ``at`` together.
+    Whole vectors meet in one shuffle by ``keys`` and one sort, in the type they come in, and
+    Spark ML's summarizer runs over the sorted rows, rows of the same ``at`` together.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     order = Window.partitionBy(*keys).orderBy(at)
     mean = Summarizer.metrics("mean").summary(F.col("_v")).over(order)
-    rows = df.select(*keys, at, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    dealt = df.select(*keys, at, vec).repartition(*keys).sortWithinPartitions(*keys, at)
+    rows = dealt.select(*keys, at, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
     done = rows.select(*keys, at, mean.alias("_m"), F.lead(at).over(order).alias("_next"))
     return (done.where(F.col("_next").isNull() | (F.col("_next") != F.col(at)))
             .select(*keys, at, vector_to_array(F.col("_m.mean")).alias(out)))

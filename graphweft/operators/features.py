@@ -8,7 +8,7 @@ pandas UDF, with the weights generated from a seed on each worker (nothing broad
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -180,19 +180,25 @@ def static_fuse(desc: DataFrame, numeric: DataFrame, categorical: DataFrame,
     return fused
 
 
-def posted_vector_changes(snap: Snapshots, tweet_vecs: DataFrame) -> DataFrame:
+def posted_vector_changes(snap: Snapshots, tweet_vecs: DataFrame,
+                          through: Callable[[Column], Column] | None = None) -> DataFrame:
     """Running mean of the vectors of a user's ``post``-ed tweets, one row per user and
     snapshot where it changes: id, snapshot_idx, vec.
 
     The value for snapshot i is the row with the largest snapshot_idx <= i (as-of read, see
     ``vectors_at``); users with no post yet have zeros. Vectors stay whole: they meet the posts,
     are dealt by user once and averaged along the user's posts (``vectors.running_mean``).
+    ``through`` (such as ``project``) is what the vectors go through before; posts meet them as
+    they are given, as Spark no longer knows how rows are dealt once Python has had them.
     """
     posts = snap.edges.where(F.col("relation") == "post").select(
         F.col("source_id").alias("id"), F.col("target_id").alias("tweet_id"),
         F.col("first_snapshot").cast("bigint").alias("snapshot_idx"))
     tv = tweet_vecs.select(F.col("id").alias("tweet_id"), "vec")
-    return vec.running_mean(posts.join(tv, "tweet_id"), ["id"], "snapshot_idx", "vec")
+    posted = posts.join(tv, "tweet_id")
+    if through:
+        posted = posted.select("id", "snapshot_idx", through(F.col("vec")).alias("vec"))
+    return vec.running_mean(posted, ["id"], "snapshot_idx", "vec")
 
 
 def as_of(changes: DataFrame, requests: DataFrame, key: str = "id", at: str = "snapshot_idx") -> DataFrame:
@@ -216,10 +222,42 @@ def as_of(changes: DataFrame, requests: DataFrame, key: str = "id", at: str = "s
     return last.where(asked).select(key, at, *[F.col(f"_row.{c}").alias(c) for c in values])
 
 
+def as_of_ranges(changes: DataFrame, requests: DataFrame, key: str = "id", at: str = "snapshot_idx",
+                 upto: str = "upto") -> DataFrame:
+    """As-of merge of ranges: what is asked of a key, every whole number from ``at`` to ``upto``,
+    cut where the key's values change. Returns key, at, upto and the values of the key's last
+    change at or before ``at``, nulls where there is none yet; each number asked for is in
+    exactly one row of the key, also where its ranges overlap.
+
+    A range is one row and is dealt to the changes; those stay as dealt and sorted by a window
+    over the key.
+    """
+    values = [c for c in changes.columns if c not in (key, at)]
+    spot = F.col(at).cast("bigint")
+    order = Window.partitionBy(key).orderBy(at)
+    seen = F.max(upto).over(order.rowsBetween(Window.unboundedPreceding, -1)).cast("bigint")
+    asked = requests.select(key, F.greatest(spot, seen + 1).alias("_from"), F.col(upto).cast("bigint").alias("_upto"))
+    known = changes.select(key, spot.alias("_at"), F.lead(at).over(order).cast("bigint").alias("_next"),
+                           F.lag(at).over(order).isNull().alias("_first"),
+                           F.struct(*[F.col(c) for c in values]).alias("_row"))
+    none_yet = F.struct(F.col("_from").alias("lo"), F.least("_upto", F.col("_at") - 1).alias("hi"),
+                        F.coalesce("_first", F.lit(True)).alias("is_piece"), F.lit(False).alias("known"))
+    own = F.struct(F.greatest("_from", "_at").alias("lo"), F.least("_upto", F.col("_next") - 1).alias("hi"),
+                   F.col("_at").isNotNull().alias("is_piece"), F.lit(True).alias("known"))
+    pieces = (asked.where(F.col("_from") <= F.col("_upto")).join(known, key, "left")
+              .select(key, "_row", F.explode(F.array(none_yet, own)).alias("_p"))
+              .where(F.col("_p.is_piece") & (F.col("_p.lo") <= F.col("_p.hi"))))
+    return pieces.select(key, F.col("_p.lo").alias(at), F.col("_p.hi").alias(upto),
+                         *[F.when(F.col("_p.known"), F.col(f"_row.{c}")).alias(c) for c in values])
+
+
 def vectors_as_of(changes: DataFrame, requests: DataFrame, dim: int) -> DataFrame:
     """Change rows (``posted_vector_changes``, ``temporal_user_vectors``) read for many
-    (snapshot_idx, id) requests at once; zeros before the first change."""
-    return as_of(changes, requests).select("id", "snapshot_idx", F.coalesce("vec", vec.zeros(dim)).alias("vec"))
+    (snapshot_idx, id) requests at once; zeros before the first change. Requests of ranges
+    (snapshot_idx, upto, id) are answered by ranges, see ``as_of_ranges``."""
+    ranges = ["upto"] if "upto" in requests.columns else []
+    read = as_of_ranges(changes, requests) if ranges else as_of(changes, requests)
+    return read.select("id", "snapshot_idx", *ranges, F.coalesce("vec", vec.zeros(dim)).alias("vec"))
 
 
 def vectors_at(changes: DataFrame, snapshot_idx: int, users: DataFrame, dim: int) -> DataFrame:

@@ -253,13 +253,35 @@ def edge_lists(snap: Snapshots, relations=SOCIAL_RELATIONS) -> DataFrame:
         "first_snapshot", "relation", "src_idx", "dst_idx")
 
 
-def memberships(snap: Snapshots, snapshot_ids: DataFrame) -> DataFrame:
+def _runs(indices: list[int]) -> list[tuple[int, int]]:
+    """First and last of each run of sorted distinct indices without a gap."""
+    firsts = [i for i, before in zip(indices, [None, *indices]) if before != i - 1]
+    lasts = [i for i, after in zip(indices, [*indices[1:], None]) if after != i + 1]
+    return list(zip(firsts, lasts))
+
+
+def memberships(snap: Snapshots, snapshot_ids: DataFrame, ranges: bool = False) -> DataFrame:
     """Explode users into the requested snapshots they belong to: snapshot_idx, id.
 
     ``snapshot_ids`` (snapshot_idx) is a small table; each user expands only to the
-    requested indices at or after its first snapshot.
+    requested indices at or after its first snapshot. With ``ranges`` a row stands for all from
+    ``snapshot_idx`` to ``upto``, one for each run of requested indices without a gap; ``each``
+    expands it.
     """
-    wanted = [r[0] for r in snapshot_ids.select("snapshot_idx").distinct().collect()]
-    arr = F.array(*[F.lit(int(i)) for i in sorted(wanted)]) if wanted else F.array().cast("array<bigint>")
+    wanted = sorted(r[0] for r in snapshot_ids.select("snapshot_idx").distinct().collect())
+    if ranges:
+        runs = F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in _runs(wanted)])
+        runs = runs.cast("array<struct<lo:bigint,hi:bigint>>")
+        active = F.filter(runs, lambda r: r["hi"] >= F.col("first_snapshot"))
+        return (snap.users.select(F.explode(active).alias("r"), "first_snapshot", "id")
+                .select(F.greatest("r.lo", F.col("first_snapshot").cast("bigint")).alias("snapshot_idx"),
+                        F.col("r.hi").alias("upto"), "id"))
+    arr = F.array(*[F.lit(int(i)) for i in wanted]) if wanted else F.array().cast("array<bigint>")
     return (snap.users.select(F.explode(F.filter(arr, lambda i: i >= F.col("first_snapshot"))).alias("s"), "id")
             .select(F.col("s").cast("bigint").alias("snapshot_idx"), "id"))
+
+
+def each(ranges: DataFrame, at: str = "snapshot_idx", upto: str = "upto") -> DataFrame:
+    """Rows that stand for the snapshots ``at`` to ``upto``, once for each of them."""
+    rest = [c for c in ranges.columns if c not in (at, upto)]
+    return ranges.select(F.explode(F.sequence(at, upto)).alias(at), *rest)

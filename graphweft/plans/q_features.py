@@ -135,9 +135,9 @@ ptv AS (SELECT 't' || o.o_orderkey AS tweet_id, p.pos, p.value FROM orders o
         JOIN pemb p ON p.vec_id = o.o_orderkey % (SELECT count(*) FROM embeddings))"""
 
 
-def projected_tweet_vectors(spark, sf):
-    tv = dt.tweet_vectors(spark, sf)
-    return tv.select("id", ft.project(F.col("vec"), "tweet_proj", 64, 32).alias("vec"))
+def projected_posts(spark, sf, snap):
+    """Change rows of the mean projected posts."""
+    return ft.posted_vector_changes(snap, dt.tweet_vectors(spark, sf), lambda v: ft.project(v, "tweet_proj", 64, 32))
 
 
 @register("d16_i3_posted_vector_changes", with_views(
@@ -152,7 +152,7 @@ def projected_tweet_vectors(spark, sf):
     GRID_CTES + ",\n" + PROJ_CTES))
 def d16(spark, sf):
     snap = tp.build_snapshots(dt.users(spark, sf), dt.tweets(spark, sf), dt.edges(spark, sf))
-    ch = ft.posted_vector_changes(snap, projected_tweet_vectors(spark, sf))
+    ch = projected_posts(spark, sf, snap)
     return long_rounded(ch, ["id", "snapshot_idx"])
 
 
@@ -174,12 +174,13 @@ def i3(spark, sf):
     GRID_CTES + ",\n" + PROJ_CTES))
 def i3_as_of(spark, sf):
     """Mean projected posts of every active user in every snapshot, read from change rows; a
-    vector is returned as the sum of its entries."""
+    vector is returned as the sum of its entries. Users stay in ranges of snapshots until the end."""
     snap = tp.build_snapshots(dt.users(spark, sf), dt.tweets(spark, sf), dt.edges(spark, sf))
-    changes = ft.posted_vector_changes(snap, projected_tweet_vectors(spark, sf))
-    asked = tp.memberships(snap, tp.snapshot_index(snap))
+    changes = projected_posts(spark, sf, snap)
+    asked = tp.memberships(snap, tp.snapshot_index(snap), ranges=True)
     total = F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x)
-    return ft.vectors_as_of(changes, asked, 32).select("snapshot_idx", "id", F.round(total, 5).alias("total"))
+    read = ft.vectors_as_of(changes, asked, 32).select("snapshot_idx", "upto", "id", F.round(total, 5).alias("total"))
+    return tp.each(read)
 
 
 @register("i2_static_fuse")
