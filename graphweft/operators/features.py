@@ -63,7 +63,7 @@ def recent_tweet_vector(users: DataFrame, tweets: DataFrame, tweet_vecs: DataFra
     """
     r = recent_tweets(users, tweets, k)
     tv = tweet_vecs.select(F.col("id").alias("tweet_id"), "vec")
-    summed = (r.select("id", "tweet_id").join(tv, "tweet_id")
+    summed = (r.select("id", "tweet_id").join(tv, "tweet_id").select("id", "vec").repartition("id")
               .groupBy("id").agg(F.collect_list("vec").alias("_vs")))
     total = F.aggregate(F.col("_vs"), vec.zeros(dim), lambda acc, x: vec.add(acc, x.cast("array<double>")))
     pooled = summed.select("id", vec.scale(total, 1.0 / F.size("_vs")).alias("vec"))
@@ -274,21 +274,12 @@ def temporal_user_vectors(snap: Snapshots, static_vecs: DataFrame, tweet_vecs: D
     where its post mean changes: id, snapshot_idx, vec. Read with ``vectors_at``.
     """
     q = tweet_dim // 4
-    proj = tweet_vecs.select("id", project(F.col("vec"), "tweet_proj", None, q, seed).alias("vec"))
-    ch = posted_vector_changes(snap, proj)
-    first = snap.users.select("id", F.col("first_snapshot").cast("bigint").alias("snapshot_idx"))
-    both = (ch.withColumn("fs", F.lit(None).cast("bigint"))
-            .unionByName(first.withColumn("fs", F.col("snapshot_idx")), allowMissingColumns=True))
-    # a user's first row comes before a change in the same snapshot, and the change stands for both
-    order = Window.partitionBy("id").orderBy("snapshot_idx", F.col("vec").isNotNull())
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.select("id", "snapshot_idx", F.last("vec", ignorenulls=True).over(upto).alias("post_vec"),
-                         F.last("fs", ignorenulls=True).over(upto).alias("fs"),
-                         F.lead("snapshot_idx").over(order).alias("_next"))
-    filled = filled.where(F.col("fs").isNotNull() & ~F.col("_next").eqNullSafe(F.col("snapshot_idx")))
-    return (filled.join(static_vecs.select("id", F.col("vec").alias("static_vec")), "id")
-            .select("id", "snapshot_idx",
-                    F.concat("static_vec", F.coalesce("post_vec", vec.zeros(q))).alias("vec")))
+    ch = posted_vector_changes(snap, tweet_vecs, lambda v: project(v, "tweet_proj", None, q, seed))
+    stay = snap.users.select("id", F.col("first_snapshot").cast("bigint").alias("snapshot_idx"),
+                             F.lit(snap.grid.count - 1).cast("bigint").alias("upto"))
+    means = vectors_as_of(ch, stay, q).select("id", "snapshot_idx", F.col("vec").alias("post_vec"))
+    return (means.join(static_vecs.select("id", F.col("vec").alias("static_vec")), "id")
+            .select("id", "snapshot_idx", F.concat("static_vec", "post_vec").alias("vec")))
 
 
 # --- E12: top-k nodes per snapshot ---------------------------------------------------------

@@ -12,6 +12,7 @@ from graphweft.plans.common import duck_ts, ts_str
 from graphweft.plans.oracle_views import with_views
 from graphweft.plans.q_graph import UV_CTES, long_rounded, user_vectors
 from graphweft.plans.q_temporal import GRID_CTES
+from graphweft.session import cut_lineage, spent_shuffles
 from graphweft.sources import driver_tables as dt
 
 QUERIES = {}
@@ -158,10 +159,13 @@ def d16(spark, sf):
 
 @register("i3_temporal_user_vectors")
 def i3(spark, sf):
-    """Static vector (pooled tweets) ++ running mean of projected posts, as change rows."""
+    """Static vector (pooled tweets) ++ running mean of projected posts, as change rows. The static
+    vectors, one of a user, are written first: what their tweets' vectors took on disk is free again
+    when those of the posts are dealt."""
     snap = tp.build_snapshots(dt.users(spark, sf), dt.tweets(spark, sf), dt.edges(spark, sf))
-    tv = dt.tweet_vectors(spark, sf)
-    return ft.temporal_user_vectors(snap, user_vectors(spark, sf), tv, tweet_dim=128)
+    with spent_shuffles(spark):
+        static = cut_lineage(user_vectors(spark, sf))
+    return ft.temporal_user_vectors(snap, static, dt.tweet_vectors(spark, sf), tweet_dim=128)
 
 
 @register("i3_vectors_as_of", with_views(

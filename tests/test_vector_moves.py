@@ -1,7 +1,9 @@
 """How often whole vectors are exchanged, as-of reads of ranges and the tables they start from."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ import __spark_entry__ as ent
 from graphweft.functions import vectors as vec
 from graphweft.operators import features as ft
 from graphweft.operators import temporal as tp
-from graphweft.session import _set
+from graphweft.session import _set, cut_lineage, spent_shuffles
 from graphweft.sources import driver_tables as dt
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -78,3 +80,43 @@ def test_memberships_in_ranges_are_those_of_each_snapshot(spark, micro):
         ids = spark.createDataFrame([(i,) for i in wanted], "snapshot_idx bigint")
         each = tp.each(tp.memberships(snap, ids, ranges=True))
         assert sorted(map(tuple, each.select("snapshot_idx", "id").collect())) == sorted(map(tuple, tp.memberships(snap, ids).collect()))
+
+
+def test_temporal_user_vectors_exchange_each_vector_once(spark, no_broadcast):
+    # the posts' vectors by user, and the written static vectors; the union of change rows did so again
+    assert vector_exchanges(ent.queries()["i3_temporal_user_vectors"](spark, SF_SMOKE)) == 2
+
+
+def test_recent_tweet_vectors_are_exchanged_once(spark, no_broadcast):
+    pooled = ft.recent_tweet_vector(dt.users(spark, SF_SMOKE), dt.tweets(spark, SF_SMOKE), dt.tweet_vectors(spark, SF_SMOKE), dim=64)
+    assert vector_exchanges(pooled) == 1
+
+
+def test_shuffles_of_a_written_table_are_deleted(spark):
+    def shuffle_files():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+    before = shuffle_files()
+    with spent_shuffles(spark):
+        table = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while shuffle_files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files() - before and table.count() == 7
+
+
+def test_temporal_user_vectors_start_with_what_is_known(spark):
+    first = spark.createDataFrame([("u1", 3), ("u2", 0), ("u3", 5)], "id string, first_snapshot int")
+    posts = [("u1", "t1", 1), ("u1", "t2", 3), ("u1", "t3", 6), ("u2", "t4", 0), ("u2", "t5", 0), ("u2", "t6", 4)]
+    edges = spark.createDataFrame([(u, "post", t, s) for u, t, s in posts], "source_id string, relation string, target_id string, first_snapshot int")
+    x = {f"t{k}": [float(k), float(-k * k), 1.0] for k in range(1, 7)}
+    tv = spark.createDataFrame(list(x.items()), "id string, vec array<float>")
+    static = spark.createDataFrame([(f"u{k}", [float(k)]) for k in (1, 2, 3)], "id string, vec array<double>")
+    got = ft.temporal_user_vectors(tp.Snapshots(tp.WeeklyGrid(0, 9), first, None, edges), static, tv, tweet_dim=8).collect()
+    w, b = ft.projection_weights("tweet_proj", 3, 2)
+    y = {t: np.where((v := w @ np.array(x[t]) + b) > 0, v, 0.01 * v) for t in x}
+    want = {("u1", 3): ["t1", "t2"], ("u1", 6): ["t1", "t2", "t3"], ("u2", 0): ["t4", "t5"], ("u2", 4): ["t4", "t5", "t6"], ("u3", 5): []}
+    assert sorted((r.id, r.snapshot_idx) for r in got) == sorted(want)
+    for r in got:
+        mean = np.mean([y[t] for t in want[r.id, r.snapshot_idx]], axis=0) if want[r.id, r.snapshot_idx] else np.zeros(2)
+        assert r.vec[0] == float(r.id[1]) and np.allclose(r.vec[1:], mean, atol=1e-9)
