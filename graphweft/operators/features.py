@@ -20,6 +20,7 @@ from graphweft.functions import vectors as vec
 from graphweft.operators import aggregates as agg
 from graphweft.operators import relational as rel
 from graphweft.operators.temporal import Snapshots
+from graphweft.session import cut_parts, release
 
 # Fixed values of the reference's feature configuration.
 MAX_TWEETS_PER_USER = 20
@@ -27,6 +28,9 @@ USER_EMBEDDING_DIM = 128
 TWEET_EMBEDDING_DIM = 128
 ZSCORE_EPS = 1e-8
 LEAKY_SLOPE = 0.01
+# Turns in which vectors that are written are made, and the posts from which on there are several.
+TURNS = 8
+ROWS_PER_TURN = 2_000_000
 
 
 # --- E1 / E2 / D15: recent tweets and their pooled vector ---------------------------------
@@ -191,14 +195,33 @@ def posted_vector_changes(snap: Snapshots, tweet_vecs: DataFrame,
     ``through`` (such as ``project``) is what the vectors go through before; posts meet them as
     they are given, as Spark no longer knows how rows are dealt once Python has had them.
     """
+    posted = _posted_vectors(snap, tweet_vecs)
+    if through:
+        posted = posted.select("id", "snapshot_idx", through(F.col("vec")).alias("vec"))
+    return vec.running_mean(posted, ["id"], "snapshot_idx", "vec")
+
+
+def _posted_vectors(snap: Snapshots, tweet_vecs: DataFrame) -> DataFrame:
+    """id, snapshot_idx, vec: the vector of each ``post``, from its first snapshot on."""
     posts = snap.edges.where(F.col("relation") == "post").select(
         F.col("source_id").alias("id"), F.col("target_id").alias("tweet_id"),
         F.col("first_snapshot").cast("bigint").alias("snapshot_idx"))
     tv = tweet_vecs.select(F.col("id").alias("tweet_id"), "vec")
-    posted = posts.join(tv, "tweet_id")
-    if through:
-        posted = posted.select("id", "snapshot_idx", through(F.col("vec")).alias("vec"))
-    return vec.running_mean(posted, ["id"], "snapshot_idx", "vec")
+    return posts.join(tv, "tweet_id").select("id", "snapshot_idx", "vec")
+
+
+def posted_vector_changes_in_turns(snap: Snapshots, tweet_vecs: DataFrame, turns: int = TURNS,
+                                   rows: int = ROWS_PER_TURN) -> Iterator[DataFrame]:
+    """``posted_vector_changes`` of all users, some after the others, for a result that is written:
+    every user is in one of up to ``turns`` tables, which have ``rows`` posts or more.
+
+    Posts and their vectors are written once, by users. Only those of one turn are dealt and sorted
+    at a time, and they are deleted when the next turn is asked for, so that the posts' vectors
+    make room on disk for the result.
+    """
+    for posted in cut_parts(_posted_vectors(snap, tweet_vecs), ["id"], turns, rows):
+        yield vec.running_mean(posted, ["id"], "snapshot_idx", "vec")
+        release(posted)
 
 
 def as_of(changes: DataFrame, requests: DataFrame, key: str = "id", at: str = "snapshot_idx") -> DataFrame:

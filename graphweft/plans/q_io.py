@@ -17,7 +17,7 @@ from graphweft.plans.q_features import _NUM_CTES
 from graphweft.plans.q_graph import long_rounded
 from graphweft.plans.q_ml import classifier_scores
 from graphweft.plans.q_temporal import COUNTS_SQL, GRID_CTES
-from graphweft.session import scratch_path
+from graphweft.session import scratch_path, spent_shuffles
 from graphweft.sources import driver_tables as dt
 from graphweft.sources import files, sinks
 
@@ -251,11 +251,13 @@ pe AS (SELECT ea.source_id AS id, ea.target_id AS tweet_id,
        WINDOW w AS (PARTITION BY id, pos ORDER BY fs ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     GRID_CTES + ",\n" + _TV_CTES))
 def a21(spark, sf):
-    """The vectors of all snapshots, written by snapshot and read back (A22 is ``a22_stored_scores``)."""
+    """The vectors of all snapshots, written by snapshot and read back (A22 is ``a22_stored_scores``).
+    Users take turns, so that their posts' vectors are not all on disk beside the result."""
     p = _scratch(spark, "snapshot-vectors")
     snap = tp.build_snapshots(dt.users(spark, sf), dt.tweets(spark, sf), dt.edges(spark, sf))
-    ch = ft.posted_vector_changes(snap, dt.tweet_vectors(spark, sf))
-    sinks.write_partitioned_vectors(ch, p)
+    with spent_shuffles(spark):
+        for k, ch in enumerate(ft.posted_vector_changes_in_turns(snap, dt.tweet_vectors(spark, sf))):
+            sinks.write_partitioned_vectors(ch, p, mode="append" if k else "overwrite")
     stored = spark.read.schema("id string, vec array<double>, snapshot_idx bigint").parquet(p)
     return long_rounded(stored, ["id", "snapshot_idx"])
 

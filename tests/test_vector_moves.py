@@ -11,8 +11,9 @@ import __spark_entry__ as ent
 from graphweft.functions import vectors as vec
 from graphweft.operators import features as ft
 from graphweft.operators import temporal as tp
-from graphweft.session import _set, cut_lineage, spent_shuffles
+from graphweft.session import _set, cut_lineage, cut_parts, release, spent_shuffles
 from graphweft.sources import driver_tables as dt
+from graphweft.sources import files
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -92,17 +93,24 @@ def test_recent_tweet_vectors_are_exchanged_once(spark, no_broadcast):
     assert vector_exchanges(pooled) == 1
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def left_over(spark, before, seconds=20):
+    """Shuffle files that were not there before and are not deleted in some time."""
+    until = time.time() + seconds
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    return shuffle_files(spark) - before
+
+
 def test_shuffles_of_a_written_table_are_deleted(spark):
-    def shuffle_files():
-        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
-        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
-    before = shuffle_files()
+    before = shuffle_files(spark)
     with spent_shuffles(spark):
         table = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
-    until = time.time() + 20
-    while shuffle_files() - before and time.time() < until:
-        time.sleep(0.2)
-    assert not shuffle_files() - before and table.count() == 7
+    assert not left_over(spark, before) and table.count() == 7
 
 
 def test_temporal_user_vectors_start_with_what_is_known(spark):
@@ -120,3 +128,36 @@ def test_temporal_user_vectors_start_with_what_is_known(spark):
     for r in got:
         mean = np.mean([y[t] for t in want[r.id, r.snapshot_idx]], axis=0) if want[r.id, r.snapshot_idx] else np.zeros(2)
         assert r.vec[0] == float(r.id[1]) and np.allclose(r.vec[1:], mean, atol=1e-9)
+
+
+def test_stored_vectors_leave_no_shuffles_behind(spark):
+    # a store in the making lay beside the vectors of all posts, dealt twice
+    before = shuffle_files(spark)
+    stored = ent.queries()["a21_a22_partitioned_outputs"](spark, SF_SMOKE)
+    assert not left_over(spark, before) and stored.count() > 0
+
+
+def test_cut_parts_share_no_keys_and_are_released_alone(spark):
+    df = spark.range(100).select((F.col("id") % 20).cast("string").alias("k"), "id")
+    parts = cut_parts(df, ["k"], 4, 1)
+    keys = [{r.k for r in p.collect()} for p in parts]
+    assert len(parts) == 4 and sum(map(len, keys)) == len(set().union(*keys)) == 20
+    assert sorted(r.id for p in parts for r in p.collect()) == list(range(100))
+    places = [p.scratch_table for p in parts]
+    release(parts[0])
+    assert not any(files.path_exists(spark, p) for p in places[0]) and all(files.path_exists(spark, p) for p in places[1] + places[2] + places[3])
+    assert len(cut_parts(df, ["k"], 4, 100)) == 1 and sum(p.count() for p in cut_parts(df, ["k"], 4, 40)) == 100
+    none = cut_parts(df.limit(0), ["k"], 4, 1)
+    assert len(none) == 1 and none[0].dtypes == df.dtypes and none[0].count() == 0
+
+
+def test_changes_in_turns_are_those_of_all_users(spark):
+    snap = tp.build_snapshots(dt.users(spark, SF_SMOKE), dt.tweets(spark, SF_SMOKE), dt.edges(spark, SF_SMOKE))
+    tv = dt.tweet_vectors(spark, SF_SMOKE)
+
+    def rows(df):
+        return [(r.id, r.snapshot_idx, tuple(round(x, 9) for x in r.vec)) for r in df.collect()]
+    turns = [rows(ch) for ch in ft.posted_vector_changes_in_turns(snap, tv, turns=3, rows=1)]
+    assert len(turns) == 3 and sorted(sum(turns, [])) == sorted(rows(ft.posted_vector_changes(snap, tv)))
+    users = [{id for id, _, _ in t} for t in turns]
+    assert sum(map(len, users)) == len(set().union(*users))
