@@ -45,9 +45,9 @@ def test_vectors_as_of_exchange_vectors_once(spark, no_broadcast):
 
 def test_tweet_vectors_are_the_same_by_broadcast_and_by_exchange(spark, monkeypatch):
     dealt = dt.tweet_vectors(spark, SF_SMOKE)
-    monkeypatch.setattr(dt, "BROADCAST_VECTORS", 0)
+    monkeypatch.setattr(dt, "BROADCAST_NUMBERS", 0)
     other = dt.tweet_vectors(spark, SF_SMOKE)
-    assert dealt.schema == other.schema
+    assert dealt.schema == other.schema and vector_exchanges(dealt) == 0
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, other.collect()))
 
 
